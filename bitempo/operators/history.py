@@ -11,21 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.operators.sequence import HOT_ROWS, neighbours
+from bitempo.operators.sequence import HOT_ROWS, hot_groups, neighbours
 
 KEYS = ["entity_id", "attribute"]
-VERSION = [*KEYS, "value", "value_hash", "valid_from_ms", "valid_to_ms"]
-_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?))?\s*(Z|z|UTC|[+-]\d{2}:?\d{2})?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|UTC|[+-]\d{2}:?\d{2})?)?$"
 
 
 def instant_ms(text: Column) -> Column:
-    """Milliseconds of a written time; UTC without an offset, null if unusable."""
+    """Milliseconds of a written time; null if unusable.
+
+    Without an offset it is in the session's zone, which ``prepare`` sets to UTC.
+    """
     s = F.trim(text)
-    zone = F.regexp_replace(F.regexp_extract(s, _ISO, 3), r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
-    zone = F.when(F.upper(zone).isin("", "Z", "UTC"), F.lit("+00:00")).otherwise(zone)
-    clock = F.regexp_replace(F.regexp_extract(s, _ISO, 2), ",", ".")
-    clock = F.when(clock == "", F.lit("00:00")).otherwise(clock)
-    iso = F.concat(F.regexp_extract(s, _ISO, 1), F.lit("T"), clock, zone)
+    iso = F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")
     return F.when(s.rlike(_ISO), F.unix_millis(iso.try_cast("timestamp")))
 
 
@@ -41,53 +39,53 @@ def folded(text: Column) -> Column:
 
 
 def hashed(value: Column) -> Column:
-    """128 bits of an attribute value, null for no value."""
-    return F.when(value.isNotNull(), F.substring(F.sha2(value, 256), 1, 32))
+    """64 bits of an attribute value, null for no value; compared within one attribute of one entity only."""
+    return F.when(value.isNotNull(), F.xxhash64(value))
 
 
-def versions(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """All versions of ``events(entity_id, attribute, at_ms, rank, value, value_hash, ends_ms)``.
+def versions(events: DataFrame, hot_rows: int = HOT_ROWS, carry: tuple[str, ...] = ("value",), sizes: DataFrame | None = None) -> DataFrame:
+    """All versions of ``events(entity_id, attribute, at_ms, rank, value_hash, ends_ms)``.
 
     * Rows without key or time are left out; an empty table gives no rows.
-    * Of events of one attribute at one instant the largest ``rank`` counts
-      (any orderable column); repeated rows fall together there.
+    * Of events of one attribute at one instant the largest ``rank`` (a long)
+      counts; repeated rows fall together there.
     * An event with the hash of the event before it starts nothing, unless that
       one's ``ends_ms`` lies before it.  A null hash ends the version.
     * A version ends at the next event that differs or at ``ends_ms`` of its
       last event, whichever is first.
-    * Further columns are ignored.  Groups above ``hot_rows`` are windowed in
-      chunks, so one entity may hold any share of the rows.
+    * Columns in ``carry`` come from the event that starts a version; others
+      are ignored.  Groups above ``hot_rows`` are windowed in chunks, so one
+      entity may hold any share of the rows.  ``sizes`` may give the keys of a
+      cheaper frame with at least the rows of each group.
     """
     known = events.where(F.col("entity_id").isNotNull() & F.col("attribute").isNotNull() & F.col("at_ms").isNotNull())
-    one = (
-        known.select(*KEYS, "at_ms", "rank", F.struct("value", "value_hash", "ends_ms").alias("_e"))
-        .groupBy(*KEYS, "at_ms")
-        .agg(F.max(F.struct("rank", "_e")).alias("_m"))
-        .select(*KEYS, "at_ms", "_m._e.*")
-    )
-    near = neighbours(one, KEYS, "at_ms", {"_ph": F.col("value_hash"), "_pe": F.col("ends_ms")}, {}, hot_rows)
+    # Fixed-width values only, unless something is carried: aggregation then stays hash-based.
+    one = known.groupBy(*KEYS, "at_ms").agg(*[F.max_by(c, F.coalesce("rank", F.lit(-2))).alias(c) for c in ("value_hash", "ends_ms", *carry)])
+    hot = hot_groups(known if sizes is None else sizes, KEYS, hot_rows)
+    near = neighbours(one, KEYS, "at_ms", {"_ph": F.col("value_hash"), "_pe": F.col("ends_ms")}, {}, hot)
     gap = F.coalesce(F.col("_pe") < F.col("at_ms"), F.lit(False))
     starts = F.col("_first") | gap | ~F.col("value_hash").eqNullSafe(F.col("_ph"))
     # Starts, and the last row of each group, whose ends_ms may end the last version.
     kept = near.withColumn("_starts", starts).where(F.col("_starts") | F.col("_last")).drop("_first", "_last")
     until = F.when(F.col("_starts"), F.least("at_ms", F.coalesce("_pe", "at_ms"))).otherwise(F.col("ends_ms"))
-    ended = neighbours(kept, KEYS, "at_ms", {}, {"_until": until}, hot_rows)
+    ended = neighbours(kept, KEYS, "at_ms", {}, {"_until": until}, hot)
     end = F.when(F.col("_last"), F.col("ends_ms")).otherwise(F.col("_until"))
     return ended.where(F.col("_starts") & F.col("value_hash").isNotNull()).select(
-        *KEYS, "value", "value_hash", F.col("at_ms").alias("valid_from_ms"), F.coalesce(end, F.lit(-1)).alias("valid_to_ms")
+        *KEYS, *carry, "value_hash", F.col("at_ms").alias("valid_from_ms"), F.coalesce(end, F.lit(-1)).alias("valid_to_ms")
     )
 
 
-def as_events(dimension: DataFrame) -> DataFrame:
+def as_events(dimension: DataFrame, carry: tuple[str, ...] = ("value",)) -> DataFrame:
     """The events that give back ``dimension``: each start, and each end as a null."""
-    start = F.struct(F.col("valid_from_ms").alias("at_ms"), F.lit(0).alias("rank"), "value", "value_hash")
-    void = F.lit(None).cast("string")
-    end = F.struct(F.col("valid_to_ms").alias("at_ms"), F.lit(-1).alias("rank"), void.alias("value"), void.alias("value_hash"))
+    kinds = dict(dimension.dtypes)
+    held = ("value_hash", *carry)
+    start = F.struct(F.col("valid_from_ms").alias("at_ms"), F.lit(0).cast("long").alias("rank"), *held)
+    end = F.struct(F.col("valid_to_ms").alias("at_ms"), F.lit(-1).cast("long").alias("rank"), *[F.lit(None).cast(kinds[c]).alias(c) for c in held])
     both = F.when(F.col("valid_to_ms") == -1, F.array(start)).otherwise(F.array(start, end))
     return dimension.select(*KEYS, F.explode(both).alias("e")).select(*KEYS, "e.*", F.lit(None).cast("long").alias("ends_ms"))
 
 
-def merge(dimension: DataFrame | None, events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def merge(dimension: DataFrame | None, events: DataFrame, hot_rows: int = HOT_ROWS, carry: tuple[str, ...] = ("value",), sizes: DataFrame | None = None) -> DataFrame:
     """Merge a batch of events into a type-two dimension.
 
     Hashes of the batch are compared with the versions of the entities that it
@@ -98,35 +96,39 @@ def merge(dimension: DataFrame | None, events: DataFrame, hot_rows: int = HOT_RO
     A batch row that only confirms a value adds no row, so an ``ends_ms`` is
     taken from the batch in which the version was seen last.
     """
-    batch = events.select(*KEYS, "at_ms", F.col("rank").cast("long").alias("rank"), "value", "value_hash", "ends_ms")
+    batch = events.select(*KEYS, "at_ms", F.col("rank").cast("long").alias("rank"), "value_hash", "ends_ms", *carry)
+    columns = [*KEYS, *carry, "value_hash", "valid_from_ms", "valid_to_ms"]
     if dimension is None:
-        return versions(batch, hot_rows).select(*VERSION)
+        return versions(batch, hot_rows, carry, sizes).select(*columns)
     touched = batch.where(F.col("at_ms").isNotNull()).select(*KEYS).distinct()
-    known = as_events(dimension.join(touched, KEYS, "left_semi")).withColumn("rank", F.col("rank").cast("long"))
-    redone = versions(known.unionByName(batch), hot_rows).select(*VERSION)
-    return dimension.join(touched, KEYS, "left_anti").select(*VERSION).unionByName(redone)
+    known = as_events(dimension.join(touched, KEYS, "left_semi"), carry)
+    redone = versions(known.unionByName(batch), hot_rows, carry).select(*columns)
+    return dimension.join(touched, KEYS, "left_anti").select(*columns).unionByName(redone)
 
 
-def change_events(changes: DataFrame, fields: tuple[str, ...] = ("status", "assignee", "priority")) -> DataFrame:
+def change_events(changes: DataFrame, fields: tuple[str, ...] = ("status", "assignee", "priority"), carry: bool = True) -> DataFrame:
     """Events of a change log: of one ``change_id`` the row ingested last counts.
 
-    Rows with null ids are kept apart by content.  Unusable times, null issues
-    and other fields give no events.
+    Rows with a null ``change_id`` all count.  Unusable times, null issues and
+    other fields give no events.
     """
-    row = F.struct("ingested_at", "changed_at", "issue_id", "field", "to_string")
-    plain = changes.select("change_id", row.alias("r"))
-    latest = plain.where("change_id is not null").groupBy("change_id").agg(F.max("r").alias("r"))
-    latest = latest.unionByName(plain.where("change_id is null").distinct())
-    field = F.lower(F.trim(F.col("r.field")))
-    return latest.where(field.isin(*fields)).select(
-        F.col("r.issue_id").alias("entity_id"),
+    field = F.lower(F.trim("field"))
+    rows = changes.select(
+        F.col("change_id").alias("rank"),
+        F.col("issue_id").alias("entity_id"),
         field.alias("attribute"),
-        instant_ms(F.col("r.changed_at")).alias("at_ms"),
-        F.coalesce("change_id", F.lit(0)).alias("rank"),
-        F.trim(F.col("r.to_string")).alias("value"),
-        hashed(folded(F.col("r.to_string"))).alias("value_hash"),
-        F.lit(None).cast("long").alias("ends_ms"),
+        instant_ms(F.col("changed_at")).alias("at_ms"),
+        hashed(folded(F.col("to_string"))).alias("value_hash"),
+        F.trim("to_string").alias("value"),
+        # Delivery time in microseconds, equal times told apart by content.
+        (F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(0)) * 1024 + F.pmod(F.xxhash64("changed_at", "field", "to_string"), F.lit(1024))).alias("_order"),
     )
+    kept = rows if carry else rows.drop("value")
+    names = [c for c in kept.columns if c not in ("rank", "_order")]
+    # Attributes are few and issues many: both travel as values of the id's latest row.
+    latest = kept.where("rank is not null").groupBy("rank").agg(*[F.max_by(c, "_order").alias(c) for c in names])
+    out = latest.unionByName(kept.where("rank is null").select("rank", *names)).where(F.col("attribute").isin(*fields))
+    return out.withColumn("ends_ms", F.lit(None).cast("long"))
 
 
 def edge_events(edges: DataFrame, relations: tuple[str, ...] = ("ASSIGNED_TO", "BELONGS_TO", "REPORTED_BY")) -> DataFrame:
@@ -135,7 +137,7 @@ def edge_events(edges: DataFrame, relations: tuple[str, ...] = ("ASSIGNED_TO", "
         F.col("from_uid").alias("entity_id"),
         F.col("rel_type").alias("attribute"),
         ms(F.col("valid_at")).alias("at_ms"),
-        F.coalesce(ms(F.col("observed_at")), F.lit(0)).alias("rank"),
+        (F.coalesce(ms(F.col("observed_at")), F.lit(0)) * 1024 + F.pmod(F.xxhash64("to_uid", "invalid_at"), F.lit(1024))).alias("rank"),
         F.col("to_uid").alias("value"),
         hashed(F.col("to_uid")).alias("value_hash"),
         ms(F.col("invalid_at")).alias("ends_ms"),

@@ -15,15 +15,21 @@ HOT_ROWS = 100_000
 PIECES = 256
 
 
-def chunked(df: DataFrame, keys: list[str], order: str, hot_rows: int, pieces: int) -> DataFrame | None:
-    """``df`` with a column ``_chunk``, or None when no group is above ``hot_rows``.
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of groups above ``hot_rows``, or None when there are none.
+
+    Give it the cheapest frame that has at least the rows of the groups.
+    """
+    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
+def chunked(df: DataFrame, keys: list[str], order: str, hot: DataFrame, pieces: int) -> DataFrame:
+    """``df`` with a column ``_chunk``: 0, but for ``hot`` groups cut into ``pieces``.
 
     Chunks of a group follow each other in ``order``, and equal values of it
     share a chunk.
     """
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return None
     cuts = (
         df.join(hot, keys, "left_semi")
         .groupBy(*keys)
@@ -33,21 +39,21 @@ def chunked(df: DataFrame, keys: list[str], order: str, hot_rows: int, pieces: i
     return df.join(cuts, keys, "left").withColumn("_chunk", F.coalesce(below, F.lit(0))).drop("_cuts")
 
 
-def neighbours(df: DataFrame, keys: list[str], order: str, previous: dict[str, Column], following: dict[str, Column], hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: str, previous: dict[str, Column], following: dict[str, Column], hot: DataFrame | None = None, pieces: int = PIECES) -> DataFrame:
     """Add values of the row before (``previous``) and the row after (``following``).
 
     Names map to expressions over a row.  ``order`` must be unique within
     ``keys`` and neither may be null (callers filter).  The first row of a
     group gets nulls for the row before and the last for the row after;
-    ``_first`` and ``_last`` mark them.
+    ``_first`` and ``_last`` mark them.  ``hot`` are the keys of large groups.
     """
     pack = lambda names: F.struct(F.lit(1).alias("_"), *[e.alias(n) for n, e in names.items()])
     df = df.withColumn("_p", pack(previous)).withColumn("_n", pack(following))
-    parts = chunked(df, keys, order, hot_rows, pieces)
-    if parts is None:
+    if hot is None:
         near = Window.partitionBy(*keys).orderBy(order)
         out = df.withColumn("_before", F.lag("_p").over(near)).withColumn("_after", F.lead("_n").over(near))
     else:
+        parts = chunked(df, keys, order, hot, pieces)
         near = Window.partitionBy(*keys, "_chunk").orderBy(order)
         inside = parts.withColumn("_before", F.lag("_p").over(near)).withColumn("_after", F.lead("_n").over(near))
         around = Window.partitionBy(*keys).orderBy("_chunk")

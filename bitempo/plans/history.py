@@ -9,13 +9,13 @@ from bitempo.operators import hierarchy, history
 from bitempo.session import cut, table
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    return history.change_events(table(spark, d, "jira_change")).unionByName(history.edge_events(table(spark, d, "edge")))
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every version of the attributes of issues and of functional edges."""
-    found = history.merge(None, _events(spark, d))
+    change, edge = table(spark, d, "jira_change"), table(spark, d, "edge")
+    events = history.change_events(change, carry=False).unionByName(history.edge_events(edge).drop("value"))
+    sizes = change.select(F.col("issue_id").alias("entity_id"), F.lower(F.trim("field")).alias("attribute"))
+    sizes = sizes.unionByName(edge.select(F.col("from_uid").alias("entity_id"), F.col("rel_type").alias("attribute")))
+    found = history.merge(None, events, carry=(), sizes=sizes)
     return found.select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
 
 
