@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitempo.llm import neighbours, pack, split
+from bitempo.llm import leaks, neighbours, pack, secrets, split
 from bitempo.llm.tokens import n_tokens
 from bitempo.session import table
 
@@ -26,6 +26,25 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return out.where("item_id is not null")
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that may hold credentials; repeated rows once."""
+    files = table(spark, d, "bitbucket_file").select(F.lit("bitbucket_file").alias("table_name"), F.col("file_id").cast("string").alias("row_id"), F.col("content").alias("text"))
+    commits = table(spark, d, "github_commit").select(F.lit("github_commit").alias("table_name"), F.col("sha").alias("row_id"), F.col("message").alias("text"))
+    return files.unionByName(commits).where("row_id is not null")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on which a usable credential begins."""
+    hits = secrets.scan(_sources(spark, d), ["table_name", "row_id"], "text").where("n_finds > 0")
+    return hits.select("table_name", "row_id", F.explode("finds.line_no").alias("line_no")).distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with credentials, redacted: how many were cut out, of which kinds, and what is left."""
+    hits = secrets.scan(_sources(spark, d), ["table_name", "row_id"], "text").where("n_finds > 0")
+    return hits.select("table_name", "row_id", "n_finds", F.array_join(F.array_sort(F.array_distinct("finds.kind")), ",").alias("kinds"), "redacted").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Items whose newest state is split into more than one piece."""
     pieces = split.split_texts(_texts(spark, d), "text", ["table_name", "item_id", "state"], LIMIT, OVERLAP)
@@ -76,7 +95,19 @@ def p7_use(spark: SparkSession, d: str) -> DataFrame:
     return windows.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), (F.sum("n") / (F.count(F.lit(1)) * WINDOW)).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least two fifths of an evaluation passage."""
+    found = leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "passage")
+    return found.select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The leaks with their share of words, longest phrase, and whether the whole passage stands there."""
+    found = leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "passage")
+    return found.select("doc_id", "item_id", "words", "matched_words", F.round("share", 4).alias("share"), "longest_phrase", "kind")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use, p8_found, p8_matches)}
 
 _TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x{{85}}]'))"
 ORACLES = {
