@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitempo.llm import leaks, neighbours, pack, secrets, split
+from bitempo.llm import leaks, match, neighbours, pack, secrets, split
 from bitempo.llm.tokens import n_tokens
 from bitempo.session import table
 
@@ -26,6 +26,23 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return out.where("item_id is not null")
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    names = ["author_name", "author_email"]
+    bitbucket = table(spark, d, "bitbucket_commit").select(F.lit("bitbucket").alias("provider"), *names)
+    github = table(spark, d, "github_commit").select(F.lit("github").alias("provider"), *names)
+    return match.matches(table(spark, d, "jira_person"), bitbucket.unionByName(github))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Jira accounts and author identities of the same person."""
+    return _matches(spark, d).select("account_id", "provider", "author_email")
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs with their calibrated confidence."""
+    return _matches(spark, d).select("account_id", "provider", "author_email", F.round("confidence", 4).alias("confidence"))
+
+
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """Texts that may hold credentials; repeated rows once."""
     files = table(spark, d, "bitbucket_file").select(F.lit("bitbucket_file").alias("table_name"), F.col("file_id").cast("string").alias("row_id"), F.col("content").alias("text"))
@@ -107,7 +124,7 @@ def p8_matches(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id", "words", "matched_words", F.round("share", 4).alias("share"), "longest_phrase", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use, p8_found, p8_matches)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_redacted, p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use, p8_found, p8_matches)}
 
 _TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x{{85}}]'))"
 ORACLES = {
