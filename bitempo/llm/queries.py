@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitempo.llm import leaks, match, neighbours, pack, secrets, split
+from bitempo.llm import leaks, match, neighbours, pack, secrets, split, subjects
 from bitempo.llm.tokens import n_tokens
 from bitempo.session import table
 
@@ -124,7 +124,21 @@ def p8_matches(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id", "words", "matched_words", F.round("share", 4).alias("share"), "longest_phrase", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_redacted, p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use, p8_found, p8_matches)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "subject_area"), table(spark, d, "doc_label"), "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of each document."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus: documents and their sentences by subject."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_redacted, p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use, p8_found, p8_matches, p9_found, p9_composition)}
 
 _TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x{{85}}]'))"
 ORACLES = {
