@@ -29,28 +29,47 @@ ROUNDS, INNER = 2, 3
 ANCHOR = 3.0
 #: Evidence a sentence needs to bear a subject, and the share of such sentences a text needs.
 EVIDENCE, SHARE = 6.0, 0.25
-_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|[\n\r]+|\\n")
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word, or what ends a sentence.
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?]+(?=\s|$)|[\n\r]+|\\n")
 _CHUNK = 1 << 19
 
 
-def sentence_columns(text: str, seen: dict[str, int]) -> tuple[list[int], list[int]]:
-    """Hashed words and word pairs of a text, and where each of its sentences ends."""
-    columns: list[int] = []
-    ends: list[int] = []
-    for sentence in _SENTENCE.split(text.lower()):
-        words = _WORD.findall(sentence)
-        if not words:
-            continue
-        for term in [*words, *map("%s %s".__mod__, zip(words, words[1:], strict=False))]:
-            c = seen.get(term)
+def sentence_columns(texts: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words and word pairs of texts, and where their sentences end.
+
+    Gives the columns of all texts, the number of each text's, the ends of all
+    sentences within their text, and the number of each text's sentences.
+    """
+    ids: list[int] = []
+    of_text = np.zeros(len(texts), "int64")
+    for n, text in enumerate(texts):
+        before = len(ids)
+        for token in _TOKEN.findall(text.lower()):
+            c = seen.get(token)
             if c is None:
                 if len(seen) > 1_000_000:
                     seen.clear()
-                c = seen[term] = zlib.crc32(term.encode()) % COLUMNS
-            columns.append(c)
-        ends.append(len(columns))
-    return columns, ends
+                c = seen[token] = zlib.crc32(token.encode()) if token[0].isalpha() else -1
+            ids.append(c)
+        ids.append(-1)
+        of_text[n] = len(ids) - before
+    flat = np.array(ids, "int64")
+    text_of = np.repeat(np.arange(len(texts)), of_text)
+    word = flat >= 0
+    pair = word[:-1] & word[1:]
+    both = np.full((len(flat), 2), -1, "int64")
+    both[word, 0] = flat[word] % COLUMNS
+    left, right = flat[:-1][pair], flat[1:][pair]
+    both[:-1, 1][pair] = ((left * 2654435761 + right) % 4294967291) % COLUMNS
+    there = both >= 0
+    count = there.sum(axis=1)
+    per_text = np.bincount(text_of, count, minlength=len(texts)).astype("int64")
+    # A sentence ends at the last word before a mark.
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    start = np.concatenate([[0], np.cumsum(per_text)[:-1]])
+    ends = np.cumsum(count)[last] - start[text_of[last]]
+    return both[there].astype("int32"), per_text, ends.astype("int32"), np.bincount(text_of[last], minlength=len(texts))
 
 
 def _tokens(texts: DataFrame, key: str, text: str, language: str) -> DataFrame:
@@ -59,29 +78,29 @@ def _tokens(texts: DataFrame, key: str, text: str, language: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
         for b in batches:
-            both = [sentence_columns(t, seen) for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "lang": b["lang"], "columns": [np.array(c, "int32") for c, _ in both], "ends": [np.array(e, "int32") for _, e in both]})
+            columns, n, ends, m = sentence_columns(b["t"].tolist(), seen)
+            yield pd.DataFrame({"k": b["k"], "lang": b["lang"], "columns": np.split(columns, np.cumsum(n)[:-1]), "ends": np.split(ends, np.cumsum(m)[:-1])})
 
     rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(F.col(language)).alias("lang"))
     return rows.mapInPandas(run, f"k {kind}, lang string, columns array<int>, ends array<int>")
 
 
-def _mixtures(columns: np.ndarray, lengths: np.ndarray, mask: np.ndarray, h: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mixtures, their row of each token, tokens' components): the updates of one chunk's mixtures."""
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    part = h[columns]
-    w = mask / mask.sum(axis=1, keepdims=True)
-    for _ in range(inner):
-        share = w[row]
-        share *= part
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
-        w = np.add.reduceat(share, starts, axis=0) * (mask > 0)
-        w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
-        w = np.maximum(w, 1e-6) * mask
-    share = w[row] * part
-    share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
-    return w, row, share
+def _shares(columns: np.ndarray, lengths: np.ndarray, mask: np.ndarray, h: np.ndarray, inner: int) -> np.ndarray:
+    """How the components share each token, after updating each text's mixture ``inner`` times."""
+    share = h[columns]
+    at = 0
+    for n, allowed in zip(lengths.tolist(), mask, strict=True):
+        part = share[at : at + n]
+        w = allowed / allowed.sum()
+        for _ in range(inner):
+            w *= (1 / np.maximum(part @ w, 1e-12)) @ part
+            w /= w.sum()
+            np.maximum(w, 1e-6, out=w)
+            w *= allowed
+        part *= w
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-12)
+        at += n
+    return share
 
 
 def _chunks(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -148,7 +167,7 @@ def _anchors(tokens: DataFrame, subjects: list[str], described: list[str], langu
     labelled = counts[:, :k]
     seen: dict[str, int] = {}
     for i, words in enumerate(described):
-        for c in sentence_columns(words, seen)[0]:
+        for c in sentence_columns([words], seen)[0]:
             labelled[c, i] += 3.0
     h = np.full((COLUMNS, k + m), 1e-3)
     share = labelled / np.maximum(labelled.sum(axis=0), 1e-12)
@@ -174,10 +193,9 @@ def components(tokens: DataFrame, subjects: list[str], described: list[str], lan
         def add(b: pd.DataFrame, sums: np.ndarray) -> None:
             for part, columns, lengths in _chunks(b):
                 mask = _mask(part["labels"], len(subjects), n)
-                _, _, share = _mixtures(columns, lengths, mask, sent.value, inner)  # noqa: B023
-                order = np.argsort(columns, kind="stable")
-                found, at = np.unique(columns[order], return_index=True)
-                sums[found] += np.add.reduceat(share[order], at, axis=0)
+                share = _shares(columns, lengths, mask, sent.value, inner)  # noqa: B023
+                for c in range(n):
+                    sums[:, c] += np.bincount(columns, share[:, c], minlength=COLUMNS)
 
         counts = _sums(tokens, n, add)
         h = counts + anchor * first * counts.sum(axis=0) + 1e-7
