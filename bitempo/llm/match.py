@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bitempo.session import cut
 
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 32, 4
 #: Most labelled pairs that the classifier is fitted on, taken by hash of the pair.
 LABELLED = 20_000
 #: Accounts that score so much less than an identity's best are not its author's.
@@ -280,8 +280,8 @@ def _keys_of_accounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         rows = []
         for i, g, s in zip(b["name_id"], b["given"], b["surname"], strict=True):
             keys = {*bands(s), "s3:" + s[:3], "s4:" + s[:4], "s5:" + s[:5] + g[:1]}
-            rows.extend((i, k) for k in keys)
-        yield pd.DataFrame(rows, columns=["name_id", "key"])
+            rows.extend((i, s, k) for k in keys)
+        yield pd.DataFrame(rows, columns=["name_id", "surname", "key"])
 
 
 def _keys_of_identities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,13 +291,13 @@ def _keys_of_identities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
             words = parse_mail(mail)[0]
             surnames = {s for n in names for _, s, _ in parse_name(n)} | {_plain(w) for w in words if len(w) > 3}
             surnames |= {s[1:] for s in list(surnames) if len(s) > 5 and len(words) == 1} | {s[:-1] for s in list(surnames) if len(s) > 5 and len(words) == 1}
-            keys = {k for s in surnames if len(s) > 2 for k in bands(s)}
+            keys = {(k, s) for s in surnames if len(s) > 2 for k in bands(s)}
             for h in _handles(list(names), words):
                 glued = "".join(h)
                 if len(glued) >= 5:
-                    keys |= {"s3:" + glued[-3:], "s4:" + glued[-4:], "s5:" + glued[:6]}
-            rows.extend((provider, mail, k) for k in keys)
-        yield pd.DataFrame(rows, columns=["provider", "mail", "key"])
+                    keys |= {("s3:" + glued[-3:], ""), ("s4:" + glued[-4:], ""), ("s5:" + glued[:6], "")}
+            rows.extend((provider, mail, k, t) for k, t in keys)
+        yield pd.DataFrame(rows, columns=["provider", "mail", "key", "token"])
 
 
 def matches(people: DataFrame, commits: DataFrame, least: float = 0.5) -> DataFrame:
@@ -318,9 +318,11 @@ def matches(people: DataFrame, commits: DataFrame, least: float = 0.5) -> DataFr
     spread = accounts.groupBy("given", "surname").agg(F.count_distinct("account_id").alias("namesakes"))
     classes = accounts.select("given", "surname", "middle", "mail").distinct().join(spread, ["given", "surname"]).join(aliases, "given", "left")
     classes = cut(classes.withColumn("name_id", F.xxhash64("given", "surname", "middle", F.coalesce("mail", F.lit("")))))
-    left = classes.select("name_id", "given", "surname").mapInPandas(_keys_of_accounts, "name_id long, key string")
-    right = identities.mapInPandas(_keys_of_identities, "provider string, mail string, key string")
-    pairs = left.join(right, "key").select("name_id", "provider", "mail").distinct()
+    left = classes.select("name_id", "given", "surname").mapInPandas(_keys_of_accounts, "name_id long, surname string, key string")
+    right = identities.mapInPandas(_keys_of_identities, "provider string, mail string, key string, token string")
+    # Words that share a band by chance are told apart before Python sees the pair.
+    alike = (F.col("token") == "") | F.contains(F.col("token"), F.col("surname")) | (F.levenshtein("token", "surname") <= F.greatest(F.lit(2), F.floor(F.length("surname") / 4) + 1))
+    pairs = left.join(right, "key").where(alike).select("name_id", "provider", "mail").distinct()
     full = pairs.join(classes.withColumnRenamed("mail", "own_mail"), "name_id").join(identities, ["provider", "mail"])
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
