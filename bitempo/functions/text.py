@@ -72,9 +72,13 @@ def polarity_conflict(a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit("")).rlike(NEGATION) != F.coalesce(b, F.lit("")).rlike(NEGATION)
 
 
+def flat(text: Column) -> Column:
+    """Lower case, white space runs as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
 def evidence_in(evidence: Column, text: Column) -> Column:
     """Whether a text contains the evidence, whatever case and spacing."""
-    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     return F.coalesce((flat(evidence) != "") & F.contains(flat(text), flat(evidence)), F.lit(False))
 
 
