@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from bitempo.session import broadcast_if_small, cut, small
 
 COLUMNS = 1 << 16
 LANGUAGES = ("en", "de", "fr", "es")
-ROUNDS, INNER = 2, 3
+ROUNDS, INNER = 2, 2
 #: Weight of the anchors against what all texts say of a component.
 ANCHOR = 3.0
 #: Evidence a sentence needs to bear a subject, and the share of such sentences a text needs.
@@ -75,14 +75,15 @@ def sentence_columns(texts: list[str], seen: dict[str, int]) -> tuple[np.ndarray
 def _tokens(texts: DataFrame, key: str, text: str, language: str) -> DataFrame:
     kind = dict(texts.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for b in batches:
-            columns, n, ends, m = sentence_columns(b["t"].tolist(), seen)
-            yield pd.DataFrame({"k": b["k"], "lang": b["lang"], "columns": np.split(columns, np.cumsum(n)[:-1]), "ends": np.split(ends, np.cumsum(m)[:-1])})
+            columns, n, ends, m = sentence_columns(b["t"].to_pylist(), seen)
+            lists = lambda values, sizes: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"), values)
+            yield pa.RecordBatch.from_arrays([b["k"], b["lang"], lists(columns, n), lists(ends, m)], ["k", "lang", "columns", "ends"])
 
     rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(F.col(language)).alias("lang"))
-    return rows.mapInPandas(run, f"k {kind}, lang string, columns array<int>, ends array<int>")
+    return rows.mapInArrow(run, f"k {kind}, lang string, columns array<int>, ends array<int>")
 
 
 def _shares(columns: np.ndarray, lengths: np.ndarray, mask: np.ndarray, h: np.ndarray, inner: int) -> np.ndarray:
@@ -93,33 +94,36 @@ def _shares(columns: np.ndarray, lengths: np.ndarray, mask: np.ndarray, h: np.nd
         part = share[at : at + n]
         w = allowed / allowed.sum()
         for _ in range(inner):
-            w *= (1 / np.maximum(part @ w, 1e-12)) @ part
+            w *= (1 / (part @ w)) @ part  # no column of h is 0 for a component in use
             w /= w.sum()
             np.maximum(w, 1e-6, out=w)
             w *= allowed
+        part *= (1 / (part @ w))[:, None]
         part *= w
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-12)
         at += n
     return share
 
 
-def _chunks(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Rows with tokens, in chunks of about ``_CHUNK`` tokens."""
-    lengths = b["columns"].map(len).to_numpy()
-    b, lengths = b[lengths > 0], lengths[lengths > 0]
-    if not len(b):
+def _chunks(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with tokens, in chunks of about ``_CHUNK`` tokens: (rows, columns, their number in each row)."""
+    lengths = b["columns"].value_lengths().to_numpy(zero_copy_only=False)
+    if not lengths.all():
+        b = b.filter(pa.array(lengths > 0))
+        lengths = lengths[lengths > 0]
+    if not len(lengths):
         return
-    part = np.cumsum(lengths) // _CHUNK
-    for p in np.unique(part):
-        s = part == p
-        yield b[s], np.concatenate(b["columns"][s].to_list()), lengths[s]
+    part = np.cumsum(lengths, dtype="int64") // _CHUNK
+    cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        rows = b.slice(x, y - x)
+        yield rows, rows["columns"].flatten().to_numpy(zero_copy_only=False), lengths[x:y]
 
 
-def _mask(labels: pd.Series, n_subjects: int, n_all: int) -> np.ndarray:
+def _mask(labels: pa.Array, n_subjects: int, n_all: int) -> np.ndarray:
     """Components that each text may use: all, or its labels' and the background."""
     mask = np.ones((len(labels), n_all), "float32")
-    for i, found in enumerate(labels):
-        if found is not None and len(found):
+    for i, found in enumerate(labels.to_pylist()):
+        if found:
             mask[i, :n_subjects] = 0
             for k in found:
                 if k >= 0:
@@ -131,14 +135,14 @@ def _sums(tokens: DataFrame, n: int, add) -> np.ndarray:
     """(columns, n) sums over all texts of what ``add(batch, sums)`` puts into its partition's."""
     names = [f"c{i}" for i in range(n)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((COLUMNS, n))
         for b in batches:
             add(b, sums)
         used = np.nonzero(sums.any(axis=1))[0]
-        yield pd.DataFrame({"term": used.astype("int32"), **{c: sums[used, i].astype("float32") for i, c in enumerate(names)}})
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), *[pa.array(sums[used, i].astype("float32")) for i in range(n)]], ["term", *names])
 
-    parts = tokens.mapInPandas(run, "term int, " + ", ".join(f"{c} float" for c in names))
+    parts = tokens.mapInArrow(run, "term int, " + ", ".join(f"{c} float" for c in names))
     total = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # COLUMNS rows at most
     out = np.zeros((COLUMNS, n))
     out[total["term"].to_numpy()] = total[names].to_numpy(dtype=float)
@@ -149,16 +153,17 @@ def _anchors(tokens: DataFrame, subjects: list[str], described: list[str], langu
     """(columns, components) first components, from labelled texts, descriptions and languages."""
     k, m = len(subjects), len(languages)
 
-    def add(b: pd.DataFrame, sums: np.ndarray) -> None:
+    def add(b: pa.RecordBatch, sums: np.ndarray) -> None:
+        number = {x: i for i, x in enumerate(languages)}
         for part, columns, lengths in _chunks(b):
-            lang = part["lang"].map({x: i for i, x in enumerate(languages)}).fillna(-1).to_numpy(dtype=int)
+            lang = np.array([number.get(x, -1) for x in part["lang"].to_pylist()])
             each = np.repeat(lang, lengths)
             for i in range(m):
                 sums[:, k + i] += np.bincount(columns[each == i], minlength=COLUMNS)
                 sums[0, k + m + i] += (lang == i).sum()
             at = np.concatenate([[0], np.cumsum(lengths)])
-            for j, found in enumerate(part["labels"]):
-                if found is not None and len(found):
+            for j, found in enumerate(part["labels"].to_pylist()):
+                if found:
                     for x in found:
                         if x >= 0:
                             sums[:, x] += np.bincount(columns[at[j] : at[j + 1]], minlength=COLUMNS) / len(found)
@@ -190,7 +195,7 @@ def components(tokens: DataFrame, subjects: list[str], described: list[str], lan
     for _ in range(rounds):
         sent = context.broadcast(h.astype("float32"))
 
-        def add(b: pd.DataFrame, sums: np.ndarray) -> None:
+        def add(b: pa.RecordBatch, sums: np.ndarray) -> None:
             for part, columns, lengths in _chunks(b):
                 mask = _mask(part["labels"], len(subjects), n)
                 share = _shares(columns, lengths, mask, sent.value, inner)  # noqa: B023
@@ -234,26 +239,20 @@ def subjects_of(
     weight = np.where(posterior > 0.5, -np.log1p(-np.minimum(posterior, 0.999)), 0).astype("float32")
     sent = tokens.sparkSession.sparkContext.broadcast(weight)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, which, counts, shares = [], [], [], []
             for part, columns, lengths in _chunks(b):
                 base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                n_sentences = part["ends"].map(len).to_numpy()
-                ends = np.concatenate([e + o for e, o in zip(part["ends"], base, strict=True)])
-                starts = np.concatenate([[0], ends[:-1]])
-                z = np.add.reduceat(sent.value[columns], starts, axis=0)
+                n_sentences = part["ends"].value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lengths)), n_sentences)
+                ends = part["ends"].flatten().to_numpy(zero_copy_only=False) + base[row]
+                z = np.add.reduceat(sent.value[columns], np.concatenate([[0], ends[:-1]]), axis=0)
                 best = z.argmax(axis=1)
                 bears = z[np.arange(len(z)), best] >= evidence
-                row = np.repeat(np.arange(len(part)), n_sentences)
-                n = np.bincount(row[bears] * k + best[bears], minlength=len(part) * k).reshape(-1, k)
+                n = np.bincount(row[bears] * k + best[bears], minlength=len(lengths) * k).reshape(-1, k)
                 of = n.sum(axis=1, keepdims=True)
                 i, j = np.nonzero((n > 0) & (n >= share * of))
-                keys.extend(part["k"].to_numpy()[i].tolist())
-                which.extend(subjects[x] for x in j)
-                counts.extend(n[i, j].tolist())
-                shares.extend((n[i, j] / of[i, 0]).tolist())
-            yield pd.DataFrame({key: keys, "subject": which, "sentences": counts, "share": shares})
+                yield pa.RecordBatch.from_arrays([part["k"].take(pa.array(i)), pa.array([subjects[x] for x in j], pa.string()), pa.array(n[i, j]), pa.array(n[i, j] / of[i, 0])], [key, "subject", "sentences", "share"])
 
-    found = tokens.mapInPandas(read, f"`{key}` {kind}, subject string, sentences long, share double")
+    found = tokens.mapInArrow(read, f"`{key}` {kind}, subject string, sentences long, share double")
     return found.groupBy(key, "subject").agg(F.max("sentences").alias("sentences"), F.max("share").alias("share"))
