@@ -189,26 +189,23 @@ def _doubled(part: DataFrame) -> DataFrame:
 
 
 def _doubled_loops(part: DataFrame) -> DataFrame:
-    """Large components with a loop: whoever is on it is its own far ancestor.
+    """Large components with a loop, by doubling alone.
 
-    Nodes without children leave, level by level, until only the loop is left;
-    counts of levels follow the depth, so this is for the rare giant only.
+    When pointers reach as far as there are rows, they all stand on a loop, and
+    every row of a loop is stood on by another one of it.
     """
-    left = Cut(part.select("id", "parent"))
-    size = left.df.count()
-    while True:
-        step = Cut(left.df.join(left.df.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"))
-        n = step.df.count()
-        if n == size:
-            break
-        left.drop()
-        left, size = step, n
-    on = left.df.select("id", F.lit(True).alias("_on"), F.col("parent").alias("_up"))
-    least = F.col("component")
-    marked = part.join(on, "id", "left")
-    return marked.select(
-        "id", least.alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(-1).cast("long").alias("n_descendants"), F.lit(None).cast("string").alias("path"),
-        F.coalesce("_on", F.lit(False)).alias("in_loop"), ~F.coalesce("_on", F.lit(False)).alias("leads_to_loop"), F.when(F.col("_up") == least, None).alias("back_edge_to"),
+    now, reach, rows = Cut(part.select("id", F.col("parent").alias("ptr"))), 1, part.count()
+    while reach < rows:
+        step = Cut(now.df.join(now.df.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next")), "ptr").select("id", F.col("_next").alias("ptr")))
+        now.drop()
+        now, reach = step, reach * 2
+    on = now.df.select(F.col("ptr").alias("id"), F.lit(True).alias("_on")).distinct()
+    closing = part.where("id = component").select(F.col("parent").alias("id"), F.col("component").alias("back_edge_to"))
+    nothing = F.lit(-1).cast("long")
+    inside = F.coalesce(F.col("_on"), F.lit(False))
+    return part.join(on, "id", "left").join(closing, "id", "left").select(
+        "id", F.col("component").alias("root_id"), nothing.alias("depth"), nothing.alias("n_descendants"), F.lit(None).cast("string").alias("path"),
+        inside.alias("in_loop"), (~inside).alias("leads_to_loop"), "back_edge_to",
     )
 
 
@@ -218,7 +215,7 @@ def forest(links: DataFrame, component_rows: int = COMPONENT_ROWS, task_rows: in
     * ``parent`` null (or equal to no id, see ``parents``) makes a root with depth 0.
     * Rows on a loop, or leading into one, get the smallest id on the loop as
       ``root_id`` and -1 as depth and n_descendants; ``back_edge_to`` marks the
-      row whose child link closes the loop, in components walked in one task.
+      row whose child link closes the loop.
     * An empty table gives no rows.
 
     Components above ``component_rows`` are solved without gathering them.
