@@ -179,17 +179,19 @@ def features(given: str, surname: str, middle: str, aliases: list[str], mail: st
     f["initial_same"], f["initial_differs"] = float(bool(mine & theirs)), float(bool(mine and theirs and not mine & theirs))
     if own_tag and own_numbers:
         theirs_numbers = [*numbers, *[x for n in names if n for x in re.findall(r"\d{2,}", n)]]
-        f["number_same"] = float(any(own_numbers[-1] == x for x in theirs_numbers))
+        own = own_numbers[-1]
+        f["number_same"] = float(any(x == own or len(own) > 2 and x.endswith(own) for x in theirs_numbers))
         f["number_differs"] = float(namesakes > 1 and any(len(x) > 1 for x in theirs_numbers) and not f["number_same"])
     f["namesakes"] = float(np.log(max(1, namesakes)))
     return [f[k] for k in FEATURES]
 
 
-#: Weights before any label is seen (constant last).  Training moves away from them as far as labels demand.
-PRIOR = np.array([4.0, 3.0, 2.5, 2.0, -5.0, 2.0, 1.5, 6.5, 1.0, -8.0, 2.0, -8.0, -0.3, -0.3, -5.5])
+#: How firmly the weights are drawn to those before any label is seen (constant last).
+RIDGE = 20.0
+PRIOR = np.array([4.0, 3.0, 2.5, 2.0, -5.0, 2.0, 1.5, 6.5, 3.0, -8.0, 2.0, -8.0, -0.3, -0.3, -5.5])
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
     """Weights of a logistic classifier (constant last), by Newton's method, drawn to ``prior``."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = prior.copy()
