@@ -65,11 +65,11 @@ timed AS (SELECT change_id, issue_id AS entity_id, attribute, nullif(regexp_repl
   FROM latest WHERE attribute IN ('status','assignee','priority') AND issue_id IS NOT NULL),
 change_events AS (SELECT DISTINCT ON (entity_id, attribute, at_ms) entity_id, attribute, at_ms, v, CAST(NULL AS BIGINT) AS e
   FROM timed WHERE at_ms IS NOT NULL ORDER BY entity_id, attribute, at_ms, change_id DESC)"""
-_EDGES = """
+EDGES = """
 edge_events AS (SELECT DISTINCT ON (from_uid, rel_type, valid_at) from_uid AS entity_id, rel_type AS attribute, epoch_ms(valid_at) AS at_ms, to_uid AS v, epoch_ms(invalid_at) AS e
   FROM edge WHERE rel_type IN ('ASSIGNED_TO','BELONGS_TO','REPORTED_BY') AND assertion_status = 'live' AND valid_at IS NOT NULL AND from_uid IS NOT NULL
   ORDER BY from_uid, rel_type, valid_at, observed_at DESC NULLS LAST)"""
-_VERSIONS = """
+VERSIONS = """
 near AS (SELECT *, lag(v) OVER w AS pv, lag(e) OVER w AS pe, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY entity_id, attribute ORDER BY at_ms)),
 runs AS (SELECT *, sum(CASE WHEN n = 1 OR v IS DISTINCT FROM pv OR pe < at_ms THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, attribute ORDER BY at_ms) AS run FROM near),
 spans AS (SELECT entity_id, attribute, run, min(at_ms) AS f, arg_max(v, at_ms) AS v, max_by(coalesce(e, -1), at_ms) AS e FROM runs GROUP BY ALL),
@@ -90,8 +90,8 @@ onloop AS (SELECT DISTINCT id FROM chase WHERE id = spot),
 stuck AS (SELECT c.id, min(c.spot) AS root_id FROM chase c JOIN onloop o ON c.spot = o.id GROUP BY 1)"""
 
 ORACLES = {
-    "p1_found": "WITH " + _CHANGES.strip() + "," + _EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + _VERSIONS,
-    "p1_merged": "WITH " + _CHANGES.strip() + ",\nevents AS (FROM change_events)," + _VERSIONS,
+    "p1_found": "WITH " + _CHANGES.strip() + "," + EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + VERSIONS,
+    "p1_merged": "WITH " + _CHANGES.strip() + ",\nevents AS (FROM change_events)," + VERSIONS,
     "p2_found": _TREE + """
 SELECT d.id AS issue_id, root_id, depth, coalesce(n, 0) AS n_descendants FROM down d LEFT JOIN below b ON d.id = b.id
 UNION ALL SELECT id, root_id, -1, -1 FROM stuck""",

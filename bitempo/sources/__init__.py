@@ -1 +1 @@
-
+"""Readers of exported records, with fixed schemas."""
