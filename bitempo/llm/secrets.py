@@ -53,7 +53,7 @@ PLACEHOLDERS = {
 ISSUERS = ("AKIA", "ASIA", "FJRD", "ORBK", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glowkey-", "glpat-", "lum_pat_", "nmb_live_", "npm_", "pypi-", "qzk-", "sk_live_", "tdr-sk-", "vlt2:", "whk_", "xoxb-", "xoxp-", "xs7.")
 
 _NAME = r"[A-Za-z_][\w.\-]{0,80}"
-_QUOTED = r"\"(?:\\.|[^\"\\\n]){1,20000}\"|'(?:\\.|[^'\\\n]){1,20000}'|`(?:\\.|[^`\\]){1,20000}`"
+_QUOTED = r"\"(?:\\.|[^\"\\\n]){1,20000}+\"|'(?:\\.|[^'\\\n]){1,20000}+'|`(?:\\.|[^`\\]){1,20000}+`"
 ASSIGN = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})(?:\\?[\"'`])?\]?[ \t]{{0,4}}(?:=>|:=|=(?!=)|:(?!//)|,(?=[ \t]*[\"'`]))[ \t]{{0,4}}\(?(?P<value>{_QUOTED}|[^\s\"'`,;()\[\]{{}}<>#]{{4,2000}})")
 OPTION = re.compile(rf"(?<![\w\-])--?(?P<name>{_NAME})[ =](?P<value>{_QUOTED}|[^\s\"'`]{{4,2000}})")
 SAID = re.compile(r"(?i)\b(?P<name>password|passwort|passphrase|kennwort|identified\s+by)[ \t]+(?:is[ \t]+|was[ \t]+|=[ \t]*)?(?P<value>'[^'\n]{4,200}'|\"[^\"\n]{4,200}\"|[^\s'\",;]{4,200})")
@@ -68,7 +68,7 @@ PAIR = re.compile(rf"(?m)^[ \t]*-?[ \t]*\"?name\"?:[ \t]*[\"']?(?P<name>{_NAME})
 KUBE = re.compile(r"(?m)^(?P<pad>[ \t]*)kind:[ \t]*Secret[ \t]*\r?$(?P<rest>(?:\r?\n(?!---)[^\n]*){0,60})")
 KUBE_DATA = re.compile(r"(?m)^(?P<pad>[ \t]*)(?P<part>data|stringData):[ \t]*\r?\n(?P<rows>(?:(?P=pad)[ \t]+[^\n]*(?:\n|$))+)")
 KUBE_ROW = re.compile(r"(?m)^[ \t]+(?P<name>[\w.\-]+):[ \t]*(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"'|>][^\s]*)")
-LITERAL = re.compile(r"(?P<quote>[\"'`])(?P<inner>(?:\\.|(?!(?P=quote))[^\\\n]){12,20000})(?P=quote)|(?<![\w+/=%.\-])(?P<bare>(?:[A-Za-z0-9+/_\-]{20,20000}={0,2}|(?:[\w.\-]*%[0-9A-Fa-f]{2}[\w.\-]*){4,}))(?![\w+/=%])")
+LITERAL = re.compile(r"(?<!\\)(?P<quote>[\"'`])(?P<inner>(?:\\.|(?!(?P=quote))[^\\\n]){12,20000}+)(?P=quote)|(?<![\w+/=%.\-])(?P<bare>(?:[A-Za-z0-9+/_\-]{20,20000}={0,2}|(?:[\w.\-]*%[0-9A-Fa-f]{2}[\w.\-]*){4,}))(?![\w+/=%])")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=?|[A-Za-z0-9+/]{2}(?:==)?)|(?:[A-Za-z0-9_\-]{4})*(?:[A-Za-z0-9_\-]{2,4})={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2})+")
 _REFERENCE = re.compile(r"^(?:\$\{|\$\(|\$[A-Za-z_]|\$\{\{|\{\{|%\(|%[A-Z_]+%$|env[:.(]|vault[:(]|secretref|ref[:+]|op://|ssm:|arn:|file:|@|<[^>]*>$|&[a-z]|process\.env|os\.(?:environ|getenv)|getenv|System\.getenv|self\.|this\.|config[.(\[]|settings[.(\[]|args\.|!Ref|None$)")
@@ -187,6 +187,15 @@ def container(b: bytes) -> str:
     return ""
 
 
+def public(v: str) -> bool:
+    """Whether a literal is a whole DER structure that holds no private key."""
+    for _, b in layers(v):
+        top = _tlv(b, 0)
+        if top and top[0] == 0x30 and top[2] == len(b) > 30 and _items(b, top[1], top[2]) and not container(b):
+            return True
+    return False
+
+
 # --- encoded layers ---------------------------------------------------------
 
 
@@ -268,7 +277,7 @@ def _judge(name: str, v: str, depth: int, joined: bool = False) -> tuple[str, st
     if joined and kind == "key":
         kind = "credential"
     v = v.strip()
-    if not v or placeholder(v) or _DIGEST.match(v) or kind == "digest":
+    if not v or placeholder(v) or _DIGEST.match(v) or kind == "digest" or (len(v) > 40 and public(v)):
         return "", ""
     if "-----BEGIN" in v or "://" in v or (m := re.match(r"(?i)(basic|bearer)\s+\S", v)) is not None and m:
         return "", ""  # these have their own patterns
@@ -292,7 +301,7 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
     for m in PEM.finditer(text):
         body = re.sub(r"\\[nr]|[\s#*\"'+;]|//|--|[\w\-]+: [^\n]*\n", "", m["body"])
         if "PRIVATE KEY" in m["label"] and len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40 and not placeholder(body[:200]):
-            add(*m.span(), "private key")
+            add(*m.span(), "pem private key")
     for m in LINK.finditer(text):
         v = m["value"]
         if not placeholder(v) and not placeholder(m["user"] or "user.name") or (v and not placeholder(v) and password_like(v)):
@@ -373,7 +382,7 @@ def redact(text: str, finds: list[Find]) -> str:
     for f in finds:
         parts.append(text[at : f.start])
         old = text[f.start : f.end]
-        if f.kind == "private key":
+        if f.kind == "pem private key":
             head = re.match(r"-----BEGIN [^-]*-----", old)[0]
             tail = re.search(r"-----END [^-]*-----$", old)[0]
             parts.append(head + re.sub(r"[A-Za-z0-9+/=]{16,}", MARK, old[len(head) : -len(tail)]) + tail)
