@@ -192,15 +192,22 @@ PRIOR = np.array([4.0, 3.0, 2.5, 2.0, -5.0, 2.0, 1.5, 6.5, 3.0, -8.0, 2.0, -8.0,
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
-    """Weights of a logistic classifier (constant last), by Newton's method, drawn to ``prior``."""
+    """Weights of a logistic classifier (constant last), by damped Newton steps, drawn to ``prior``."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = prior.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = x1 @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * ((w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + ridge * np.eye(len(w)), x1.T @ (y - p) - ridge * (w - prior))
-        w += step
-        if np.abs(step).max() < 1e-8:
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if new > now or np.abs(step).max() < 1e-8:
             break
+        w, now = w + step, new
     return w
 
 
@@ -214,7 +221,7 @@ def train(x: np.ndarray, y: np.ndarray, folds: int = 5) -> tuple[np.ndarray, np.
     for k in range(folds):
         out = np.arange(len(y)) % folds == k
         held[out] = score(fit(x[~out], y[~out], PRIOR), x[out])
-    return fit(x, y, PRIOR), fit(held[:, None], y, np.array([1.0, 0.0]))
+    return fit(x, y, PRIOR), fit(held[:, None], y, np.array([1.0, 0.0]), ridge=1.0)
 
 
 def _accounts(people: DataFrame) -> DataFrame:
