@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.session import Cut, cut
+from bitempo.session import Cut
 
 #: Components up to this many nodes are walked in one task.
 COMPONENT_ROWS = 200_000
@@ -52,40 +52,30 @@ def components(links: DataFrame) -> DataFrame:
     """``(id, parent, component)``: the root's id, or the smallest id of the loop.
 
     Each row keeps a pointer to an ancestor, whose distance doubles every
-    round.  Rows leave when the pointer is a root; when a round lets no row go
-    the rest all lead into loops, and doubling goes on until the pointers'
-    reach is the number of these rows, carrying the smallest id seen.
+    round, one join and one written table.  Rows leave when their pointer is a
+    root; when a round lets no row go the rest all lead into loops, and
+    doubling goes on until the pointers' reach is the number of these rows,
+    carrying the smallest id seen.
     """
     tops = links.where("parent is null").select("id", "parent", F.col("id").alias("component"))
-    rest = Cut(links.where("parent is not null").select("id", "parent", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")))
-    roots = links.where("parent is null").select(F.col("id").alias("ptr"), F.lit(True).alias("_root"))
-    done, reach, open_rows, looping = [tops], 1, rest.df.count(), False
-    while open_rows:
+    rest = Cut(links.where("parent is not null").select("id", "parent", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low"))).df
+    done, reach, waiting, looping = [tops], 1, rest.count(), False
+    at = lambda df, ptr, low, ended: df.select(F.col("id").alias("ptr"), F.col(ptr).alias("_next"), low.alias("_low"), F.lit(ended).alias("_done"))
+    while waiting and not (looping and reach >= waiting):
+        hop = at(rest, "ptr", F.col("low"), False)
+        for d in [] if looping else done:
+            hop = hop.unionByName(at(d, "component", F.lit(None).cast("string"), True))
+        step = Cut(rest.join(hop, "ptr").select("id", "parent", F.col("_next").alias("ptr"), F.least("low", "_low").alias("low"), "_done")).df
+        reach *= 2
+        rest = step.where("not _done").drop("_done")
         if not looping:
-            marked = Cut(rest.df.join(roots, "ptr", "left"))
-            gone = marked.df.where("_root").select("id", "parent", F.col("ptr").alias("component"))
-            left = marked.df.where("_root is null").drop("_root")
-            remaining = left.count()
-            done.append(gone)
-            looping = remaining == open_rows
-            # A pointer may stand on a row that just left: its own pointer is that row's root.
-            finished = gone.select(F.col("id").alias("ptr"), F.col("component").alias("_next"), F.lit(None).cast("string").alias("_low"))
-            hop = left.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"), F.col("low").alias("_low"))
-            earlier = [d.select(F.col("id").alias("ptr"), F.col("component").alias("_next"), F.lit(None).cast("string").alias("_low")) for d in done[1:-1]]
-            for e in [finished, *earlier]:
-                hop = hop.unionByName(e)
-        else:
-            left, remaining = rest.df, open_rows
-            hop = left.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"), F.col("low").alias("_low"))
-        if not remaining:
-            break
-        if looping and reach >= remaining:
-            # Every pointer is on its loop and low is the least id from the row on; on the loop that is the loop's.
-            on = left.select(F.col("id").alias("ptr"), F.col("low").alias("component"))
-            done.append(cut(left.join(on, "ptr").select("id", "parent", "component")))
-            break
-        step = Cut(left.join(hop, "ptr").select("id", "parent", F.col("_next").alias("ptr"), F.least("low", "_low").alias("low")))
-        rest, open_rows, reach = step, remaining, reach * 2
+            done.append(step.where("_done").select("id", "parent", F.col("ptr").alias("component")))
+            before, waiting = waiting, rest.count()
+            looping = waiting == before
+    if waiting:
+        # Every pointer is on its loop, and a row of a loop has seen the whole of it.
+        on = rest.select(F.col("id").alias("ptr"), F.col("low").alias("component"))
+        done.append(rest.drop("low").join(on, "ptr").select("id", "parent", "component"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
