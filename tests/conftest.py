@@ -1,10 +1,13 @@
 import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+os.environ["TZ"] = "UTC"
+time.tzset()
 DATA = "/root/testdata"
 
 
