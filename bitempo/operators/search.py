@@ -54,13 +54,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def meet(queries: DataFrame, rows: DataFrame, query_block: int = 500, row_block: int = 20_000) -> DataFrame:
+    """A stated set of ``queries(q, ...)`` against all ``rows(id, ...)``, in blocks.
+
+    Both sides are cut into blocks of a bounded size, and each meeting of two
+    blocks is one cell of an equi join, so neither side is sent whole.
+    """
+    nq, nr = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (rows, row_block)))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("_rb", number(nr))
+    right = rows.withColumn("_rb", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int")).withColumn("_qb", number(nq))
+    return left.join(right, ["_qb", "_rb"]).drop("_qb", "_rb")
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, most: float = 2.0) -> DataFrame:
-    """``(q, id, cosine, rank)``: exact k nearest of a stated set of unit vectors.
+    """``(q, id, cosine, rank)``: exact k nearest for a stated set of unit vectors.
 
-    ``queries(q, qv)`` is a stated set and is broadcast, ``rows(id, v)`` stay
-    where they lie.  A band ``[least, most)`` is applied before the limit.
+    ``queries(q, qv)`` meet ``rows(id, v)``.  A band ``[least, most)`` is
+    applied before the limit.
     """
-    scored = rows.crossJoin(F.broadcast(queries)).select("q", "id", dot(F.col("qv"), F.col("v")).alias("cosine")).where((F.col("cosine") >= least) & (F.col("cosine") < most))
+    scored = meet(queries, rows).select("q", "id", dot(F.col("qv"), F.col("v")).alias("cosine")).where((F.col("cosine") >= least) & (F.col("cosine") < most))
     return top(scored, ["q"], "id", k, "cosine")
 
 

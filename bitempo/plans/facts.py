@@ -112,19 +112,19 @@ def record_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p FROM documents WHERE text IS NOT NULL),
-o AS (SELECT DISTINCT doc_id, md5(p) AS c FROM u), n AS (SELECT DISTINCT doc_id, md5(regexp_replace(p, 'March', 'April', 'g')) AS c FROM u WHERE doc_id % 2 = 0)
+o AS (SELECT DISTINCT doc_id, md5(p) AS c FROM u), n AS (SELECT DISTINCT doc_id, md5(regexp_replace(p, 'March', 'April', 'g')) AS c FROM u)
 SELECT doc_id, CASE WHEN n.c IS NULL THEN 'superseded' WHEN o.c IS NULL THEN 'added' ELSE 'kept' END AS state, count(*) AS chunks
-FROM (SELECT * FROM o WHERE doc_id % 2 = 0) o FULL JOIN n USING (doc_id, c) GROUP BY ALL""")
+FROM o FULL JOIN n USING (doc_id, c) GROUP BY ALL""")
 def chunk_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs kept, added and superseded when half of the documents are read again, edited."""
+    """Paragraphs kept, added and superseded when the documents are read again, edited."""
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("record_key"), F.explode(F.split("text", "\n\n")).alias("p"))
     old = docs.select("record_key", F.md5("p").alias("chunk_id"))
-    new = docs.where("record_key % 2 = 0").select("record_key", F.md5(F.regexp_replace("p", "March", "April")).alias("chunk_id"))
+    new = docs.select("record_key", F.md5(F.regexp_replace("p", "March", "April")).alias("chunk_id"))
     return changes.chunk_diff(old, new).groupBy(F.col("record_key").alias("doc_id"), "state").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 _UP = f"""WITH {FACTS}, batch AS (SELECT DISTINCT ON (from_uid, to_uid) from_uid, to_uid, ['r:' || substr(to_uid, 1, 8)] AS k FROM facts WHERE rel_type = 'PARENT_OF' ORDER BY from_uid, to_uid),
-old AS (SELECT DISTINCT ON (from_uid, rel_type, to_uid) * FROM facts WHERE rel_type IN ('PARENT_OF', 'BLOCKS') AND from_uid IS NOT NULL AND to_uid IS NOT NULL AND NOT (rel_type = 'PARENT_OF' AND to_uid < '8')
+old AS (SELECT DISTINCT ON (from_uid, rel_type, to_uid) * FROM facts WHERE rel_type IN ('PARENT_OF', 'BLOCKS') AND from_uid IS NOT NULL AND to_uid IS NOT NULL AND NOT (rel_type = 'PARENT_OF' AND confidence < 0.8)
   ORDER BY from_uid, rel_type, to_uid, fact_uid),
 both_ AS (SELECT coalesce(o.from_uid, n.from_uid) AS from_uid, coalesce(o.rel_type, 'PARENT_OF') AS rel_type, coalesce(o.to_uid, n.to_uid) AS to_uid, o.fact_uid, o.valid_at, o.source_record_keys AS ok, n.k AS nk
   FROM old o FULL JOIN batch n ON o.from_uid = n.from_uid AND o.to_uid = n.to_uid AND o.rel_type = 'PARENT_OF')
@@ -136,7 +136,7 @@ SELECT from_uid, rel_type, to_uid, CASE WHEN fact_uid IS NULL THEN 'new' ELSE 'o
 def fact_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Facts of a batch are made, or confirmed where they are known."""
     f = base.facts(spark, d).where("from_uid is not null and to_uid is not null")
-    old = f.where("rel_type in ('PARENT_OF', 'BLOCKS') and not (rel_type = 'PARENT_OF' and to_uid < '8')")
+    old = f.where("rel_type in ('PARENT_OF', 'BLOCKS') and not (rel_type = 'PARENT_OF' and confidence < 0.8)")
     rest = [c for c in f.columns if c not in facts.KEY]
     old = old.groupBy(*facts.KEY).agg(F.min_by(F.struct(*rest), "fact_uid").alias("s")).select(*facts.KEY, "s.*")
     batch = f.where("rel_type = 'PARENT_OF'").select("from_uid", "rel_type", "to_uid", F.array(F.concat(F.lit("r:"), F.substring("to_uid", 1, 8))).alias("source_record_keys"))
@@ -145,32 +145,32 @@ def fact_upsert(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*facts.KEY, F.when(F.col("_o"), "old").otherwise("new").alias("origin"), F.unix_millis("valid_at").alias("valid_ms"), F.coalesce(F.size("source_record_keys"), F.lit(0)).cast("long").alias("records"))
 
 
-@query(f"""WITH {FACTS} SELECT fact_uid, coalesce(epoch_ms(CASE WHEN rel_type = 'ASSIGNED_TO' AND from_uid < '8' AND {LIVE} THEN TIMESTAMP '{NOW}' ELSE invalid_at END), -1) AS ended_ms FROM facts""")
+@query(f"""WITH {FACTS} SELECT fact_uid, coalesce(epoch_ms(CASE WHEN rel_type = 'ASSIGNED_TO' AND from_uid IS NOT NULL AND {LIVE} THEN TIMESTAMP '{NOW}' ELSE invalid_at END), -1) AS ended_ms FROM facts""")
 def fact_supersede(spark: SparkSession, d: str) -> DataFrame:
     f = base.facts(spark, d)
-    closed, _ = facts.supersede(f, "ASSIGNED_TO", f.where("from_uid < '8'"), ts(NOW))
+    closed, _ = facts.supersede(f, "ASSIGNED_TO", f, ts(NOW))
     return closed.select("fact_uid", F.coalesce(F.unix_millis("invalid_at"), F.lit(-1)).alias("ended_ms"))
 
 
-@query(f"""WITH {FACTS}, gone AS (SELECT DISTINCT k FROM (SELECT unnest(source_record_keys) AS k FROM facts) WHERE k < 'jira:c0:work_item:1003'),
+@query(f"""WITH {FACTS}, gone AS (SELECT DISTINCT k FROM (SELECT unnest(source_record_keys) AS k FROM facts WHERE confidence < 0.6) WHERE k IS NOT NULL),
 lost AS (SELECT fact_uid, list(DISTINCT k) AS ks FROM (SELECT fact_uid, unnest(source_record_keys) AS k FROM facts) JOIN gone USING (k) GROUP BY 1),
 x AS (SELECT f.*, CAST(len(list_distinct([k for k in f.source_record_keys if NOT list_contains(coalesce(l.ks, []), k)])) AS BIGINT) AS rest, l.fact_uid IS NOT NULL AS hit FROM facts f LEFT JOIN lost l USING (fact_uid))
 SELECT fact_uid, CASE WHEN hit THEN rest ELSE coalesce(len(source_record_keys), 0) END AS records, coalesce(epoch_ms(CASE WHEN hit AND rest = 0 AND invalid_at IS NULL THEN TIMESTAMP '{NOW}' ELSE invalid_at END), -1) AS ended_ms FROM x""")
 def support_removal(spark: SparkSession, d: str) -> DataFrame:
     """Facts after some records are gone: those without any record left end."""
     f = base.facts(spark, d)
-    gone = f.select(F.explode("source_record_keys").alias("record_key")).where("record_key < 'jira:c0:work_item:1003'")
+    gone = f.where("confidence < 0.6").select(F.explode("source_record_keys").alias("record_key"))
     out = facts.remove_support(f, gone, ts(NOW))
     return out.select("fact_uid", F.coalesce(F.size("source_record_keys"), F.lit(0)).cast("long").alias("records"), F.coalesce(F.unix_millis("invalid_at"), F.lit(-1)).alias("ended_ms"))
 
 
-@query(f"""WITH {FACTS} SELECT fact_uid, coalesce(epoch_ms(CASE WHEN rel_type = 'BLOCKS' AND {LIVE} AND valid_at < TIMESTAMP '{AT}' THEN TIMESTAMP '{AT}' WHEN rel_type = 'PARENT_OF' AND to_uid < '4' THEN valid_at ELSE invalid_at END), -1) AS ended_ms,
-CASE WHEN rel_type = 'PARENT_OF' AND to_uid < '4' THEN 'corrected' ELSE assertion_status END AS status FROM facts""")
+@query(f"""WITH {FACTS} SELECT fact_uid, coalesce(epoch_ms(CASE WHEN rel_type = 'BLOCKS' AND {LIVE} AND valid_at < TIMESTAMP '{AT}' THEN TIMESTAMP '{AT}' WHEN rel_type = 'PARENT_OF' AND confidence < 0.6 THEN valid_at ELSE invalid_at END), -1) AS ended_ms,
+CASE WHEN rel_type = 'PARENT_OF' AND confidence < 0.6 THEN 'corrected' ELSE assertion_status END AS status FROM facts""")
 def fact_close_correct(spark: SparkSession, d: str) -> DataFrame:
     """Facts of one relation closed at an instant, and some of another corrected."""
     f = base.facts(spark, d)
     out = facts.close(f, f.where(f"rel_type = 'BLOCKS' and valid_at < '{AT}'").select("fact_uid", ts(AT).alias("valid_to")))
-    out = facts.correct(out, f.where("rel_type = 'PARENT_OF' and to_uid < '4'"))
+    out = facts.correct(out, f.where("rel_type = 'PARENT_OF' and confidence < 0.6"))
     return out.select("fact_uid", F.coalesce(F.unix_millis("invalid_at"), F.lit(-1)).alias("ended_ms"), F.col("assertion_status").alias("status"))
 
 
@@ -186,13 +186,13 @@ def node_stubs(spark: SparkSession, d: str) -> DataFrame:
     return facts.stubs(base.facts(spark, d), table(spark, d, "entity_embeddings"))
 
 
-@query("""WITH c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN lower(c_mktsegment) END AS seg FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal >= 0), b AS (SELECT c_custkey, CASE WHEN c_acctbal < 5000 THEN lower(c_mktsegment) END AS seg FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT 'customer:' || coalesce(c.c_custkey, b.c_custkey) AS uid, coalesce(b.seg, c.c_mktsegment) AS name, c.c_custkey IS NULL AS made FROM c FULL JOIN b USING (c_custkey)""")
 def node_upsert(spark: SparkSession, d: str) -> DataFrame:
     """A null of the batch never overwrites; new entities are made."""
-    c = table(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("uid"), "c_custkey", F.col("c_mktsegment").alias("name"))
-    nodes = c.where("c_custkey % 3 > 0").select("uid", "name", ts(AT).alias("first_seen_at"), ts(AT).alias("last_seen_at"))
-    batch = c.where("c_custkey % 2 = 0").select("uid", F.when(F.col("c_custkey") % 5 > 0, F.lower("name")).alias("name"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("uid"), "c_acctbal", F.col("c_mktsegment").alias("name"))
+    nodes = c.where("c_acctbal >= 0").select("uid", "name", ts(AT).alias("first_seen_at"), ts(AT).alias("last_seen_at"))
+    batch = c.where("name <> 'BUILDING'").select("uid", F.when(F.col("c_acctbal") < 5000, F.lower("name")).alias("name"))
     return facts.upsert_nodes(nodes, batch, ts(NOW)).select("uid", "name", (F.col("first_seen_at") == ts(NOW)).alias("made"))
 
 
@@ -233,10 +233,10 @@ def moved_records(spark: SparkSession, d: str) -> DataFrame:
     return changes.moved_from(r)
 
 
-@query("""SELECT DISTINCT record_key FROM documents WHERE record_key LIKE 'github:c0:%' AND record_key NOT IN (SELECT record_key FROM documents WHERE doc_id % 4 > 0 AND record_key IS NOT NULL)""")
+@query("""SELECT DISTINCT record_key FROM documents WHERE record_key LIKE 'github:c0:%' AND record_key NOT IN (SELECT record_key FROM documents WHERE created_at >= TIMESTAMP '2023-01-01' AND record_key IS NOT NULL)""")
 def reconcile_missing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return changes.missing(docs, docs.where("doc_id % 4 > 0"), "github:c0:")
+    return changes.missing(docs, docs.where("created_at >= timestamp_ntz'2023-01-01 00:00:00'"), "github:c0:")
 
 
 @query(f"""WITH {FACTS}, x AS (SELECT fact_uid, confidence, CASE ascii(substr(fact_uid, 1, 1)) % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'durable' WHEN 2 THEN 'task' ELSE NULL END AS decay, observed_at, ascii(substr(fact_uid, 2, 1)) % 2 = 0 AS closed, ascii(substr(fact_uid, 3, 1)) % 5 = 0 AS pinned FROM facts),

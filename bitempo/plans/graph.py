@@ -55,11 +55,11 @@ def latest_by_group(spark: SparkSession, d: str) -> DataFrame:
     return graph.latest(c, ["repository_full_name"], ["authored_at", "sha"], 2).select("repository_full_name", "sha", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH p AS (SELECT DISTINCT substr(sha, 1, 7) AS prefix FROM github_commit WHERE sha < '4') SELECT DISTINCT prefix, commit_hash FROM bitbucket_commit, p WHERE starts_with(commit_hash, prefix)
+@query("""WITH p AS (SELECT DISTINCT substr(sha, 1, 7) AS prefix FROM github_commit) SELECT DISTINCT prefix, commit_hash FROM bitbucket_commit, p WHERE starts_with(commit_hash, prefix)
 UNION SELECT prefix, sha FROM github_commit, p WHERE starts_with(sha, prefix)""")
 def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "github_commit").select(F.col("sha").alias("commit_hash"))
-    p = g.where("commit_hash < '4'").select(F.substring("commit_hash", 1, 7).alias("prefix"))
+    p = g.select(F.substring("commit_hash", 1, 7).alias("prefix"))
     rows = g.unionByName(table(spark, d, "bitbucket_commit").select("commit_hash")).distinct()
     return graph.by_prefix(rows, "commit_hash", p, 7).select("prefix", "commit_hash")
 
@@ -117,14 +117,14 @@ def expand_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {FACTS}, r AS (SELECT DISTINCT k FROM (SELECT unnest(source_record_keys) AS k FROM facts) WHERE k LIKE '%1'),
+@query(f"""WITH {FACTS}, r AS (SELECT DISTINCT k FROM (SELECT unnest(source_record_keys) AS k FROM facts) WHERE k LIKE 'jira:%'),
 m AS (SELECT from_uid AS uid, unnest(source_record_keys) AS k FROM facts UNION ALL SELECT to_uid, unnest(source_record_keys) FROM facts), v AS (SELECT DISTINCT uid FROM m WHERE k IN (FROM r)),
 b AS (SELECT DISTINCT fact_uid FROM (SELECT fact_uid, unnest(source_record_keys) AS k FROM facts WHERE {LIVE}) WHERE k IN (FROM r))
 SELECT fact_uid FROM facts WHERE {LIVE} AND fact_uid IN (FROM b) AND from_uid IN (FROM v) AND to_uid IN (FROM v)""")
 def visible_graph(spark: SparkSession, d: str) -> DataFrame:
     """Live facts that a reader of some records may see between nodes that they may see."""
     f = base.facts(spark, d)
-    records = f.select(F.explode("source_record_keys").alias("record_key")).where(F.col("record_key").endswith("1"))
+    records = f.select(F.explode("source_record_keys").alias("record_key")).where(F.col("record_key").startswith("jira:"))
     _, shown = graph.visible(base.nodes(spark, d), _live(spark, d), writes.mentions(f), records)
     return shown.select("fact_uid")
 

@@ -70,12 +70,12 @@ def fulltext_fusion_per_label(spark: SparkSession, d: str) -> DataFrame:
     return search.fuse_labels(_labelled(spark, d), "per_label_rank", 30).withColumn("rank", F.col("rank").cast("long"))
 
 
-_VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), sc AS (SELECT a.vec_id AS q, b.vec_id AS id, list_dot_product(a.e, b.e) AS c FROM v a, v b WHERE a.vec_id < 20)"
+_VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), sc AS (SELECT a.vec_id AS q, b.vec_id AS id, list_dot_product(a.e, b.e) AS c FROM v a, v b WHERE a.vec_id % 20 = 0)"
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return rows.where("id < 20").select(F.col("id").alias("q"), F.col("v").alias("qv")), rows
+    return rows.where("id % 20 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv")), rows
 
 
 @query(f"WITH {_VEC} SELECT q, id, round(c, 5) AS cosine, row_number() OVER (PARTITION BY q ORDER BY c DESC, id) AS rank FROM sc QUALIFY rank <= 10")
@@ -96,7 +96,7 @@ _CH = f"WITH {_VEC}, a AS (SELECT q, id, 1 AS channel, row_number() OVER (PARTIT
 def _channels(spark: SparkSession, d: str) -> DataFrame:
     q, rows = _vectors(spark, d)
     best = search.nearest(q, rows, 12).select("q", F.lit(1).alias("channel"), "rank", "id")
-    scored = rows.crossJoin(F.broadcast(q)).select("q", "id", (-F.abs(search.dot(F.col("qv"), F.col("v")))).alias("score"))
+    scored = search.meet(q, rows).select("q", "id", (-F.abs(search.dot(F.col("qv"), F.col("v")))).alias("score"))
     return best.unionByName(search.top(scored, ["q"], "id", 12).select("q", F.lit(2).alias("channel"), "rank", "id"))
 
 
@@ -172,10 +172,10 @@ def polarity(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.polarity_conflict(F.col("text"), F.lit("")).alias("negates"))
 
 
-@query(r"""WITH i AS (SELECT item_id, lower(trim(regexp_replace(substr(passage, 1, 40), '\s+', ' ', 'g'))) AS e FROM eval_item) SELECT doc_id, item_id FROM documents JOIN i ON contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), e)""")
+@query(r"""WITH i AS (SELECT item_id, lower(trim(regexp_replace(split_part(passage, '. ', 1), '\s+', ' ', 'g'))) AS e FROM eval_item) SELECT doc_id, item_id FROM documents JOIN i ON contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), e)""")
 def evidence_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that contain the first 40 characters of an evaluation item (a stated, fixed set)."""
-    items = broadcast_if_small(table(spark, d, "eval_item").select("item_id", text.flat(F.substring("passage", 1, 40)).alias("e")).where("e <> ''"), 1000)
+    """Documents that contain the first sentence of an evaluation item (a stated, fixed set)."""
+    items = broadcast_if_small(table(spark, d, "eval_item").select("item_id", text.flat(F.split_part("passage", F.lit(". "), F.lit(1))).alias("e")).where("e <> ''"), 1000)
     docs = table(spark, d, "documents").select("doc_id", text.flat(F.col("text")).alias("t"))
     return docs.join(items, F.contains("t", "e")).select("doc_id", "item_id")
 
