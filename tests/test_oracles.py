@@ -2,10 +2,10 @@
 
 import pytest
 
-from bitempo.plans import facts, graph, history, search
+from bitempo.plans import facts, graph, history, ledger, search, stream
 from tests.rows import duck, spark_rows
 
-ALL = {k: (f, m.ORACLES.get(k)) for m in (history, facts, graph, search) for k, f in m.QUERIES.items()}
+ALL = {k: (f, m.ORACLES.get(k)) for m in (history, facts, graph, search, ledger, stream) for k, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
