@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,11 +80,22 @@ def parse_mail(mail: str | None) -> tuple[list[str], list[str], str]:
     return words, re.findall(r"\d+", local), tag[1] if tag else ""
 
 
-@lru_cache(100_000)
+_known: dict[tuple[str, str], int] = {}
+
+
 def distance(a: str, b: str) -> int:
-    """Edits between two words, a swap of neighbours counting as one."""
+    """Edits between two words, a swap of neighbours counting as one; 9 for words of very different length."""
     if abs(len(a) - len(b)) > 3:
         return 9
+    found = _known.get((a, b))
+    if found is None:
+        if len(_known) > 100_000:
+            _known.clear()
+        found = _known[a, b] = _edits(a, b)
+    return found
+
+
+def _edits(a: str, b: str) -> int:
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
