@@ -1,3 +1,8 @@
 """Bi-temporal knowledge analytics on PySpark."""
 
-__all__ = ["session"]
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
