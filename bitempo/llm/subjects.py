@@ -2,8 +2,9 @@
 
 The document-term matrix (words and word pairs, hashed to a fixed number of
 columns) is factored into mixtures of one component per subject, anchored by
-labelled texts and the subjects' own descriptions, and one background component
-per language, anchored by the words that most texts of it use.  Alternating
+labelled texts and the subjects' own descriptions, one component of texts
+labelled with no subject, and one background component per language, anchored
+by the words that most texts of it use.  Alternating
 multiplicative updates run over all texts: mixtures where a text lies, the
 components from sums over all of them.  Sentences are then read by the
 components, and a text gets the subjects that enough of its sentences bear.
@@ -28,7 +29,7 @@ ROUNDS, INNER = 2, 2
 #: Weight of the anchors against what all texts say of a component.
 ANCHOR = 3.0
 #: Evidence a sentence needs to bear a subject, and the share of such sentences a text needs.
-EVIDENCE, SHARE = 6.0, 0.25
+EVIDENCE, SHARE = 7.0, 0.25
 #: A word, or what ends a sentence.
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?]+(?=\s|$)|[\n\r]+|\\n")
 _CHUNK = 1 << 19
@@ -120,7 +121,7 @@ def _chunks(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.
 
 
 def _mask(labels: pa.Array, n_subjects: int, n_all: int) -> np.ndarray:
-    """Components that each text may use: all, or its labels' and the background."""
+    """Components that each text may use: all, or its labels', that of no subject and the background."""
     mask = np.ones((len(labels), n_all), "float32")
     for i, found in enumerate(labels.to_pylist()):
         if found:
@@ -151,7 +152,7 @@ def _sums(tokens: DataFrame, n: int, add) -> np.ndarray:
 
 def _anchors(tokens: DataFrame, subjects: list[str], described: list[str], languages: tuple[str, ...]) -> np.ndarray:
     """(columns, components) first components, from labelled texts, descriptions and languages."""
-    k, m = len(subjects), len(languages)
+    k, m = len(subjects) + 1, len(languages)
 
     def add(b: pa.RecordBatch, sums: np.ndarray) -> None:
         number = {x: i for i, x in enumerate(languages)}
@@ -165,8 +166,7 @@ def _anchors(tokens: DataFrame, subjects: list[str], described: list[str], langu
             for j, found in enumerate(part["labels"].to_pylist()):
                 if found:
                     for x in found:
-                        if x >= 0:
-                            sums[:, x] += np.bincount(columns[at[j] : at[j + 1]], minlength=COLUMNS) / len(found)
+                        sums[:, x if x >= 0 else k - 1] += np.bincount(columns[at[j] : at[j + 1]], minlength=COLUMNS) / len(found)
 
     counts = _sums(tokens, k + 2 * m, add)
     labelled = counts[:, :k]
