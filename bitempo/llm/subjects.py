@@ -133,15 +133,15 @@ def _mask(labels: pa.Array, n_subjects: int, n_all: int) -> np.ndarray:
 
 
 def _sums(tokens: DataFrame, n: int, add) -> np.ndarray:
-    """(columns, n) sums over all texts of what ``add(batch, sums)`` puts into its partition's."""
+    """(columns, n) sums over all texts of what ``add(batch, sums)`` puts into its partition's (n, columns)."""
     names = [f"c{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((COLUMNS, n))
+        sums = np.zeros((n, COLUMNS))
         for b in batches:
             add(b, sums)
-        used = np.nonzero(sums.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), *[pa.array(sums[used, i].astype("float32")) for i in range(n)]], ["term", *names])
+        used = np.nonzero(sums.any(axis=0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), *[pa.array(sums[i, used].astype("float32")) for i in range(n)]], ["term", *names])
 
     parts = tokens.mapInArrow(run, "term int, " + ", ".join(f"{c} float" for c in names))
     total = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # COLUMNS rows at most
@@ -160,13 +160,12 @@ def _anchors(tokens: DataFrame, subjects: list[str], described: list[str], langu
             lang = np.array([number.get(x, -1) for x in part["lang"].to_pylist()])
             each = np.repeat(lang, lengths)
             for i in range(m):
-                sums[:, k + i] += np.bincount(columns[each == i], minlength=COLUMNS)
-                sums[0, k + m + i] += (lang == i).sum()
+                sums[k + i] += np.bincount(columns[each == i], minlength=COLUMNS)
+                sums[k + m + i, 0] += (lang == i).sum()
             at = np.concatenate([[0], np.cumsum(lengths)])
             for j, found in enumerate(part["labels"].to_pylist()):
-                if found:
-                    for x in found:
-                        sums[:, x if x >= 0 else k - 1] += np.bincount(columns[at[j] : at[j + 1]], minlength=COLUMNS) / len(found)
+                for x in found or ():
+                    np.add.at(sums[x if x >= 0 else k - 1], columns[at[j] : at[j + 1]], 1 / len(found))
 
     counts = _sums(tokens, k + 2 * m, add)
     labelled = counts[:, :k]
@@ -198,9 +197,10 @@ def components(tokens: DataFrame, subjects: list[str], described: list[str], lan
         def add(b: pa.RecordBatch, sums: np.ndarray) -> None:
             for part, columns, lengths in _chunks(b):
                 mask = _mask(part["labels"], len(subjects), n)
-                share = _shares(columns, lengths, mask, sent.value, inner)  # noqa: B023
+                share = np.ascontiguousarray(_shares(columns, lengths, mask, sent.value, inner).T)  # noqa: B023
+                columns = columns.astype(np.intp)
                 for c in range(n):
-                    sums[:, c] += np.bincount(columns, share[:, c], minlength=COLUMNS)
+                    sums[c] += np.bincount(columns, share[c], minlength=COLUMNS)
 
         counts = _sums(tokens, n, add)
         h = counts + anchor * first * counts.sum(axis=0) + 1e-7
