@@ -143,8 +143,8 @@ def cross_source_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT user_id AS q, CASE WHEN event_type = 'click' THEN 'vector' ELSE 'text' END AS leg, event_id % 50 AS id, row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY value DESC, event_id) AS rank FROM events),
-g AS (SELECT * FROM (VALUES (5, 1.0), (10, 3.0), (60, 1.0)) t(constant, weight)), s AS (SELECT constant, weight, q, id, round(sum(CASE leg WHEN 'vector' THEN weight ELSE 1.0 END / (constant + rank)), 9) AS score FROM l, g GROUP BY ALL)
-SELECT CAST(constant AS BIGINT) AS constant, weight, q, id, row_number() OVER (PARTITION BY constant, weight, q ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""")
+g AS (SELECT * FROM (VALUES (5, 1.0), (10, 3.0), (60, 1.0)) t(constant, weight)), s AS (SELECT constant, weight, q, id, round(sum(CAST(CASE leg WHEN 'vector' THEN weight ELSE 1.0 END AS DOUBLE) / (constant + rank)), 9) AS score FROM l, g GROUP BY ALL)
+SELECT CAST(constant AS BIGINT) AS constant, CAST(weight AS DOUBLE) AS weight, q, id, row_number() OVER (PARTITION BY constant, weight, q ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""")
 def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
