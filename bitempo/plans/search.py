@@ -9,7 +9,7 @@ from bitempo.functions import dates, text
 from bitempo.operators import resolve, search, windows
 from bitempo.plans import base
 from bitempo.plans.base import FACTS, LIVE, NOW, ts
-from bitempo.session import broadcast_if_small, table
+from bitempo.session import broadcast_if_small, cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all documents for the titles of the subject areas."""
-    index = search.postings(table(spark, d, "documents"), "doc_id", "text")
+    index = cut(search.postings(table(spark, d, "documents"), "doc_id", "text"))
     asked = table(spark, d, "subject_area").select(F.col("subject").alias("q"), F.col("title").alias("text"))
     scored = search.bm25(index, "doc_id", search.expand_prefixes(index, asked))
     return scored.withColumnRenamed("doc_id", "id").withColumn("score", F.round("score", 6))
