@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitempo.session import spread
+
 #: Fusion and ranking parameters.
 RRF_K, VECTOR_WEIGHT, PER_METHOD, LIMIT = 10, 3.0, 30, 8
 BM25_K1, BM25_B = 1.2, 0.75
@@ -17,7 +19,7 @@ def terms(text: Column) -> Column:
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(term, key, tf, dl)``: the inverted index, with the length of each text."""
-    words = docs.where(F.col(key).isNotNull()).select(F.col(key), terms(F.col(text)).alias("_w")).withColumn("dl", F.size("_w"))
+    words = spread(docs.where(F.col(key).isNotNull()).select(key, text)).select(F.col(key), terms(F.col(text)).alias("_w")).withColumn("dl", F.size("_w"))
     return words.select(key, "dl", F.explode("_w").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

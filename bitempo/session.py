@@ -91,3 +91,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to AQE."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer tasks than there are cores.
+
+    For work that costs far more than moving the rows.  A table of many files
+    is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
