@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.session import broadcast_if_small, cut
+from bitempo.session import broadcast_if_small, cut, spread
 
 #: One anchor in each run of so many words: a phrase this long has one at least.
 SPAN = 8
@@ -83,7 +83,8 @@ def chain(item: list[str], text: list[str], phrase: int = PHRASE) -> tuple[int,
 
 def postings(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """``(term, doc, pos)``: where the given terms stand in the texts."""
-    tokens = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(words(F.col(text))).alias("pos", "term"))
+    rows = spread(texts.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("_t")))
+    tokens = rows.select("doc", F.posexplode(words(F.col("_t"))).alias("pos", "term"))
     return tokens.join(broadcast_if_small(terms.select("term").distinct()), "term").select("term", "doc", "pos")
 
 

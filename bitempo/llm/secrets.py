@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitempo.session import spread
+
 MARK = "REDACTED"
 DEPTH = 4
 
@@ -427,4 +429,4 @@ def scan(df: DataFrame, keep: list[str], text: str) -> DataFrame:
             out["redacted"] = pd.Series(cleaned, index=out.index, dtype=object)
             yield out
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return spread(df.select(*keep, F.col(text).alias("_text"))).mapInPandas(run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.session import broadcast_if_small, cut, small
+from bitempo.session import broadcast_if_small, cut, small, spread
 
 COLUMNS = 1 << 16
 LANGUAGES = ("en", "de", "fr", "es")
@@ -84,7 +84,7 @@ def _tokens(texts: DataFrame, key: str, text: str, language: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["k"], b["lang"], lists(columns, n), lists(ends, m)], ["k", "lang", "columns", "ends"])
 
     rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(F.col(language)).alias("lang"))
-    return rows.mapInArrow(run, f"k {kind}, lang string, columns array<int>, ends array<int>")
+    return spread(rows).mapInArrow(run, f"k {kind}, lang string, columns array<int>, ends array<int>")
 
 
 def _shares(columns: np.ndarray, lengths: np.ndarray, mask: np.ndarray, h: np.ndarray, inner: int) -> np.ndarray:
