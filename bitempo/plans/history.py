@@ -29,7 +29,7 @@ def p1_merged(spark: SparkSession, d: str) -> DataFrame:
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
     """One row per issue: the state with the largest ``updated_at``."""
-    rows = table(spark, d, "jira_issue").select(F.trim("issue_id").alias("issue_id"), "parent_id", "updated_at", "ingested_at")
+    rows = table(spark, d, "jira_issue").select(hierarchy.plain_id(F.col("issue_id")).alias("issue_id"), "parent_id", "updated_at", "ingested_at")
     state = F.struct("updated_at", "ingested_at", "parent_id")
     return rows.where("issue_id is not null").groupBy("issue_id").agg(F.max(state).alias("s")).select("issue_id", "s.parent_id")
 
