@@ -36,13 +36,14 @@ def plain_id(text: Column) -> Column:
     return F.when(bare == "", None).when(bare.rlike(r"^[+-]?\d+(\.0*)?$"), F.concat(sign, whole)).otherwise(F.coalesce(written, bare))
 
 
-def parents(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+def parents(nodes: DataFrame, key: str, parent: str, plain: bool = False) -> DataFrame:
     """``(id, parent)`` with parents that exist; others (and nulls) become null.
 
-    Ids are normalised by ``plain_id``; rows without an id are left out, of
-    repeated ids the smallest parent is kept (callers choose a state first).
+    Ids are normalised by ``plain_id`` (those of ``key`` are already, if
+    ``plain``); rows without an id are left out, of repeated ids the smallest
+    parent is kept (callers choose a state first).
     """
-    links = nodes.select(plain_id(F.col(key)).alias("id"), plain_id(F.col(parent)).alias("p")).where("id is not null")
+    links = nodes.select((F.col(key) if plain else plain_id(F.col(key))).alias("id"), plain_id(F.col(parent)).alias("p")).where("id is not null")
     links = links.groupBy("id").agg(F.min("p").alias("p"))
     there = links.select(F.col("id").alias("p"), F.lit(True).alias("_there"))
     return links.join(there, "p", "left").select("id", F.when(F.col("_there"), F.col("p")).alias("parent"))

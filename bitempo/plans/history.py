@@ -36,19 +36,19 @@ def issues(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Root, depth and number of descendants of each issue."""
-    tree = hierarchy.forest(hierarchy.parents(issues(spark, d), "issue_id", "parent_id"))
+    tree = hierarchy.forest(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True))
     return tree.select(F.col("id").alias("issue_id"), "root_id", "depth", "n_descendants")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     """The path of each issue, and which lie on a loop or lead into one."""
-    tree = hierarchy.forest(hierarchy.parents(issues(spark, d), "issue_id", "parent_id"))
+    tree = hierarchy.forest(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True))
     return tree.select(F.col("id").alias("issue_id"), F.coalesce("path", F.lit("")).alias("path"), "in_loop", "leads_to_loop")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of an issue and an issue below it, with the distance."""
-    return hierarchy.descendants(hierarchy.parents(issues(spark, d), "issue_id", "parent_id"))
+    return hierarchy.descendants(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p2_found, p2_paths, p2_descendants)}
