@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.operators.sequence import HOT_ROWS, hot_groups, neighbours
+from bitempo.operators.sequence import HOT_ROWS, hot_groups, neighbours, running_max
+from bitempo.session import cut
 
 KEYS = ["entity_id", "attribute"]
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|UTC|[+-]\d{2}:?\d{2})?)?$"
@@ -75,35 +76,54 @@ def versions(events: DataFrame, hot_rows: int = HOT_ROWS, carry: tuple[str, ...]
     )
 
 
-def as_events(dimension: DataFrame, carry: tuple[str, ...] = ("value",)) -> DataFrame:
-    """The events that give back ``dimension``: each start, and each end as a null."""
-    kinds = dict(dimension.dtypes)
-    held = ("value_hash", *carry)
-    start = F.struct(F.col("valid_from_ms").alias("at_ms"), F.lit(0).cast("long").alias("rank"), *held)
-    end = F.struct(F.col("valid_to_ms").alias("at_ms"), F.lit(-1).cast("long").alias("rank"), *[F.lit(None).cast(kinds[c]).alias(c) for c in held])
-    both = F.when(F.col("valid_to_ms") == -1, F.array(start)).otherwise(F.array(start, end))
-    return dimension.select(*KEYS, F.explode(both).alias("e")).select(*KEYS, "e.*", F.lit(None).cast("long").alias("ends_ms"))
+def as_events(dimension: DataFrame) -> DataFrame:
+    """The events that ``dimension`` was merged from, one for each instant of an attribute."""
+    return dimension.select(*KEYS, F.explode("events").alias("e")).select(*KEYS, "e.*")
 
 
-def merge(dimension: DataFrame | None, events: DataFrame, hot_rows: int = HOT_ROWS, carry: tuple[str, ...] = ("value",), sizes: DataFrame | None = None) -> DataFrame:
+def held(dimension: DataFrame) -> DataFrame:
+    """The versions of a dimension, without what is kept for later batches."""
+    return dimension.where(F.col("valid_from_ms").isNotNull()).drop("events")
+
+
+def _with_events(events: DataFrame, hot_rows: int, carry: tuple[str, ...]) -> DataFrame:
+    """``versions`` with the events that tell of each: from its start to the next version's.
+
+    Events before the first version are its too.  An attribute that never had
+    a value has one row without ``valid_from_ms``.
+    """
+    known = events.where(F.col("entity_id").isNotNull() & F.col("attribute").isNotNull() & F.col("at_ms").isNotNull())
+    of = F.coalesce("rank", F.lit(-2))
+    names = ("value_hash", "ends_ms", *carry)
+    one = cut(known.groupBy(*KEYS, "at_ms").agg(F.max(of).alias("rank"), *[F.max_by(c, of).alias(c) for c in names]))
+    found = versions(one, hot_rows, carry).select(*KEYS, F.col("valid_from_ms").alias("at_ms"), "valid_to_ms")
+    marked = one.join(found, [*KEYS, "at_ms"], "left")
+    hot = hot_groups(one, KEYS, hot_rows)
+    marked = running_max(marked, KEYS, "at_ms", F.when(F.col("valid_to_ms").isNotNull(), F.col("at_ms")), "_start", hot)
+    first = found.groupBy(*KEYS).agg(F.min("at_ms").alias("_first"))
+    marked = marked.join(first, KEYS, "left").withColumn("_start", F.coalesce("_start", "_first"))
+    version = F.when(F.col("valid_to_ms").isNotNull(), F.struct(*carry, "value_hash", F.col("at_ms").alias("valid_from_ms"), "valid_to_ms"))
+    event = F.struct("at_ms", "rank", "value_hash", "ends_ms", *carry)
+    lists = marked.groupBy(*KEYS, "_start").agg(F.max(version).alias("v"), F.array_sort(F.collect_list(event)).alias("events"))
+    return lists.select(*KEYS, "v.*", "events")
+
+
+def merge(dimension: DataFrame | None, events: DataFrame, hot_rows: int = HOT_ROWS, carry: tuple[str, ...] = ("value",)) -> DataFrame:
     """Merge a batch of events into a type-two dimension.
 
-    Hashes of the batch are compared with the versions of the entities that it
-    touches: a differing one closes the version current at its time with an
-    end date and inserts a new one; late events are put where they belong.
-    Entities that the batch does not touch keep their rows.  Merging a batch
-    again changes nothing.  ``rank`` of the batch must be a positive integer.
-    A batch row that only confirms a value adds no row, so an ``ends_ms`` is
-    taken from the batch in which the version was seen last.
+    The versions of the entities that the batch touches are told anew from
+    the batch and all events kept with them in ``events``, those among them
+    that only confirmed a value or told of none.  So batches in any order give
+    the versions of one pass (``held``), and merging a batch again changes
+    nothing.  Entities that the batch does not touch keep their rows.
     """
     batch = events.select(*KEYS, "at_ms", F.col("rank").cast("long").alias("rank"), "value_hash", "ends_ms", *carry)
-    columns = [*KEYS, *carry, "value_hash", "valid_from_ms", "valid_to_ms"]
     if dimension is None:
-        return versions(batch, hot_rows, carry, sizes).select(*columns)
+        return _with_events(batch, hot_rows, carry)
     touched = batch.where(F.col("at_ms").isNotNull()).select(*KEYS).distinct()
-    known = as_events(dimension.join(touched, KEYS, "left_semi"), carry)
-    redone = versions(known.unionByName(batch), hot_rows, carry).select(*columns)
-    return dimension.join(touched, KEYS, "left_anti").select(*columns).unionByName(redone)
+    known = as_events(dimension.join(touched, KEYS, "left_semi"))
+    redone = _with_events(known.unionByName(batch), hot_rows, carry)
+    return dimension.join(touched, KEYS, "left_anti").unionByName(redone)
 
 
 def change_events(changes: DataFrame, fields: tuple[str, ...] = ("status", "assignee", "priority"), carry: bool = True) -> DataFrame:

@@ -67,3 +67,16 @@ def neighbours(df: DataFrame, keys: list[str], order: str, previous: dict[str, C
         *[F.col(f"_before.{n}").alias(n) for n in previous],
         *[F.col(f"_after.{n}").alias(n) for n in following],
     )
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, value: Column, name: str, hot: DataFrame | None = None, pieces: int = PIECES) -> DataFrame:
+    """Add ``name``: the largest ``value`` of a group's rows up to each row in ``order`` (see ``neighbours``)."""
+    df = df.withColumn(name, value)
+    upto = lambda by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if hot is None:
+        return df.withColumn(name, F.max(name).over(upto(keys)))
+    parts = chunked(df, keys, order, hot, pieces)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy(*keys, "_chunk").agg(F.max(name).alias("_end")).select(*keys, "_chunk", F.max("_end").over(before).alias("_end"))
+    inside = parts.withColumn(name, F.max(name).over(upto([*keys, "_chunk"])))
+    return inside.join(ends, [*keys, "_chunk"], "left").withColumn(name, F.greatest(name, "_end")).drop("_end", "_chunk")

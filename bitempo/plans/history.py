@@ -15,16 +15,37 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     events = history.change_events(change, carry=False).unionByName(history.edge_events(edge).drop("value"))
     sizes = change.select(F.col("issue_id").alias("entity_id"), F.lower(F.trim("field")).alias("attribute"))
     sizes = sizes.unionByName(edge.select(F.col("from_uid").alias("entity_id"), F.col("rel_type").alias("attribute")))
-    found = history.merge(None, events, carry=(), sizes=sizes)
+    found = history.versions(events, carry=(), sizes=sizes)
     return found.select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
 
 
+#: Where ``p1_merged`` and ``p1_late`` part the deliveries.
+PARTED = "2024-01-01 00:00:00"
+
+
+def _in_deliveries(spark: SparkSession, d: str, edges: bool) -> DataFrame:
+    """Changes, and edges if asked for, merged as two batches: what came late first, then what came before."""
+    change = table(spark, d, "jira_change")
+    # Of a change delivered again the last row counts, and that belongs to its batch.
+    last = change.where("change_id is not null").groupBy("change_id").agg(F.max(F.col("ingested_at").cast("timestamp")).alias("seen"))
+    events = history.change_events(change).join(last.withColumnRenamed("change_id", "rank"), "rank", "left")
+    if edges:
+        edge = table(spark, d, "edge")
+        events = events.unionByName(history.edge_events(edge).withColumn("seen", F.timestamp_millis(F.floor(F.col("rank") / 1024))))
+    early = F.coalesce(F.col("seen") < F.lit(PARTED).cast("timestamp"), F.lit(False))
+    dimension = cut(history.merge(None, events.where(~early)))
+    merged = history.held(history.merge(dimension, events.where(early)))
+    return merged.select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
+
+
 def p1_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The change log merged in two batches (half the ids each): the same versions as in one."""
-    events = history.change_events(table(spark, d, "jira_change"))
-    middle = F.expr("at_ms < 1672531200000")
-    dimension = cut(history.merge(None, events.where(middle)))
-    return history.merge(dimension, events.where(~middle)).select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
+    """The change log merged in two batches by delivery, the later first: the same versions as in one."""
+    return _in_deliveries(spark, d, edges=False)
+
+
+def p1_late(spark: SparkSession, d: str) -> DataFrame:
+    """``p1_found`` from two batches by delivery, the later first."""
+    return _in_deliveries(spark, d, edges=True)
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +72,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p2_found, p2_paths, p2_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_late, p2_found, p2_paths, p2_descendants)}
 
 _CHANGES = r"""
 latest AS (SELECT DISTINCT ON (change_id) change_id, issue_id, trim(changed_at) AS c, lower(trim(field)) AS attribute, to_string
@@ -92,6 +113,7 @@ stuck AS (SELECT c.id, min(c.spot) AS root_id FROM chase c JOIN onloop o ON c.sp
 ORACLES = {
     "p1_found": "WITH " + _CHANGES.strip() + "," + EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + VERSIONS,
     "p1_merged": "WITH " + _CHANGES.strip() + ",\nevents AS (FROM change_events)," + VERSIONS,
+    "p1_late": "WITH " + _CHANGES.strip() + "," + EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + VERSIONS,
     "p2_found": _TREE + """
 SELECT d.id AS issue_id, root_id, depth, coalesce(n, 0) AS n_descendants FROM down d LEFT JOIN below b ON d.id = b.id
 UNION ALL SELECT id, root_id, -1, -1 FROM stuck""",

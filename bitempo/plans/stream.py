@@ -37,7 +37,7 @@ def streamed_history(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark, f"{folder}/tables")
     stream = history.edge_events(_stream(spark, d, "edge"))
     incremental.sync_history(stream, store, f"{folder}/checkpoint").awaitTermination()
-    return store.read("history").select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
+    return history.held(store.read("history")).select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
 
 
 def streamed_windows(spark: SparkSession, d: str) -> DataFrame:

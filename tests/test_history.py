@@ -59,6 +59,21 @@ def test_merge_in_batches_is_one_history(spark):
     assert got == want or {x[:2] for x in got} == {x[:2] for x in want}
 
 
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_merge_in_any_order_equals_one_pass(spark, hot):
+    r = random.Random(11)
+    data = [(r.choice("abcd"), "x", r.randrange(60), i + 1, r.choice(["p", "q", None]), r.choice([None, None, *range(60)])) for i in range(120)]
+    data += [("late", "x", 1, 1, "A", None), ("late", "x", 3, 3, "A", None), ("ended", "x", 1, 1, "A", None), ("ended", "x", 3, 3, "A", None), ("none", "x", 5, 5, None, None)]
+    late = [("late", "x", 2, 2, "B", None), ("ended", "x", 2, 2, "A", 2), ("none", "x", 3, 3, "A", None)]
+    dimension = None
+    for part in (data[60:], data[:60], late, data[20:90]):
+        dimension = history.merge(dimension, events(spark, part), hot_rows=hot)
+        dimension = spark.createDataFrame(dimension.collect(), dimension.schema)
+    got = rows(history.held(dimension), *COLUMNS)
+    assert got == brute(data + late)
+    assert [x[2:] for x in got if x[0] == "late"] == [(1, 2), (2, 3), (3, -1)]
+
+
 def test_merge_closes_and_inserts(spark):
     first = history.merge(None, events(spark, [("a", "s", 10, 1, "open", None), ("b", "s", 10, 1, "open", None)]))
     second = history.merge(first, events(spark, [("a", "s", 20, 1, "done", None)]))
