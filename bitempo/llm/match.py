@@ -1,8 +1,8 @@
 """Matching accounts to author identities that share no key.
 
 Names and mail addresses are parsed into given names, surnames, initials and
-handles.  MinHash bands over the letter pairs of surnames (and the prefixes
-that handles are made of) give candidates, pairs get similarity features, and a
+handles.  MinHash bands over the letter pairs of surnames, surnames less one
+letter and the prefixes that handles are made of give candidates, pairs get similarity features, and a
 logistic classifier trained on weak labels (equal addresses, which are no
 feature) gives probabilities that are calibrated on held-out folds.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bitempo.session import cut
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 3
 #: Most labelled pairs that the classifier is fitted on, taken by hash of the pair.
 LABELLED = 20_000
 #: Accounts that score so much less than an identity's best are not its author's.
@@ -116,6 +116,11 @@ def bands(word: str) -> list[str]:
     return [f"m{i}:" + "-".join(f"{v:x}" for v in low[i * ROWS : (i + 1) * ROWS]) for i in range(BANDS)]
 
 
+def less_one(word: str) -> set[str]:
+    """Keys that a word shares with every word one edit away, a swap of neighbours being one."""
+    return {"d:" + word} | {"d:" + word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
 def _handles(names: list[str], words: list[str]) -> list[list[str]]:
     """Names of one word and local parts, as lists of letter runs."""
     out = [words] if words else []
@@ -298,7 +303,7 @@ def _keys_of_accounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for b in batches:
         rows = []
         for i, g, s in zip(b["name_id"], b["given"], b["surname"], strict=True):
-            keys = {*bands(s), "s3:" + s[:3], "s4:" + s[:4], "s5:" + s[:5] + g[:1]}
+            keys = {*bands(s), *less_one(s), "s3:" + s[:3], "s4:" + s[:4], "s5:" + s[:5] + g[:1]}
             rows.extend((i, s, k) for k in keys)
         yield pd.DataFrame(rows, columns=["name_id", "surname", "key"])
 
@@ -310,7 +315,7 @@ def _keys_of_identities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
             words = parse_mail(mail)[0]
             surnames = {s for n in names for _, s, _ in parse_name(n)} | {_plain(w) for w in words if len(w) > 3}
             surnames |= {s[1:] for s in list(surnames) if len(s) > 5 and len(words) == 1} | {s[:-1] for s in list(surnames) if len(s) > 5 and len(words) == 1}
-            keys = {(k, s) for s in surnames if len(s) > 2 for k in bands(s)}
+            keys = {(k, s) for s in surnames if len(s) > 2 for k in (*bands(s), *less_one(s))}
             for h in _handles(list(names), words):
                 glued = "".join(h)
                 if len(glued) >= 5:

@@ -64,6 +64,19 @@ def test_bands_and_distance():
     assert match.distance("sovegrasen", "svoegrasen") == 1 and match.distance("abc", "abc") == 0 and match.distance("ab", "abcdefg") == 9
 
 
+def test_one_edit_always_meets(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = "triporer"
+    edits = {word[:i] + c + word[i + k :] for i in range(len(word)) for c in ("", *letters) for k in (0, 1)} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+    own = match.less_one(word)
+    assert all(own & match.less_one(e) for e in edits)
+    p = spark.createDataFrame([("a", "Olumide Tirporer", None), ("b", "Ben Hofkran", None)], "account_id string, display_name string, email string")
+    c = spark.createDataFrame([("github", "Olumide Triporer", "o.triporer@mail.example"), ("github", "Ben Hofkran", "ben.hofkran@mail.example")], "provider string, author_name string, author_email string")
+    got = {(r["account_id"], r["author_email"]) for r in match.matches(p, c).collect()}
+    assert got == {("a", "o.triporer@mail.example"), ("b", "ben.hofkran@mail.example")}
+    assert match.BANDS >= 24 and match.ROWS <= 3
+
+
 def test_calibration():
     rng = np.random.default_rng(1)
     x = (rng.random((2000, len(match.FEATURES))) < 0.4).astype(float)
