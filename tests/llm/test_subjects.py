@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -73,3 +74,14 @@ def test_columns_and_sentence_ends():
     assert len(columns) == n.sum() and columns.dtype == np.int32 and (columns >= 0).all() and (columns < subjects.COLUMNS).all()
     again, *_ = subjects.sentence_columns(["one TWO"], {})
     assert again.tolist() == columns[:3].tolist()
+
+
+def test_mixtures_settle_before_they_are_summed():
+    assert inspect.signature(subjects.components).parameters["inner"].default >= 3
+    r = np.random.default_rng(2)
+    h = r.random((50, 4)).astype("float32") + 0.1
+    columns = r.integers(0, 50, 400).astype("int32")
+    lengths, mask = np.full(20, 20), np.ones((20, 4), "float32")
+    settled = subjects._shares(columns, lengths, mask, h, 200)
+    off = [np.abs(subjects._shares(columns, lengths, mask, h, n) - settled).mean() for n in (2, subjects.INNER)]
+    assert off[1] < off[0]
