@@ -17,11 +17,14 @@ def transitive_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFram
     A pair is concluded by a shortest chain whose periods share an instant; of
     equally short ones the most certain counts.  It has the common period and
     the least confidence of the chain.  Asserted pairs and loops are no
-    conclusions.  Rounds join pairs, not paths, so cycles cost no more than
-    their pairs; a round without a new pair ends it.
+    conclusions, but chains lead through the former.  Rounds join pairs with
+    their periods, not paths, and a period within one that a shorter chain of
+    the pair has is left out, so undated cycles cost no more than their pairs;
+    a round without a new period ends it.
     """
-    own = cut(edges.where("from_uid <> to_uid").groupBy("from_uid", "to_uid").agg(F.max(F.struct("confidence", "valid_at", "invalid_at")).alias("m")).select("from_uid", "to_uid", "m.valid_at", "m.invalid_at", "m.confidence"))
-    frontier, found, asserted = own, None, own.select("from_uid", "to_uid")
+    pair, dates = ["from_uid", "to_uid"], ["valid_at", "invalid_at"]
+    own = cut(edges.where("from_uid <> to_uid").groupBy(*pair, *dates).agg(F.max("confidence").alias("confidence")))
+    frontier, seen, known = own, own.select(*pair, *dates), own.select(*pair).distinct()
     parts: list[DataFrame] = []
     step = own.select(F.col("from_uid").alias("to_uid"), F.col("to_uid").alias("_to"), F.col("valid_at").alias("_s"), F.col("invalid_at").alias("_e"), F.col("confidence").alias("_c"))
     for depth in range(2, max_depth + 1):
@@ -29,13 +32,15 @@ def transitive_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFram
             "from_uid", F.col("_to").alias("to_uid"), F.greatest("valid_at", "_s").alias("valid_at"), F.least("invalid_at", "_e").alias("invalid_at"), F.least("confidence", "_c").alias("confidence")
         )
         grown = grown.where("invalid_at is null or valid_at is null or valid_at < invalid_at")
-        best = grown.groupBy("from_uid", "to_uid").agg(F.max(F.struct("confidence", "valid_at", "invalid_at")).alias("m")).select("from_uid", "to_uid", "m.valid_at", "m.invalid_at", "m.confidence")
-        known = asserted if found is None else asserted.unionByName(found)
-        new = Cut(best.join(known, ["from_uid", "to_uid"], "left_anti"))
+        best = grown.groupBy(*pair, *dates).agg(F.max("confidence").alias("confidence"))
+        had = seen.select(F.col("from_uid").alias("_f"), F.col("to_uid").alias("_t"), F.col("valid_at").alias("_s"), F.col("invalid_at").alias("_e"))
+        within = (F.col("_s").isNull() | (F.col("_s") <= F.col("valid_at"))) & (F.col("_e").isNull() | (F.col("_e") >= F.col("invalid_at")))
+        new = Cut(best.join(had, (F.col("from_uid") == F.col("_f")) & (F.col("to_uid") == F.col("_t")) & within, "left_anti"))
         if new.df.isEmpty():
             break
-        parts.append(new.df.withColumn("depth", F.lit(depth)))
-        found = new.df.select("from_uid", "to_uid") if found is None else found.unionByName(new.df.select("from_uid", "to_uid"))
+        found = Cut(new.df.join(known, pair, "left_anti").groupBy(*pair).agg(F.max(F.struct("confidence", *dates)).alias("m")).select(*pair, "m.valid_at", "m.invalid_at", "m.confidence"))
+        parts.append(found.df.withColumn("depth", F.lit(depth)))
+        known, seen = known.unionByName(found.df.select(*pair)), seen.unionByName(new.df.select(*pair, *dates))
         frontier = new.df
     out = own.limit(0).withColumn("depth", F.lit(0))
     for p in parts:

@@ -164,6 +164,12 @@ def transitive_closure(spark: SparkSession, d: str) -> DataFrame:
     return infer.transitive_closure(e, 4).select("from_uid", "to_uid", "depth")
 
 
+@query()
+def transitive_closure_dated(spark: SparkSession, d: str) -> DataFrame:
+    """What chains of full depth conclude while all of their links hold, and how surely."""
+    return infer.transitive_closure(_chain(spark, d))
+
+
 @query(f"WITH {FACTS}, e AS (SELECT DISTINCT from_uid, to_uid FROM facts WHERE rel_type = 'BLOCKS') SELECT DISTINCT to_uid AS from_uid, from_uid AS to_uid FROM e WHERE from_uid <> to_uid AND (to_uid, from_uid) NOT IN (FROM e)")
 def symmetric_closure(spark: SparkSession, d: str) -> DataFrame:
     return infer.symmetric_closure(base.facts(spark, d).where("rel_type = 'BLOCKS'"))

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -104,6 +105,35 @@ def test_closure_needs_a_common_period(spark):
     assert [(r["to_uid"], str(r["valid_at"])[:10], str(r["invalid_at"])[:10], r["confidence"]) for r in got] == [("d", "2024-01-15", "2024-02-01", 0.7)]
 
 
+def _chains(edges, depth):
+    """Every chain walked: the shortest depth of each concluded pair and its best confidence."""
+    asserted, out = {e[:2] for e in edges}, {}
+    walks = list(edges)
+    for n in range(2, depth + 1):
+        walks = {(a, d, max(s, t), min(e, f), min(c, k)) for a, b, s, e, c in walks for x, d, t, f, k in edges if x == b and a != d}
+        walks = {w for w in walks if w[2] < w[3]}
+        for a, b, _, _, c in walks:
+            if (a, b) not in asserted and out.get((a, b), (n, 0))[0] == n:
+                out[a, b] = (n, max(c, out.get((a, b), (n, 0))[1]))
+    return sorted((*p, *v) for p, v in out.items())
+
+
+def test_dated_closure_walks_every_chain(spark):
+    r = random.Random(5)
+    edges = []
+    for _ in range(45):
+        a, b, s = r.randrange(14), r.randrange(14), r.randrange(40)
+        edges += [(f"n{a:02d}", f"n{b:02d}", s, s + r.randrange(1, 40), r.randrange(1, 9) / 10)] if a != b else []
+    edges += [("p0", "p1", 1, 5, 0.9), ("p0", "p1", 1, 50, 0.4), ("p1", "p2", 20, 30, 0.8)]
+    edges += [(f"q{i}", f"q{i + 1}", 1, 50, 0.5) for i in range(9)]
+    e = spark.createDataFrame(edges, "from_uid string, to_uid string, s long, t long, confidence double").select("from_uid", "to_uid", F.timestamp_seconds("s").alias("valid_at"), F.timestamp_seconds("t").alias("invalid_at"), "confidence")
+    got = rows(infer.transitive_closure(e), "from_uid", "to_uid", "depth", "confidence")
+    assert got == _chains(edges, 8) and ("p0", "p2", 2, 0.4) in got and ("q0", "q8", 8, 0.5) in got
+    from bitempo.plans.graph import QUERIES
+
+    assert "transitive_closure_dated" in QUERIES
+
+
 def test_clusters(spark):
     e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("x", "y"), ("x", "x"), (None, "x")], "a string, b string")
     got = dict(rows(graph.clusters(e), "uid", "cluster"))
