@@ -26,6 +26,7 @@ BLOCK_ROWS = 8192
 WIDTH = 1.566
 SEED = 20240501
 _TILE = 2048
+_SLICE = 256
 
 
 def directions(dim: int, m: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
@@ -141,29 +142,31 @@ def nearest(queries: np.ndarray, rows: np.ndarray, k: int, m: int = PROJECTIONS,
     a = directions(rows.shape[1], m)
     pq, least, k = queries @ a, threshold(m, width), min(k, len(rows))
     tiles = [(r, Arrays(rows[r : r + _TILE] @ a)) for r in range(0, len(rows), _TILE)]
-    todo, radius = np.arange(len(queries)), math.sqrt(2 - 2 * start)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(todo):
-        last = radius >= 1.3
-        xs, ys = [np.zeros(0, int)], [np.zeros(0, int)]
-        for r, arrays in tiles:
-            if last:
-                x, y = np.divmod(np.arange(len(todo) * arrays.n), arrays.n)
-            else:
-                x, y = arrays.colliding(pq[todo], width * radius, least)
-            xs.append(x)
-            ys.append(y + r)
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        cosine = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", queries[todo[x[s : s + (1 << 18)]]].astype("float64"), rows[y[s : s + (1 << 18)]].astype("float64")) for s in range(0, len(x), 1 << 18)]])
-        near = np.bincount(x[cosine >= 1 - radius * radius / 2], minlength=len(todo))
-        ready = (near >= k) | last
-        order = np.lexsort((y, -cosine, x))
-        x, y, cosine = x[order], y[order], cosine[order]
-        first = np.searchsorted(x, np.arange(len(todo)))
-        rank = np.arange(len(x)) - first[x] if len(x) else x
-        keep = ready[x] & (rank < k) if len(x) else np.zeros(0, bool)
-        out.append((todo[x[keep]], y[keep], cosine[keep]))
-        todo, radius = todo[~ready], radius * growth
+    # A slice of queries at a time: its last round verifies every row.
+    for begin in range(0, len(queries), _SLICE):
+        todo, radius = np.arange(begin, min(begin + _SLICE, len(queries))), math.sqrt(2 - 2 * start)
+        while len(todo):
+            last = radius >= 1.3
+            xs, ys = [np.zeros(0, int)], [np.zeros(0, int)]
+            for r, arrays in tiles:
+                if last:
+                    x, y = np.divmod(np.arange(len(todo) * arrays.n), arrays.n)
+                else:
+                    x, y = arrays.colliding(pq[todo], width * radius, least)
+                xs.append(x)
+                ys.append(y + r)
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            cosine = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", queries[todo[x[s : s + (1 << 18)]]].astype("float64"), rows[y[s : s + (1 << 18)]].astype("float64")) for s in range(0, len(x), 1 << 18)]])
+            near = np.bincount(x[cosine >= 1 - radius * radius / 2], minlength=len(todo))
+            ready = (near >= k) | last
+            order = np.lexsort((y, -cosine, x))
+            x, y, cosine = x[order], y[order], cosine[order]
+            first = np.searchsorted(x, np.arange(len(todo)))
+            rank = np.arange(len(x)) - first[x] if len(x) else x
+            keep = ready[x] & (rank < k) if len(x) else np.zeros(0, bool)
+            out.append((todo[x[keep]], y[keep], cosine[keep]))
+            todo, radius = todo[~ready], radius * growth
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

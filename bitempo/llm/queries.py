@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitempo.llm import leaks, match, neighbours, pack, secrets, split, subjects
 from bitempo.llm.tokens import n_tokens
-from bitempo.session import table
+from bitempo.session import cut, table
 
 #: Tokens of a piece, and tokens that neighbouring pieces share.
 LIMIT, OVERLAP = 1500, 150
@@ -79,25 +79,29 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return newest.select("table_name", "item_id", F.explode("m.pieces").alias("p")).select("table_name", "item_id", "p.*")
 
 
-def p6_found(spark: SparkSession, d: str, bound: float = 0.9) -> DataFrame:
-    """Pairs of entities of a collection whose vectors have cosine 0.90 or more."""
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The comparable vectors of the newest row of each entity, grouped by collection, channel and model."""
     rows = table(spark, d, "entity_embeddings").where("uid is not null")
     state = F.struct("updated_at", F.xxhash64("embedded_model", "content_embedding", "name_embedding").alias("h"), "embedded_model", "content_embedding", "name_embedding")
     newest = rows.groupBy("collection_name", "uid").agg(F.max(state).alias("s")).select("collection_name", "uid", "s.*")
     channel = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{c}_embedding").alias("vec")) for c in ("content", "name")])).alias("c")
     long = newest.select("collection_name", "uid", "embedded_model", channel).select("collection_name", "uid", "embedded_model", "c.*")
-    fit = neighbours.comparable(long, ["collection_name", "channel", "embedded_model"], "uid", "vec", DIM)
+    return neighbours.comparable(long, ["collection_name", "channel", "embedded_model"], "uid", "vec", DIM)
+
+
+def p6_found(spark: SparkSession, d: str, bound: float = 0.9) -> DataFrame:
+    """Pairs of entities of a collection whose vectors have cosine 0.90 or more."""
     part = F.split("g", "\x1f")
-    pairs = neighbours.similar_pairs(fit, bound, DIM)
+    pairs = neighbours.similar_pairs(_vectors(spark, d), bound, DIM)
     return pairs.select(part[0].alias("collection_name"), part[1].alias("channel"), F.col("k_a").alias("uid_a"), F.col("k_b").alias("uid_b"))
 
 
 def p6_nearest(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    """The ten most similar vectors of every vector whose id is divisible by 20."""
-    rows = table(spark, d, "embeddings")
-    fit = neighbours.comparable(rows, [], "vec_id", "embedding", DIM)
-    found = neighbours.nearest_k(fit.where("k % 20 = 0"), fit, k, DIM)
-    return found.select(F.col("k").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    """The ten most similar entities of every entity, by channel."""
+    part = F.split("g", "\x1f")
+    fit = cut(_vectors(spark, d))
+    found = neighbours.nearest_k(fit, fit, k, DIM)
+    return found.select(part[0].alias("collection_name"), part[1].alias("channel"), F.col("k").alias("uid"), F.col("neighbour"), F.round("cosine", 5).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bitempo.llm import neighbours
+from bitempo.llm import neighbours, queries
 
 
 def unit(rng, n, dim=64):
@@ -80,6 +80,25 @@ def test_nearest_in_spark(spark):
     assert hit >= 0.9 * 5 * 20 and all(sorted(x) == [1, 2, 3, 4, 5] for x in got.values())
 
 
+def test_every_entity_has_its_nearest(spark, small_dir):
+    groups, got = {}, {}
+    for r in queries._vectors(spark, small_dir).collect():
+        groups.setdefault(r["g"], {})[r["k"]] = np.array(r["v"], float)
+    for r in queries.p6_nearest(spark, small_dir).collect():
+        got.setdefault((r["collection_name"], r["channel"], r["uid"]), {})[r["rank"]] = r["neighbour"]
+    hit = want = 0
+    for g, vectors in groups.items():
+        names, near = list(vectors), np.array(list(vectors.values())) @ np.array(list(vectors.values())).T
+        np.fill_diagonal(near, -2)
+        n = min(10, len(names) - 1)
+        for i, name in enumerate(names):
+            found = got.pop((*g.split("\x1f")[:2], name), {})
+            assert sorted(found) == list(range(1, n + 1))
+            hit += len(set(found.values()) & {names[j] for j in np.argsort(-near[i])[:n]})
+            want += n
+    assert not got and want and hit >= 0.9 * want
+
+
 def test_copies_share_a_class(spark):
     rows = spark.createDataFrame([("g", "b", [1.0, 0.0]), ("g", "a", [1.0, 0.0]), ("g", "c", [0.0, 1.0])], "g string, k string, v array<float>")
     assert sorted((r["k"], r["rep"]) for r in neighbours.vector_classes(rows).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
