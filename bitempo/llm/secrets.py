@@ -12,6 +12,7 @@ import base64
 import binascii
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from bitempo.session import spread
 
 MARK = "REDACTED"
-DEPTH = 4
+#: Literals are decoded until nothing decodes: each layer is shorter than the one around it.
+DEPTH = 1 << 30
 
 
 class Find(NamedTuple):
@@ -55,22 +57,24 @@ PLACEHOLDERS = {
 ISSUERS = ("AKIA", "ASIA", "FJRD", "ORBK", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glowkey-", "glpat-", "lum_pat_", "nmb_live_", "npm_", "pypi-", "qzk-", "sk_live_", "tdr-sk-", "vlt2:", "whk_", "xoxb-", "xoxp-", "xs7.")
 
 _NAME = r"[A-Za-z_][\w.\-]{0,80}"
-_QUOTED = r"\"(?:\\.|[^\"\\\n]){1,20000}+\"|'(?:\\.|[^'\\\n]){1,20000}+'|`(?:\\.|[^`\\]){1,20000}+`"
-ASSIGN = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})(?:\\?[\"'`])?\]?[ \t]{{0,4}}(?:=>|:=|=(?!=)|:(?!//)|,(?=[ \t]*[\"'`]))[ \t]{{0,4}}\(?(?P<value>{_QUOTED}|[^\s\"'`,;()\[\]{{}}<>#]{{4,2000}})")
-OPTION = re.compile(rf"(?<![\w\-])--?(?P<name>{_NAME})[ =](?P<value>{_QUOTED}|[^\s\"'`]{{4,2000}})")
+_QUOTED = r"\"(?:\\.|[^\"\\\n])++\"|'(?:\\.|[^'\\\n])++'|`(?:\\.|[^`\\])++`"
+ASSIGN = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})(?:\\?[\"'`])?\]?[ \t]{{0,4}}(?:=>|:=|=(?!=)|:(?!//)|,(?=[ \t]*[\"'`]))[ \t]{{0,4}}\(?(?P<value>{_QUOTED}|[^\s\"'`,;()\[\]{{}}<>#]{{4,}}+)")
+OPTION = re.compile(rf"(?<![\w\-])--?(?P<name>{_NAME})[ =](?P<value>{_QUOTED}|[^\s\"'`]{{4,}}+)")
 SAID = re.compile(r"(?i)\b(?P<name>password|passwort|passphrase|kennwort|identified\s+by)[ \t]+(?:is[ \t]+|was[ \t]+|=[ \t]*)?(?P<value>'[^'\n]{4,200}'|\"[^\"\n]{4,200}\"|[^\s'\",;]{4,200})")
 TOLD = re.compile(r"(?i)\b(?:token|key|secret|one|use|wip|credential|pat)[ \t]+(?:was[ \t]+|is[ \t]+)?(?P<value>[^\s'\",;()]{6,2000})")
 LINK = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'`<>]{0,100}):(?P<value>[^\s/@\"'`<>]{1,200}|[^\s@\"'`<>]{1,200})@[\w.\-\[\]${}]+")
 HEADER = re.compile(r"(?i)\b(?P<scheme>basic|bearer)[ \t]+(?P<value>[A-Za-z0-9+/_.:~\-]{8,4000}={0,2})")
 PEM = re.compile(r"-----BEGIN (?P<label>[A-Z0-9 ]{0,40}?)-----(?P<body>.{0,20000}?)-----END (?P=label)-----", re.S)
 LOOSE = re.compile(r"(?<![\w+/=.\-])(?P<value>(?:" + "|".join(re.escape(p) for p in ISSUERS) + r")[A-Za-z0-9_+/\-]{12,200}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{10,})(?![\w\-])")
-JOINED = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})[ \t]*[=:][ \t]*\(?[ \t]*(?P<parts>(?:\"[^\"\\\n]{{1,400}}\"|'[^'\\\n]{{1,400}}')(?:[ \t]*[+.]?[ \t]*\\?\r?\n?[ \t]*[+.]?[ \t]*(?:\"[^\"\\\n]{{1,400}}\"|'[^'\\\n]{{1,400}}')){{1,20}})")
-CONTINUED = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})=(?P<value>[^\s\"'`\\]{{8,2000}}(?:\\\r?\n[^\s\"'`\\]{{2,2000}})+)")
-PAIR = re.compile(rf"(?m)^[ \t]*-?[ \t]*\"?name\"?:[ \t]*[\"']?(?P<name>{_NAME})[\"']?,?[ \t]*\r?\n[ \t]*\"?value\"?:[ \t]*(?P<value>{_QUOTED}|[^\s\"'`]{{4,2000}})")
-KUBE = re.compile(r"(?m)^(?P<pad>[ \t]*)kind:[ \t]*Secret[ \t]*\r?$(?P<rest>(?:\r?\n(?!---)[^\n]*){0,60})")
+JOINED = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})[ \t]*[=:][ \t]*\(?[ \t]*(?P<parts>(?:\"[^\"\\\n]++\"|'[^'\\\n]++')(?:[ \t]*+[+.]?+[ \t]*+\\?+\r?+\n?+[ \t]*+[+.]?+[ \t]*+(?:\"[^\"\\\n]++\"|'[^'\\\n]++'))++)")
+CONTINUED = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})=(?P<value>[^\s\"'`\\]{{8,}}+(?:\\\r?\n[^\s\"'`\\]{{2,}}+)++)")
+PAIR = re.compile(rf"(?m)^[ \t]*-?[ \t]*\"?name\"?:[ \t]*[\"']?(?P<name>{_NAME})[\"']?,?[ \t]*\r?\n[ \t]*\"?value\"?:[ \t]*(?P<value>{_QUOTED}|[^\s\"'`]{{4,}}+)")
+KUBE = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?kind:[ \t]*Secret[ \t]*\r?$")
+#: What parts the documents of a manifest.
+PARTED = re.compile(r"(?m)^---[^\n]*$")
 KUBE_DATA = re.compile(r"(?m)^(?P<pad>[ \t]*)(?P<part>data|stringData):[ \t]*\r?\n(?P<rows>(?:(?P=pad)[ \t]+[^\n]*(?:\n|$))+)")
 KUBE_ROW = re.compile(r"(?m)^[ \t]+(?P<name>[\w.\-]+):[ \t]*(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"'|>][^\s]*)")
-LITERAL = re.compile(r"(?<!\\)(?P<quote>[\"'`])(?P<inner>(?:\\.|(?!(?P=quote))[^\\\n]){12,20000}+)(?P=quote)|(?<![\w+/=%.\-])(?P<bare>(?:[A-Za-z0-9+/_\-]{20,20000}={0,2}|(?:[\w.\-]*%[0-9A-Fa-f]{2}[\w.\-]*){4,}))(?![\w+/=%])")
+LITERAL = re.compile(r"(?<!\\)(?P<quote>[\"'`])(?P<inner>(?:\\.|(?!(?P=quote))[^\\\n]){12,}+)(?P=quote)|(?<![\w+/=%.\-])(?P<bare>(?:[A-Za-z0-9+/_\-]{20,}={0,2}|(?:[\w.\-]*%[0-9A-Fa-f]{2}[\w.\-]*){4,}))(?![\w+/=%])")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=?|[A-Za-z0-9+/]{2}(?:==)?)|(?:[A-Za-z0-9_\-]{4})*(?:[A-Za-z0-9_\-]{2,4})={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2})+")
 _REFERENCE = re.compile(r"^(?:\$\{|\$\(|\$[A-Za-z_]|\$\{\{|\{\{|%\(|%[A-Z_]+%$|env[:.(]|vault[:(]|secretref|ref[:+]|op://|ssm:|arn:|file:|@|<[^>]*>$|&[a-z]|process\.env|os\.(?:environ|getenv)|getenv|System\.getenv|self\.|this\.|config[.(\[]|settings[.(\[]|args\.|!Ref|None$)")
@@ -254,7 +258,7 @@ def _inside(s: str, depth: int, bare_password: bool) -> tuple[str, str]:
             continue
         if layer != "escape" and bare_password and (random_like(t) or password_like(t)):
             return "encoded credential", layer
-        for f in find(t, depth - 1):
+        if f := _first(t, depth - 1):
             return f.kind, layer + (">" + f.encoding if f.encoding else "")
     return "", ""
 
@@ -295,6 +299,22 @@ def _judge(name: str, v: str, depth: int, joined: bool = False) -> tuple[str, st
     return ("", "") if _HEX.fullmatch(v) and len(v) in (32, 40, 64) else _inside(v, depth, kind == "credential")
 
 
+def _documents(text: str) -> Iterator[tuple[int, str]]:
+    """(start, text) of each document of a manifest that is of a secret."""
+    if not KUBE.search(text):
+        return
+    marks = [0, *[m.end() for m in PARTED.finditer(text)]]
+    for a, b in zip(marks, [*[m.start() for m in PARTED.finditer(text)], len(text)], strict=True):
+        if KUBE.search(part := text[a:b]):
+            yield a, part
+
+
+@lru_cache(maxsize=256)
+def _first(text: str, depth: int) -> Find | None:
+    """The first find of a decoded text, which an assignment and a literal may both ask for."""
+    return next(iter(find(text, depth)), None)
+
+
 def find(text: str, depth: int = DEPTH) -> list[Find]:
     """Credentials of one text, in order and without overlaps."""
     found: list[Find] = []
@@ -321,7 +341,7 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
         kind, encoding = _judge(m["name"], v, depth, True)
         if kind:
             add(*m.span("parts"), "joined " + kind, encoding)
-    for m in CONTINUED.finditer(text):
+    for m in CONTINUED.finditer(text) if "\\\n" in text or "\\\r\n" in text else ():
         kind, encoding = _judge(m["name"], re.sub(r"\\\r?\n", "", m["value"]), depth, True)
         if kind:
             add(*m.span("value"), "joined " + kind, encoding)
@@ -346,11 +366,11 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
     for m in LOOSE.finditer(text):
         if not placeholder(m["value"]):
             add(*m.span("value"), "token")
-    for m in KUBE.finditer(text):
-        for block in KUBE_DATA.finditer(m["rest"]):
+    for start, document in _documents(text):
+        for block in KUBE_DATA.finditer(document):
             for row in KUBE_ROW.finditer(block["rows"]):
                 a, b, v = _bare(row)
-                at = m.start("rest") + block.start("rows")
+                at = start + block.start("rows")
                 plain = next((_printable(x) for layer, x in layers(v + "=" * (-len(v) % 4)) if layer == "base64"), None) if block["part"] == "data" else v
                 if plain is None and len(v) < 12 and _BASE64.fullmatch(v):
                     plain = _printable(base64.b64decode(v + "=" * (-len(v) % 4)))

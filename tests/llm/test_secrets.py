@@ -127,6 +127,24 @@ def test_code_still_works():
     assert "BEGIN PRIVATE KEY" in names["PEM"] and names["access"] == secrets.MARK
 
 
+def test_no_length_ends_the_search():
+    long = "password = Quartz_4837x\n" + "some plain line of text\n" * 1200
+    for text in (f'x = "{b64(long)}"', f"x {b64(long)} y", f"blob: {b64(long)}"):
+        assert len(secrets.find(text)) == 1
+    rows = [f"  key{i:03d}: {b64(f'Quartz_{i:04d}x')}" for i in range(150)]
+    for lines in (["kind: Secret", "data:", *rows], ["data:", *rows, "kind: Secret"], ["data:", "  a: " + b64("Plain_0001x"), "---", "data:", *rows, "kind: Secret", "---"]):
+        assert len(secrets.find("\n".join(lines))) == 150
+    der = b64(PKCS8)
+    pieces = [der[i : i + 2] for i in range(0, len(der), 2)]
+    joined = "SIGNING = (" + "\n".join(f'"{x}"' for x in pieces) + ")"
+    finds = secrets.find(joined)
+    assert len(pieces) > 21 and len(finds) == 1 and finds[0].end - finds[0].start > len(der)
+    deep = "password = Quartz_4837x"
+    for _ in range(9):
+        deep = b64(deep)
+    assert len(secrets.find(f'x = "{deep}"')) == 1
+
+
 def test_lines_in_spark(spark):
     text = f"first\nsecond\nAPI_KEY = '{token()}'\r\nlast " + quote("x y") + f"\npassword: harbor4823x{'y' * 9}"
     df = spark.createDataFrame([("a", text), ("n", None), ("e", ""), ("long", "word " * 50_000), ("dup", text), ("dup", text)], "id string, content string").withColumn("n_finds", F.lit(7)).withColumn("_text", F.lit("clash"))
