@@ -52,7 +52,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines on which a usable credential begins."""
-    hits = secrets.scan(_sources(spark, d), ["table_name", "row_id"], "text").where("n_finds > 0")
+    hits = secrets.scan(_sources(spark, d), ["table_name", "row_id"], "text", redacted=False).where("n_finds > 0")
     return hits.select("table_name", "row_id", F.explode("finds.line_no").alias("line_no")).distinct()
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -53,20 +54,26 @@ PLACEHOLDERS = {
     "bearer", "basic", "changeit", "changeme", "dummy", "empty", "fake", "false", "none", "not-set", "null", "pass", "passwd", "password", "placeholder", "pwd", "redacted", "sample", "secret",
     "tbd", "test", "todo", "token", "true", "undefined", "unset", "user", "xxx",
 }
-#: Prefixes of tokens that tell their issuer.
-ISSUERS = ("AKIA", "ASIA", "FJRD", "ORBK", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glowkey-", "glpat-", "lum_pat_", "nmb_live_", "npm_", "pypi-", "qzk-", "sk_live_", "tdr-sk-", "vlt2:", "whk_", "xoxb-", "xoxp-", "xs7.")
+# Published prefixes of tokens that tell their issuer.
+ISSUERS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "npm_", "pypi-", "sk_live_", "xoxb-", "xoxp-")
+#: What a name of a credential, or a word that announces one, has in it.
+STEMS = ("key", "pass", "pw", "secret", "token", "cred", "auth", "pat", "pem", "access", "dsn", "clave", "contrasena", "kennwort", "identified")
+#: Words before a value in a sentence.
+BEFORE = ("token", "key", "secret", "one", "use", "wip", "credential", "pat", "password", "passwort", "passphrase", "kennwort", "identified")
 
 _NAME = r"[A-Za-z_][\w.\-]{0,80}"
 _QUOTED = r"\"(?:\\.|[^\"\\\n])++\"|'(?:\\.|[^'\\\n])++'|`(?:\\.|[^`\\])++`"
 ASSIGN = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})(?:\\?[\"'`])?\]?[ \t]{{0,4}}(?:=>|:=|=(?!=)|:(?!//)|,(?=[ \t]*[\"'`]))[ \t]{{0,4}}\(?(?P<value>{_QUOTED}|[^\s\"'`,;()\[\]{{}}<>#]{{4,}}+)")
 OPTION = re.compile(rf"(?<![\w\-])--?(?P<name>{_NAME})[ =](?P<value>{_QUOTED}|[^\s\"'`]{{4,}}+)")
-SAID = re.compile(r"(?i)\b(?P<name>password|passwort|passphrase|kennwort|identified\s+by)[ \t]+(?:is[ \t]+|was[ \t]+|=[ \t]*)?(?P<value>'[^'\n]{4,200}'|\"[^\"\n]{4,200}\"|[^\s'\",;]{4,200})")
-TOLD = re.compile(r"(?i)\b(?:token|key|secret|one|use|wip|credential|pat)[ \t]+(?:was[ \t]+|is[ \t]+)?(?P<value>[^\s'\",;()]{6,2000})")
-LINK = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'`<>]{0,100}):(?P<value>[^\s/@\"'`<>]{1,200}|[^\s@\"'`<>]{1,200})@[\w.\-\[\]${}]+")
-HEADER = re.compile(r"(?i)\b(?P<scheme>basic|bearer)[ \t]+(?P<value>[A-Za-z0-9+/_.:~\-]{8,4000}={0,2})")
-PEM = re.compile(r"-----BEGIN (?P<label>[A-Z0-9 ]{0,40}?)-----(?P<body>.{0,20000}?)-----END (?P=label)-----", re.S)
-LOOSE = re.compile(r"(?<![\w+/=.\-])(?P<value>(?:" + "|".join(re.escape(p) for p in ISSUERS) + r")[A-Za-z0-9_+/\-]{12,200}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{10,})(?![\w\-])")
+SAID = re.compile(r"(?i)(?:password|passwort|passphrase|kennwort|identified[ \t]+by)[ \t]+(?:is[ \t]+|was[ \t]+|=[ \t]*)?(?P<value>'[^'\n]{4,}+'|\"[^\"\n]{4,}+\"|[^\s'\",;]{4,}+)")
+TOLD = re.compile(r"(?i)(?:token|key|secret|one|use|wip|credential|pat)[ \t]+(?:was[ \t]+|is[ \t]+)?(?P<value>[^\s'\",;()]{6,}+)")
+#: The scheme stands before; a link ends where the next one begins.
+LINK = re.compile(r"://(?P<user>[^\s:/@\"'`<>]*+):(?P<value>(?:(?!://)[^\s@\"'`<>])++)@[\w.\-\[\]${}]")
+HEADER = re.compile(r"(?i)(?P<scheme>basic|bearer)[ \t]+(?P<value>[A-Za-z0-9+/_.:~\-]{8,}+={0,2})")
+LOGIN = re.compile(r"(?<![\w\-])(?:-u|--user)[ =][\"']?[^\s:/@\"']++:(?P<value>[^\s\"'@/]{4,}+)")
 JOINED = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})[ \t]*[=:][ \t]*\(?[ \t]*(?P<parts>(?:\"[^\"\\\n]++\"|'[^'\\\n]++')(?:[ \t]*+[+.]?+[ \t]*+\\?+\r?+\n?+[ \t]*+[+.]?+[ \t]*+(?:\"[^\"\\\n]++\"|'[^'\\\n]++'))++)")
+#: Where one quoted piece meets the next: a text without has no joined literal.
+_MEET = re.compile(r"[\"'](?=[ \t\\\r\n+.])[ \t]*+[+.]?+[ \t]*+\\?+\r?+\n?+[ \t]*+[+.]?+[ \t]*+[\"']")
 CONTINUED = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})=(?P<value>[^\s\"'`\\]{{8,}}+(?:\\\r?\n[^\s\"'`\\]{{2,}}+)++)")
 PAIR = re.compile(rf"(?m)^[ \t]*-?[ \t]*\"?name\"?:[ \t]*[\"']?(?P<name>{_NAME})[\"']?,?[ \t]*\r?\n[ \t]*\"?value\"?:[ \t]*(?P<value>{_QUOTED}|[^\s\"'`]{{4,}}+)")
 KUBE = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?kind:[ \t]*Secret[ \t]*\r?$")
@@ -74,7 +81,14 @@ KUBE = re.compile(r"(?m)^[ \t]*(?:-[ \t]+)?kind:[ \t]*Secret[ \t]*\r?$")
 PARTED = re.compile(r"(?m)^---[^\n]*$")
 KUBE_DATA = re.compile(r"(?m)^(?P<pad>[ \t]*)(?P<part>data|stringData):[ \t]*\r?\n(?P<rows>(?:(?P=pad)[ \t]+[^\n]*(?:\n|$))+)")
 KUBE_ROW = re.compile(r"(?m)^[ \t]+(?P<name>[\w.\-]+):[ \t]*(?P<value>\"[^\"\n]+\"|'[^'\n]+'|[^\s\"'|>][^\s]*)")
-LITERAL = re.compile(r"(?<!\\)(?P<quote>[\"'`])(?P<inner>(?:\\.|(?!(?P=quote))[^\\\n]){12,}+)(?P=quote)|(?<![\w+/=%.\-])(?P<bare>(?:[A-Za-z0-9+/_\-]{20,}={0,2}|(?:[\w.\-]*%[0-9A-Fa-f]{2}[\w.\-]*){4,}))(?![\w+/=%])")
+#: A run that may be a token or an encoded text, and one that may be percent-encoded.
+RUN = re.compile(r"[A-Za-z0-9+/_\-.:~]{16,}+={0,2}")
+PERCENT = re.compile(r"[\w.\-]*+(?:%[0-9A-Fa-f]{2}[\w.\-]*+){3,}+")
+LITERAL = re.compile(r"(?<!\\)(?P<quote>[\"'`])(?P<inner>(?:\\.|(?!(?P=quote))[^\\\n]){12,}+)(?P=quote)")
+#: The name that a value stands under, at the end of what is before it.
+UNDER = re.compile(rf"(?<![\w.\-])(?P<name>{_NAME})(?:\\?[\"'`])?\]?[ \t]{{0,4}}(?:=>|:=|=|:|,)?[ \t]{{0,4}}\(?\\?[\"'`]?$")
+JWT = re.compile(r"eyJ[\w\-]{10,}+\.[\w\-]{10,}+\.[\w\-]{10,}+")
+ISSUED = re.compile("(?:" + "|".join(re.escape(p) for p in ISSUERS) + r")[A-Za-z0-9_+/\-]{12,}+")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=?|[A-Za-z0-9+/]{2}(?:==)?)|(?:[A-Za-z0-9_\-]{4})*(?:[A-Za-z0-9_\-]{2,4})={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2})+")
 _REFERENCE = re.compile(r"^(?:\$\{|\$\(|\$[A-Za-z_]|\$\{\{|\{\{|%\(|%[A-Z_]+%$|env[:.(]|vault[:(]|secretref|ref[:+]|op://|ssm:|arn:|file:|@|<[^>]*>$|&[a-z]|process\.env|os\.(?:environ|getenv)|getenv|System\.getenv|self\.|this\.|config[.(\[]|settings[.(\[]|args\.|!Ref|None$)")
@@ -113,9 +127,29 @@ def placeholder(value: str) -> bool:
     return bool(re.search(r"your[-_ ]|replace[-_ ]?me|change[-_ ]?me|placeholder|example|insert[-_ ]|redacted|<[a-z_\- ]+>|\$\{|\{\{|%\(|xxxx|\*\*\*\*", low))
 
 
+def issued(v: str) -> bool:
+    """Whether a value has a published form of tokens."""
+    return bool(ISSUED.fullmatch(v) or JWT.fullmatch(v))
+
+
+def token(v: str) -> bool:
+    """Whether a run that stands alone is a token, by its structure.
+
+    It mixes letters of both cases and digits at random, after a prefix of its
+    issuer perhaps.  Only hex digits may be of a digest, so they are none here;
+    plus signs and slashes are of encoded data.
+    """
+    if issued(v):
+        return True
+    if not re.fullmatch(r"[A-Za-z0-9_\-.:~]+", v):
+        return False
+    body = max(re.split(r"[_\-.:~]", v), key=len)
+    return len(body) >= 16 and not _HEX.fullmatch(body) and random_like(body)
+
+
 def random_like(v: str, least: int = 16) -> bool:
     """A run without words: issuer tokens, three-part tokens, mixed letters and digits."""
-    if LOOSE.fullmatch(v):
+    if issued(v):
         return True
     if len(v) < least or not re.fullmatch(r"[A-Za-z0-9+/_.=~:\-]+", v):
         return False
@@ -287,7 +321,7 @@ def _judge(name: str, v: str, depth: int, joined: bool = False) -> tuple[str, st
         return "", ""
     if "-----BEGIN" in v or "://" in v or (m := re.match(r"(?i)(basic|bearer)\s+\S", v)) is not None and m:
         return "", ""  # these have their own patterns
-    if LOOSE.fullmatch(v):
+    if issued(v):
         return "token", ""
     if kind == "credential":
         if random_like(v, 12) or password_like(v):
@@ -296,12 +330,14 @@ def _judge(name: str, v: str, depth: int, joined: bool = False) -> tuple[str, st
         return "assigned credential", ""
     elif kind == "other":
         return "", ""
+    elif joined and token(v):
+        return "token", ""
     return ("", "") if _HEX.fullmatch(v) and len(v) in (32, 40, 64) else _inside(v, depth, kind == "credential")
 
 
 def _documents(text: str) -> Iterator[tuple[int, str]]:
     """(start, text) of each document of a manifest that is of a secret."""
-    if not KUBE.search(text):
+    if "Secret" not in text or not KUBE.search(text):
         return
     marks = [0, *[m.end() for m in PARTED.finditer(text)]]
     for a, b in zip(marks, [*[m.start() for m in PARTED.finditer(text)], len(text)], strict=True):
@@ -315,20 +351,83 @@ def _first(text: str, depth: int) -> Find | None:
     return next(iter(find(text, depth)), None)
 
 
+def _spots(low: str, words: tuple[str, ...]) -> Iterator[int]:
+    """Where any of the words stands in a text, each by itself."""
+    for w in words:
+        i = low.find(w)
+        while i >= 0:
+            yield i
+            i = low.find(w, i + 1)
+
+
+def _lines(text: str, spots: Iterator[int]) -> list[tuple[int, int]]:
+    """(start, end) of the lines that hold a spot; a back-tick opened there closes further down."""
+    out: list[tuple[int, int]] = []
+    for i in sorted(spots):
+        if out and i < out[-1][1]:
+            continue
+        a, b = text.rfind("\n", 0, i) + 1, text.find("\n", i)
+        b = len(text) if b < 0 else b
+        if text.count("`", a, b) % 2:
+            b = text.find("`", b) + 1 or b
+        out.append((a, b))
+    return out
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of PEM blocks of any length."""
+    a = text.find("-----BEGIN ")
+    while a >= 0:
+        head = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----").match(text, a)
+        end = text.find(f"-----END {head[1]}-----", head.end()) if head else -1
+        if end >= 0:
+            last = end + len(head[1]) + 14
+            yield a, last, head[1], text[head.end() : end]
+            a = text.find("-----BEGIN ", last)
+        else:
+            a = text.find("-----BEGIN ", a + 1)
+
+
+def _alone(v: str) -> bool:
+    """Whether a word of a sentence is a credential: random, or letters with digits or marks as in a password.
+
+    Keys of issues, names of files and modules, versions and dates are none.
+    """
+    if _DIGEST.match(v) or placeholder(v):
+        return False
+    if random_like(v):
+        return True
+    if re.fullmatch(r"\[?[A-Za-z][A-Za-z0-9]*-\d+[\]:.,]*|v?\d+(?:[.\-/:]\d+)+\w*|(?:[A-Za-z_][\w\-]*[./])+[\w\-]*", v):
+        return False
+    return password_like(v) and bool(re.search(r"\d", v)) and (bool(re.search(r"\d{4}|[^\w.\-/]|[A-Z]", v)) or v.count("-") > 1)
+
+
 def find(text: str, depth: int = DEPTH) -> list[Find]:
-    """Credentials of one text, in order and without overlaps."""
+    """Credentials of one text, in order and without overlaps.
+
+    Each kind is looked for only where what it needs stands: names and words
+    are found by plain search, so that the patterns read few lines.  The time
+    grows with the length of the text and no length ends the search.
+    """
     found: list[Find] = []
     add = lambda a, b, kind, encoding="": found.append(Find(a, b, kind, encoding))
-
-    for m in PEM.finditer(text):
-        body = re.sub(r"\\[nr]|[\s#*\"'+;]|//|--|[\w\-]+: [^\n]*\n", "", m["body"])
-        if "PRIVATE KEY" in m["label"] and len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40 and not placeholder(body[:200]):
-            add(*m.span(), "pem private key")
+    low = text.lower()
+    if len(low) != len(text):  # a letter that grows when lowered
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+    blocks = list(_blocks(text)) if "-----BEGIN " in text else []
+    for a, b, label, inside in blocks:
+        body = re.sub(r"\\[nr]|[\s#*\"'+;]|//|--|[\w\-]+: [^\n]*\n", "", inside)
+        if "PRIVATE KEY" in label and len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40 and not placeholder(body[:200]):
+            add(a, b, "pem private key")
     for m in LINK.finditer(text):
         v = m["value"]
         if not placeholder(v) and not placeholder(m["user"] or "user.name") or (v and not placeholder(v) and password_like(v)):
             add(*m.span("value"), "password in a link")
-    for m in HEADER.finditer(text):
+    for i in _spots(low, ("basic", "bearer")):
+        m = HEADER.match(text, i)
+        if not m or i and (text[i - 1].isalnum() or text[i - 1] == "_"):
+            continue
         v = m["value"]
         if m["scheme"].lower() == "basic":
             plain = next((_printable(b) for layer, b in layers(v) if layer == "base64"), None)
@@ -336,7 +435,10 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
                 add(*m.span("value"), "basic authorization", "base64")
         elif random_like(v) or random_like(v, 20):
             add(*m.span("value"), "bearer token")
-    for m in JOINED.finditer(text):
+    for m in LOGIN.finditer(text) if "-u" in text else ():
+        if not placeholder(m["value"]) and (random_like(m["value"]) or password_like(m["value"])):
+            add(*m.span("value"), "password of a login")
+    for m in JOINED.finditer(text) if _MEET.search(text) else ():
         v = "".join(x[1:-1] for x in re.findall(r"\"[^\"\n]*\"|'[^'\n]*'", m["parts"]))
         kind, encoding = _judge(m["name"], v, depth, True)
         if kind:
@@ -345,27 +447,31 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
         kind, encoding = _judge(m["name"], re.sub(r"\\\r?\n", "", m["value"]), depth, True)
         if kind:
             add(*m.span("value"), "joined " + kind, encoding)
-    for pattern in (ASSIGN, PAIR, OPTION):
-        for m in pattern.finditer(text):
-            a, b, v = _bare(m)
-            name = m["name"]
-            if pattern is OPTION and name == "p":
-                name = "password" if re.search(r"login|mysql|psql|docker|-u\b|--user", text[max(0, a - 80) : a]) else "p"
-            kind, encoding = _judge(name, v, depth)
-            if kind:
-                add(a, b, kind, encoding)
-    for m in SAID.finditer(text):
+    named = _lines(text, _spots(low, STEMS))
+    tries = [(p, m) for a, b in named for p in (ASSIGN, OPTION) for m in p.finditer(text, a, b)]
+    tries += [(PAIR, m) for m in PAIR.finditer(text)] if "value" in low else []
+    if "-p" in text:
+        tries += [(OPTION, m) for a, b in _lines(text, _spots(low, (" -p ", " -p="))) for m in OPTION.finditer(text, a, b) if m["name"] == "p"]
+    for pattern, m in tries:
         a, b, v = _bare(m)
-        v = v.rstrip(".")
-        if not _DIGEST.match(v) and (random_like(v) or password_like(v)):
-            add(a, a + len(v), "password in words")
-    for m in TOLD.finditer(text):
-        v = m["value"].rstrip(".")
-        if not _DIGEST.match(v) and not placeholder(v) and not re.fullmatch(r"\[?[A-Z][A-Z0-9]+-\d+\]?:?", v) and (random_like(v) or password_like(v) and re.search(r"[^\w.\-/]", v) is not None or re.fullmatch(r"[a-z]+\d{4}|[A-Z]\w+[_#]\d{4}|My[A-Z][a-z]+Is[A-Z][a-z]+\d|[a-z]+-[A-Z][a-z]+!\d+", v)):
-            add(m.start("value"), m.start("value") + len(v), "token in words")
-    for m in LOOSE.finditer(text):
-        if not placeholder(m["value"]):
-            add(*m.span("value"), "token")
+        name = m["name"]
+        if pattern is OPTION and name == "p":
+            name = "password" if re.search(r"login|mysql|psql|docker|-u\b|--user", text[max(0, a - 80) : a]) else "p"
+        kind, encoding = _judge(name, v, depth)
+        if kind:
+            add(a, b, kind, encoding)
+    for i in _spots(low, BEFORE):
+        if i and (text[i - 1].isalnum() or text[i - 1] == "_"):
+            continue
+        if m := SAID.match(text, i):
+            a, b, v = _bare(m)
+            v = v.rstrip(".")
+            if not _DIGEST.match(v) and (random_like(v) or password_like(v)):
+                add(a, a + len(v), "password in words")
+        elif m := TOLD.match(text, i):
+            v = m["value"].rstrip(".")
+            if _alone(v):
+                add(m.start("value"), m.start("value") + len(v), "token in words")
     for start, document in _documents(text):
         for block in KUBE_DATA.finditer(document):
             for row in KUBE_ROW.finditer(block["rows"]):
@@ -376,20 +482,20 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
                     plain = _printable(base64.b64decode(v + "=" * (-len(v) % 4)))
                 if plain and not placeholder(plain) and "-----BEGIN" not in plain and names(row["name"]) not in ("other", "digest"):
                     add(at + a, at + b, "secret of a manifest", "base64" if block["part"] == "data" else "")
+    taken = sorted([(f.start, f.end) for f in found] + [(a, b) for a, b, _, _ in blocks])
+    for m in RUN.finditer(text):
+        _of_run(text, m, depth, taken, add)
     if depth:
-        for m in LITERAL.finditer(text):
-            group = "inner" if m["inner"] is not None else "bare"
-            s = m[group]
-            if len(s) < 16 or ("\\" not in s and "%" not in s and not _BASE64.fullmatch(re.sub(r"\s", "", s))):
-                continue
+        taken = sorted(taken + [(f.start, f.end) for f in found])
+        spots = PERCENT.finditer(text) if text.count("%") > 2 else ()
+        escaped = [m for a, b in _lines(text, _spots(text, ("\\",))) for m in LITERAL.finditer(text, a, b) if "\\" in m["inner"]] if "\\" in text else ()
+        for m, group in [*[(m, 0) for m in spots], *[(m, "inner") for m in escaped]]:
             a, b = m.span(group)
-            if any(f.start < b and a < f.end for f in found):
+            if len(m[group]) < 12 or _overlaps(taken, a, b):
                 continue
-            kind, encoding = _inside(s, depth, False)
-            if kind and encoding.replace("escape", "").replace(">", ""):
-                add(a, b, kind, encoding)
-            elif kind:  # only escapes: the find itself can be cut out of the literal
-                add(a, b, kind, "escape")
+            kind, encoding = _inside(m[group], depth, False)
+            if kind:  # only escapes: the find itself can be cut out of the literal
+                add(a, b, kind, encoding if encoding.replace("escape", "").replace(">", "") else "escape")
     found.sort(key=lambda f: (f.start, -f.end))
     out: list[Find] = []
     for f in found:
@@ -398,6 +504,41 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
     return out
 
 
+def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    i = bisect_left(taken, (b, -1))
+    return any(y > a for _, y in taken[max(0, i - 8) : i])
+
+
+def _of_run(text: str, m: re.Match, depth: int, taken: list[tuple[int, int]], add) -> None:
+    """A run of a text by itself: a token, or something encoded."""
+    a, b = m.span()
+    v = text[a:b]
+    while v and v[0] in ".:/+~" and len(v) >= 16:
+        a, v = a + 1, v[1:]
+    while v and v[-1] in ".:~-" and len(v) >= 16:
+        b, v = b - 1, v[:-1]
+    if len(v) < 16 or _overlaps(taken, a, b):
+        return
+    alone = token(v)
+    coded = bool(depth) and _BASE64.fullmatch(v) is not None
+    if not alone and not coded:
+        return
+    before = text[max(0, a - 100) : a]
+    before = before[before.rfind("\n") + 1 :]
+    under = UNDER.search(before)
+    if before.endswith(("$", "\\", "%")) or re.search(r"(?:ssh-|ecdsa-)\S+[ \t]$", before) or under and names(under["name"]) in ("digest", "other"):
+        return
+    if coded and len(v) >= 16:
+        kind, encoding = _inside(v, depth, False)
+        if kind:
+            add(a, b, kind, encoding)
+            return
+        if any(_printable(x) for _, x in layers(v)) or public(v):
+            return
+    if alone and not placeholder(v) and not _DIGEST.match(v):
+        add(a, b, "token")
+
+
 def redact(text: str, finds: list[Find]) -> str:
     """``text`` with each find replaced; quotes, line breaks and encodings stay."""
     parts, at = [], 0
@@ -425,8 +566,8 @@ def redact(text: str, finds: list[Find]) -> str:
     return "".join(parts) + text[at:]
 
 
-def scan(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """Finds of each text: ``(keep..., n_finds, finds, redacted)``.
+def scan(df: DataFrame, keep: list[str], text: str, redacted: bool = True) -> DataFrame:
+    """Finds of each text: ``(keep..., n_finds, finds, redacted)``, the last only if asked for.
 
     ``finds`` is an array of (line_no, start, end, kind, encoding); lines are
     parted by the line feed and counted from 1, offsets count characters.  A
@@ -434,7 +575,7 @@ def scan(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     Rows are read where they lie: nothing is moved.
     """
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_finds int, finds array<struct<line_no: bigint, start: int, `end`: int, kind: string, encoding: string>>, redacted string"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_finds int, finds array<struct<line_no: bigint, start: int, `end`: int, kind: string, encoding: string>>" + (", redacted string" if redacted else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -443,10 +584,12 @@ def scan(df: DataFrame, keep: list[str], text: str) -> DataFrame:
             for t in b["_text"]:
                 finds = find(t) if isinstance(t, str) else []
                 all_finds.append([{"line_no": t.count("\n", 0, f.start) + 1, "start": f.start, "end": f.end, "kind": f.kind, "encoding": f.encoding} for f in finds])
-                cleaned.append(redact(t, finds) if isinstance(t, str) else None)
+                if redacted:
+                    cleaned.append(redact(t, finds) if isinstance(t, str) else None)
             out["n_finds"] = pd.Series([len(f) for f in all_finds], index=out.index, dtype="int32")
             out["finds"] = pd.Series(all_finds, index=out.index, dtype=object)
-            out["redacted"] = pd.Series(cleaned, index=out.index, dtype=object)
+            if redacted:
+                out["redacted"] = pd.Series(cleaned, index=out.index, dtype=object)
             yield out
 
     return spread(df.select(*keep, F.col(text).alias("_text"))).mapInPandas(run, schema)

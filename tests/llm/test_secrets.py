@@ -113,6 +113,19 @@ def test_clean(text):
     assert not secrets.find(text or "")
 
 
+def test_no_list_of_issuers_is_needed():
+    """Prefixes drawn here, bodies of every length from 18 to 60, in code and in words; ids and digests beside them."""
+    r = random.Random(5)
+    for n in range(18, 60):
+        prefix = "".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(2, 6))) + r.choice(["_live_", "-", ".", ":", "_"])
+        value = prefix + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+        for text in (f'x = "{value}"', f"send({value})", f"old token was {value}", f"# {value} works"):
+            found = secrets.find(text)
+            assert len(found) == 1 and value.endswith(text[found[0].start : found[0].end]), text
+        for text in (f'request_id = "{value}"', f"build_id: {value}", f"checksum={value}"):
+            assert not secrets.find(text), text
+
+
 def test_containers():
     assert [secrets.container(b) for b in (PKCS1, PKCS8, SEC1)] == ["rsa private key", "private key", "ec private key"]
     assert not any(secrets.container(b) for b in (PUBLIC, CERTIFICATE, b"", b"\x30", b"\x30\x84", bytes(50), PKCS8[:-5]))
