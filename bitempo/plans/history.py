@@ -6,46 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitempo.operators import hierarchy, history
-from bitempo.session import cut, table
+from bitempo.session import Cut, table
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every version of the attributes of issues and of functional edges."""
-    change, edge = table(spark, d, "jira_change"), table(spark, d, "edge")
-    events = history.change_events(change, carry=False).unionByName(history.edge_events(edge).drop("value"))
-    sizes = change.select(F.col("issue_id").alias("entity_id"), F.lower(F.trim("field")).alias("attribute"))
-    sizes = sizes.unionByName(edge.select(F.col("from_uid").alias("entity_id"), F.col("rel_type").alias("attribute")))
-    found = history.versions(events, carry=(), sizes=sizes)
-    return found.select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
+#: Deliveries are merged in batches that begin at these instants (milliseconds of 2022 and 2024, UTC).
+BATCHES = (1_640_995_200_000, 1_704_067_200_000)
 
 
-#: Where ``p1_merged`` and ``p1_late`` part the deliveries.
-PARTED = "2024-01-01 00:00:00"
+def _merged(spark: SparkSession, d: str, edges: bool = True, order: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """Versions of the attributes from a dimension that deliveries are merged into, batch by batch.
 
-
-def _in_deliveries(spark: SparkSession, d: str, edges: bool) -> DataFrame:
-    """Changes, and edges if asked for, merged as two batches: what came late first, then what came before."""
-    change = table(spark, d, "jira_change")
-    # Of a change delivered again the last row counts, and that belongs to its batch.
-    last = change.where("change_id is not null").groupBy("change_id").agg(F.max(F.col("ingested_at").cast("timestamp")).alias("seen"))
-    events = history.change_events(change).join(last.withColumnRenamed("change_id", "rank"), "rank", "left")
+    Of a change delivered again the last row counts, and belongs to the batch of that.
+    """
+    events = history.change_events(table(spark, d, "jira_change"), carry=False)
     if edges:
-        edge = table(spark, d, "edge")
-        events = events.unionByName(history.edge_events(edge).withColumn("seen", F.timestamp_millis(F.floor(F.col("rank") / 1024))))
-    early = F.coalesce(F.col("seen") < F.lit(PARTED).cast("timestamp"), F.lit(False))
-    dimension = cut(history.merge(None, events.where(~early)))
-    merged = history.held(history.merge(dimension, events.where(early)))
-    return merged.select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
+        events = events.unionByName(history.edge_events(table(spark, d, "edge")).drop("value"))
+    batch = sum((F.col("seen_ms") >= at).cast("int") for at in BATCHES)
+    known = events.where("entity_id is not null and at_ms is not null")
+    parts = Cut(known.withColumn("batch", batch).drop("seen_ms"), by="batch")
+    now, old = None, None
+    for i, number in enumerate(order):
+        new = history.merge(now, parts.df.where(F.col("batch") == number).drop("batch"), carry=())
+        if i + 1 == len(order):
+            return history.held(new.states).select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
+        states = Cut(new.states)
+        # The events of a batch are stored already: its log is read from there.
+        now = history.Dimension(states.df, parts.df.where(F.col("batch").isin(*order[: i + 1])).drop("batch"))
+        if old:
+            old.drop()
+        old = states
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every version of the attributes of issues and of functional edges, merged in three batches by delivery."""
+    return _merged(spark, d)
 
 
 def p1_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The change log merged in two batches by delivery, the later first: the same versions as in one."""
-    return _in_deliveries(spark, d, edges=False)
+    """``p1_found`` with the batches merged in reverse: what comes late is told anew from the log."""
+    return _merged(spark, d, order=(2, 1, 0))
 
 
 def p1_late(spark: SparkSession, d: str) -> DataFrame:
-    """``p1_found`` from two batches by delivery, the later first."""
-    return _in_deliveries(spark, d, edges=True)
+    """The change log alone, the middle batch last."""
+    return _merged(spark, d, edges=False, order=(0, 2, 1))
+
+
+def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """``p1_found`` told in one pass over all events, without a dimension: merging must equal it."""
+    change, edge = table(spark, d, "jira_change"), table(spark, d, "edge")
+    events = history.change_events(change, carry=False).unionByName(history.edge_events(edge).drop("value"))
+    return history.versions(events, carry=()).select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +83,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_late, p2_found, p2_paths, p2_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_late, p1_loaded, p2_found, p2_paths, p2_descendants)}
 
 _CHANGES = r"""
 latest AS (SELECT DISTINCT ON (change_id) change_id, issue_id, trim(changed_at) AS c, lower(trim(field)) AS attribute, to_string
@@ -112,8 +123,9 @@ stuck AS (SELECT c.id, min(c.spot) AS root_id FROM chase c JOIN onloop o ON c.sp
 
 ORACLES = {
     "p1_found": "WITH " + _CHANGES.strip() + "," + EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + VERSIONS,
-    "p1_merged": "WITH " + _CHANGES.strip() + ",\nevents AS (FROM change_events)," + VERSIONS,
-    "p1_late": "WITH " + _CHANGES.strip() + "," + EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + VERSIONS,
+    "p1_merged": "WITH " + _CHANGES.strip() + "," + EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + VERSIONS,
+    "p1_loaded": "WITH " + _CHANGES.strip() + "," + EDGES + ",\nevents AS (FROM change_events UNION ALL FROM edge_events)," + VERSIONS,
+    "p1_late": "WITH " + _CHANGES.strip() + ",\nevents AS (FROM change_events)," + VERSIONS,
     "p2_found": _TREE + """
 SELECT d.id AS issue_id, root_id, depth, coalesce(n, 0) AS n_descendants FROM down d LEFT JOIN below b ON d.id = b.id
 UNION ALL SELECT id, root_id, -1, -1 FROM stuck""",

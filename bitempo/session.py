@@ -67,11 +67,12 @@ def _sweep() -> None:
 class Cut:
     """A table written to the shared folder, with ``drop`` to delete it early."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{checkpoint_dir(self.spark)}/bitempo-{uuid.uuid4().hex}"
         _written.append((self.spark, self.path))
-        df.write.option("compression", "zstd").parquet(self.path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

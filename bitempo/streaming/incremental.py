@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bitempo.operators import changes, history
 from bitempo.operators.store import Store
+from bitempo.session import cut
 
 _STATE = "content_hash string, updates long"
 _OUT = "record_key string, action string, updates long, priority long"
@@ -46,12 +47,16 @@ def record_actions(stream: DataFrame) -> DataFrame:
 def sync_history(stream: DataFrame, store: Store, checkpoint: str, table: str = "history"):
     """Merge a stream of attribute events into a type-two table, batch by batch.
 
-    A batch that is delivered again changes nothing, since merging is
-    idempotent; the snapshot is switched after it is complete.
+    A batch that is delivered again changes no version, since merging is
+    idempotent; the log of events only grows by each batch, and the snapshot
+    is switched after both are complete.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.write({table: history.merge(store.read(table), batch)})
+        states = store.read(table)
+        known = cut(batch)
+        new = history.merge(None if states is None else history.Dimension(states, store.read(f"{table}_log")), known)
+        store.write({table: new.states}, more={f"{table}_log": history.merge(None, known).log})
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -48,37 +48,47 @@ def test_versions_against_brute_force(spark, hot):
     assert rows(history.versions(events(spark, data), hot_rows=hot), *COLUMNS) == brute(data)
 
 
-def test_merge_in_batches_is_one_history(spark):
-    r = random.Random(3)
-    data = [(r.choice("abc"), "x", r.randrange(100), i + 1, r.choice(["p", "q", None]), None) for i in range(80)]
-    dimension = None
-    for part in (data[:30], data[30:55], data[55:], data[30:55]):
-        dimension = history.merge(dimension, events(spark, part))
-    # Late events may have been confirmed only: compare what holds at each instant.
-    want, got = brute(data), rows(dimension, *COLUMNS)
-    assert got == want or {x[:2] for x in got} == {x[:2] for x in want}
+def stored(spark, dimension):
+    """The dimension as rows, so that the next merge does not read through this one."""
+    return history.Dimension(*[spark.createDataFrame(df.collect(), df.schema) for df in dimension])
 
 
-@pytest.mark.parametrize("hot", [3, 100_000])
-def test_merge_in_any_order_equals_one_pass(spark, hot):
-    r = random.Random(11)
+@pytest.mark.parametrize(("hot", "seed"), [(3, 0), (100_000, 1), (100_000, 2)])
+def test_merge_in_any_order_equals_one_pass(spark, hot, seed):
+    r = random.Random(seed)
     data = [(r.choice("abcd"), "x", r.randrange(60), i + 1, r.choice(["p", "q", None]), r.choice([None, None, *range(60)])) for i in range(120)]
     data += [("late", "x", 1, 1, "A", None), ("late", "x", 3, 3, "A", None), ("ended", "x", 1, 1, "A", None), ("ended", "x", 3, 3, "A", None), ("none", "x", 5, 5, None, None)]
-    late = [("late", "x", 2, 2, "B", None), ("ended", "x", 2, 2, "A", 2), ("none", "x", 3, 3, "A", None)]
+    late = [("late", "x", 2, 2, "B", None), ("ended", "x", 2, 2, "A", 2), ("none", "x", 3, 3, "A", None), (None, "x", 3, 3, "A", None), ("none", "x", None, 3, "A", None)]
+    data.sort(key=lambda e: e[2] if seed % 2 else e[3])
     dimension = None
-    for part in (data[60:], data[:60], late, data[20:90]):
-        dimension = history.merge(dimension, events(spark, part), hot_rows=hot)
-        dimension = spark.createDataFrame(dimension.collect(), dimension.schema)
-    got = rows(history.held(dimension), *COLUMNS)
+    for part in (data[:60], data[60:], late, data[20:90]) if seed < 2 else (data[60:], data[:60], late, data[20:90]):
+        dimension = stored(spark, history.merge(dimension, events(spark, part), hot_rows=hot))
+    got = rows(history.held(dimension.states), *COLUMNS)
     assert got == brute(data + late)
     assert [x[2:] for x in got if x[0] == "late"] == [(1, 2), (2, 3), (3, -1)]
 
 
+def test_a_value_that_ends_after_it_was_confirmed(spark):
+    parts = [[("a", "s", 1, 1, "A", None), ("a", "s", 2, 2, "A", 50)], [("a", "s", 10, 10, "A", None)], [("a", "s", 20, 20, None, None)], [("a", "s", 30, 30, "A", None)]]
+    dimension = None
+    for part in parts:
+        dimension = stored(spark, history.merge(dimension, events(spark, part)))
+    assert rows(history.held(dimension.states), *COLUMNS) == brute(sum(parts, [])) == [("a", "s", 1, 20), ("a", "s", 30, -1)]
+
+
 def test_merge_closes_and_inserts(spark):
     first = history.merge(None, events(spark, [("a", "s", 10, 1, "open", None), ("b", "s", 10, 1, "open", None)]))
     second = history.merge(first, events(spark, [("a", "s", 20, 1, "done", None)]))
-    assert rows(second, *COLUMNS, "value") == [("a", "s", 10, 20, "open"), ("a", "s", 20, -1, "done"), ("b", "s", 10, -1, "open")]
-    assert rows(history.merge(second, events(spark, [("a", "s", 20, 1, "done", None)])), *COLUMNS) == rows(second, *COLUMNS)
+    assert rows(history.held(second.states), *COLUMNS, "value") == [("a", "s", 10, 20, "open"), ("a", "s", 20, -1, "done"), ("b", "s", 10, -1, "open")]
+    again = history.merge(second, events(spark, [("a", "s", 20, 1, "done", None)]))
+    assert rows(history.held(again.states), *COLUMNS) == rows(history.held(second.states), *COLUMNS)
+
+
+def test_merge_reads_the_log_for_late_events_only(spark):
+    """A log that is broken on purpose: what comes in order never looks at it."""
+    first = history.merge(None, events(spark, [("a", "s", 10, 1, "open", None)]))
+    broken = history.Dimension(first.states, first.log.withColumn("at_ms", F.raise_error(F.lit("read")).cast("long")))
+    assert rows(history.held(history.merge(broken, events(spark, [("a", "s", 20, 2, "done", None)])).states), *COLUMNS) == [("a", "s", 10, 20), ("a", "s", 20, -1)]
 
 
 def test_empty_table_and_extra_columns(spark):

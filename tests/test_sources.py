@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bitempo import session
 from bitempo.operators import export, history
-from bitempo.operators.store import Store
+from bitempo.operators.store import Conflict, Store
 from bitempo.sources import json_exports as sources
 from bitempo.streaming import incremental
 from tests.rows import rows
@@ -61,11 +61,17 @@ def test_store_and_sync(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(feed / str(i)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(feed))
     incremental.sync_history(stream, store, str(tmp_path / "check")).awaitTermination()
-    want = history.merge(None, spark.read.option("recursiveFileLookup", True).schema(schema).parquet(str(feed)))
+    want = history.versions(spark.read.option("recursiveFileLookup", True).schema(schema).parquet(str(feed)))
     columns = ("entity_id", "value", "valid_from_ms", "valid_to_ms")
-    assert rows(store.read("history"), *columns) == rows(want, *columns) == [("a", "x", 1, 3), ("a", "y", 5, -1), ("a", "z", 3, 5), ("b", "x", 1, -1)]
+    assert rows(history.held(store.read("history")), *columns) == rows(want, *columns) == [("a", "x", 1, 3), ("a", "y", 5, -1), ("a", "z", 3, 5), ("b", "x", 1, -1)]
     store.write({"other": spark.range(3)})
-    assert store.read("other").count() == 3 and store.read("history").count() == 4
+    assert store.read("other").count() == 3 and store.read("history").count() == 4 and store.read("history_log").count() == 4
+    # A writer that starts from an old commit loses nothing: it gets an error, and readers the tables of before.
+    late = Store(spark, store.root)
+    late._last = lambda: 1
+    with pytest.raises(Conflict):
+        late.write({"other": spark.range(9)})
+    assert store.read("other").count() == 3 and store.read("history", 1).count() == 2
 
 
 def test_streamed_records(spark, tmp_path):
