@@ -1,8 +1,9 @@
 """Parent-child rows of unknown depth to full hierarchies.
 
 ``forest`` finds connected components by pointer doubling, puts each component
-into one task and walks it depth first with node colours.  Components too large
-for one task are solved by doubling alone, which never gathers one.
+into one task and walks it depth first with node colours.  A component too large
+for one task is cut into fragments that are walked in the same way, and so is
+the tree of its fragments.
 """
 
 from __future__ import annotations
@@ -15,11 +16,16 @@ from pyspark.sql import functions as F
 
 from bitempo.session import Cut
 
-#: Components up to this many nodes are walked in one task.
+#: Components up to this many nodes are walked in one task; larger ones in fragments.
 COMPONENT_ROWS = 200_000
 #: Components are dealt to tasks by hash; this many nodes per task on average.
 TASK_ROWS = 50_000
-FOREST = "id string, root_id string, depth long, n_descendants long, path string, in_loop boolean, leads_to_loop boolean, back_edge_to string"
+#: One node in so many begins a fragment, and so does every child of a node with more children than ``WIDE``.
+FRAGMENT, WIDE = 256, 1000
+#: Ids of paths that a task holds before it hands rows on.
+HELD = 500_000
+FOREST = "id string, root_id string, depth long, n_descendants long, in_loop boolean, leads_to_loop boolean, back_edge_to string"
+PATH = ", path array<string>"
 
 
 def plain_id(text: Column) -> Column:
@@ -83,162 +89,258 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def _walk(ids: list, parent: list) -> Iterator[tuple]:
-    """Depth-first traversal of one component with white, grey and black nodes."""
+def _order(children: list[list[int]], root: int) -> Iterator[tuple[int, bool]]:
+    """Nodes below and at ``root``, depth first: (node, True) on entering, (node, False) on leaving."""
+    stack = [(root, 0)]
+    yield root, True
+    while stack:
+        node, at = stack.pop()
+        if at < len(children[node]):
+            stack.append((node, at + 1))
+            stack.append((children[node][at], 0))
+            yield children[node][at], True
+        else:
+            yield node, False
+
+
+def _family(ids: list, parent: list) -> tuple[list[int], list[list[int]]]:
     index = {v: i for i, v in enumerate(ids)}
     up = [index.get(p, -1) if p is not None else -1 for p in parent]
-    n = len(ids)
-    children: list[list[int]] = [[] for _ in range(n)]
+    children: list[list[int]] = [[] for _ in ids]
     for i, u in enumerate(up):
         if u >= 0:
             children[u].append(i)
-    roots = [i for i in range(n) if up[i] < 0]
-    loop: list[int] = []
-    if not roots:  # each component of parent links without a root has exactly one loop
-        colour, i = [0] * n, 0
-        while not colour[i]:
-            colour[i], i = 1, up[i]
-        start = i
-        while True:
-            loop.append(i)
-            i = up[i]
-            if i == start:
-                break
-        roots = [min(loop, key=lambda k: ids[k])]
-    looping = bool(loop)
-    least = ids[roots[0]] if looping else None
-    on_loop = set(loop)
-    colour, depth, size = [0] * n, [0] * n, [1] * n
-    path: list = [None] * n
-    back: list = [None] * n
-    for root in roots:
-        path[root] = ids[root]
-        stack = [(root, 0)]
-        colour[root] = 1
-        while stack:
-            node, at = stack.pop()
-            if at < len(children[node]):
-                stack.append((node, at + 1))
-                child = children[node][at]
-                if colour[child] == 0:
-                    colour[child], depth[child] = 1, depth[node] + 1
-                    path[child] = f"{path[node]}/{ids[child]}"
-                    stack.append((child, 0))
-                elif colour[child] == 1:
-                    back[node] = ids[child]  # an edge to a grey node closes a loop
-            else:
-                colour[node] = 2
-                if up[node] >= 0 and not (looping and node == roots[0]):
-                    size[up[node]] += size[node]
-    tree_root = None if looping else ids[roots[0]]
+    return up, children
+
+
+def _walk(ids: list, parent: list, paths: bool) -> Iterator[tuple]:
+    """Depth-first traversal of one component with white, grey and black nodes.
+
+    Paths are told from the nodes entered and not left, so only one is held.
+    """
+    up, children = _family(ids, parent)
+    n = len(ids)
+    root = next((i for i in range(n) if up[i] < 0), None)
+    if root is not None:
+        depth, below, trail = [0] * n, [0] * n, []
+        for node, entered in _order(children, root):
+            if entered:
+                depth[node] = depth[up[node]] + 1 if node != root else 0
+            elif node != root:
+                below[up[node]] += below[node] + 1
+        for node, entered in _order(children, root):
+            if not entered:
+                trail and trail.pop()
+                continue
+            if paths:
+                trail.append(ids[node])
+            yield (ids[node], ids[root], depth[node], below[node], False, False, None, *([list(trail)] if paths else []))
+        return
+    # A component of parent links without a root has exactly one loop: climb until a node is met again.
+    colour, i = [0] * n, 0
+    while not colour[i]:
+        colour[i], i = 1, up[i]
+    loop, start = [i], i
+    while up[loop[-1]] != start:
+        loop.append(up[loop[-1]])
+    top = min(loop, key=lambda k: ids[k])
+    on, back, colour = set(loop), {}, [0] * n
+    stack = [(top, 0)]
+    colour[top] = 1
+    while stack:
+        node, at = stack.pop()
+        if at == len(children[node]):
+            colour[node] = 2
+            continue
+        stack.append((node, at + 1))
+        child = children[node][at]
+        if colour[child] == 1:
+            back[node] = ids[child]  # an edge to a grey node closes a loop
+        elif not colour[child]:
+            colour[child] = 1
+            stack.append((child, 0))
     for i in range(n):
-        if looping:
-            yield ids[i], least, -1, -1, None, i in on_loop, i not in on_loop, back[i]
-        else:
-            yield ids[i], tree_root, depth[i], size[i] - 1, path[i], False, False, None
-
-
-def _walk_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by component; one component is held at a time."""
-    names = [f.split()[0] for f in FOREST.split(", ")]
-    now, ids, parent, out = None, [], [], []
-    for batch in batches:
-        for component, i, p in zip(batch["component"], batch["id"], batch["parent"], strict=True):
-            if component != now:
-                out.extend(_walk(ids, parent) if ids else ())
-                now, ids, parent = component, [], []
-                if len(out) > 50_000:
+        yield (ids[i], ids[top], -1, -1, i in on, i not in on, back.get(i), *([None] if paths else []))
+
+
+def _walk_weighted(ids: list, parent: list, weight: list, length: list, paths: bool) -> Iterator[tuple]:
+    """Depth-first traversal of a tree of fragments, or of one fragment: (id, depth, weight below, path)."""
+    up, children = _family(ids, parent)
+    n = len(ids)
+    for root in (i for i in range(n) if up[i] < 0):
+        depth, below, trail = {root: 0}, {}, []
+        for node, entered in _order(children, root):
+            if entered:
+                below[node] = 0
+                if node != root:
+                    depth[node] = depth[up[node]] + length[node]
+            elif node != root:
+                below[up[node]] += below[node] + weight[node]
+        for node, entered in _order(children, root):
+            if not entered:
+                trail and trail.pop()
+                continue
+            if paths:
+                trail.append(ids[node])
+            yield (ids[node], depth[node], below[node], *([list(trail)] if paths else []))
+
+
+def _by_group(walk, columns: list[str], names: list[str], paths: bool):
+    """Runs ``walk`` over rows that come sorted by their first column, one group at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, group, out, held = None, [[] for _ in columns], [], 0
+
+        def told() -> Iterator[pd.DataFrame]:
+            nonlocal out, held
+            for row in walk(*group, paths) if group[0] else ():
+                out.append(row)
+                held += len(row[-1] or ()) + 10 if paths else 10
+                if held > HELD:
                     yield pd.DataFrame(out, columns=names)
-                    out = []
-            ids.append(i)
-            parent.append(None if pd.isna(p) else p)
-    out.extend(_walk(ids, parent) if ids else ())
-    if out:
-        yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
 
+        for batch in batches:
+            for key, *row in batch.itertuples(index=False, name=None):
+                if key != now:
+                    yield from told()
+                    now, group = key, [[] for _ in columns]
+                for values, v in zip(group, row, strict=True):
+                    values.append(None if v is None or v != v else v)
+        yield from told()
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
-def _doubled(part: DataFrame) -> DataFrame:
-    """The same columns for components of any size, by doubling alone.
+    return run
 
-    After round k a row knows its ancestor at distance 2^k (or none), the
-    path and number of steps up to it, and how many descendants lie nearer
-    than 2^k.  No round puts a component into one task.
-    """
-    state = part.select("id", "component", F.col("parent").alias("ptr"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("below"), F.col("id").alias("path"), F.lit(True).alias("first"))
-    state = state.withColumn("depth", F.when(F.col("ptr").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    now = Cut(state.drop("first"))
-    while not now.df.where("ptr is not null").isEmpty():
-        rows = now.df
-        reached = rows.where("ptr is not null").groupBy("ptr").agg(F.sum(F.col("below") + 1).alias("_more")).withColumnRenamed("ptr", "id")
-        counted = rows.join(reached, "id", "left").withColumn("below", F.col("below") + F.coalesce("_more", F.lit(0))).drop("_more")
-        above = rows.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-        going = counted.where("ptr is not null").join(above, "ptr").select("id", "component", F.col("_ptr").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"), "below", F.concat_ws("/", "_path", "path").alias("path"))
-        step = Cut(going.unionByName(counted.where("ptr is null").select(*going.columns)))
+
+_NODE = "id string, depth long, below long"
+
+
+def _weighted(nodes: DataFrame, group: str, paths: bool, task_rows: int, rows: int) -> DataFrame:
+    """``_walk_weighted`` over each group of ``nodes(group, id, parent, weight, length)``."""
+    schema = _NODE + (PATH if paths else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    dealt = nodes.select(group, "id", "parent", "weight", "length").repartition(max(1, -(-rows // task_rows)), group).sortWithinPartitions(group, "id")
+    return dealt.mapInPandas(_by_group(_walk_weighted, ["id", "parent", "weight", "length"], names, paths), schema)
+
+
+def _fragments(rest: DataFrame) -> DataFrame:
+    """``(id, fragment)``: each node's nearest ancestor that begins one, by pointer doubling between these."""
+    now = Cut(rest.select("id", F.when(F.col("cut"), F.col("id")).otherwise(F.col("parent")).alias("ptr"), F.col("cut").alias("done")))
+    while not now.df.where("not done").isEmpty():
+        above = now.df.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("done").alias("_done"))
+        going = now.df.where("not done").join(above, "ptr").select("id", F.col("_ptr").alias("ptr"), F.col("_done").alias("done"))
+        step = Cut(now.df.where("done").unionByName(going))
         now.drop()
         now = step
-    return now.df.select("id", F.col("component").alias("root_id"), "depth", F.col("below").alias("n_descendants"), "path", F.lit(False).alias("in_loop"), F.lit(False).alias("leads_to_loop"), F.lit(None).cast("string").alias("back_edge_to"))
+    return now.df.select("id", F.col("ptr").alias("fragment"))
 
 
-def _doubled_loops(part: DataFrame) -> DataFrame:
-    """Large components with a loop, by doubling alone.
+def _trees(nodes: DataFrame, paths: bool, bound: int, task_rows: int) -> DataFrame:
+    """``(id, depth, below[, path])`` of trees of any size: ``nodes(tree, id, parent, weight, length)``.
 
-    When pointers reach as far as there are rows, they all stand on a loop, and
-    every row of a loop is stood on by another one of it.
+    Trees up to ``bound`` nodes are walked whole.  Of larger ones the leaves
+    are counted for their parents, the rest is cut into fragments, each walked
+    by itself; then the tree of the fragments, which is many times smaller, is
+    solved in the same way, and its weights and depths go back into them.
     """
-    now, reach, rows = Cut(part.select("id", F.col("parent").alias("ptr"))), 1, part.count()
-    while reach < rows:
-        step = Cut(now.df.join(now.df.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next")), "ptr").select("id", F.col("_next").alias("ptr")))
-        now.drop()
-        now, reach = step, reach * 2
-    on = now.df.select(F.col("ptr").alias("id"), F.lit(True).alias("_on")).distinct()
-    closing = part.where("id = component").select(F.col("parent").alias("id"), F.col("component").alias("back_edge_to"))
-    nothing = F.lit(-1).cast("long")
-    inside = F.coalesce(F.col("_on"), F.lit(False))
-    return part.join(on, "id", "left").join(closing, "id", "left").select(
-        "id", F.col("component").alias("root_id"), nothing.alias("depth"), nothing.alias("n_descendants"), F.lit(None).cast("string").alias("path"),
-        inside.alias("in_loop"), (~inside).alias("leads_to_loop"), "back_edge_to",
+    rows = nodes.count()
+    if nodes.groupBy("tree").count().where(F.col("count") > bound).isEmpty():
+        return _weighted(nodes, "tree", paths, task_rows, rows)
+    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
+    known = Cut(nodes.join(kids, "id", "left")).df
+    leaf = F.col("kids").isNull() & F.col("parent").isNotNull()
+    leaves, inner = known.where(leaf), known.where(~leaf)
+    under = leaves.groupBy(F.col("parent").alias("id")).agg(F.sum("weight").alias("leaf_weight"), F.count(F.lit(1)).alias("n_leaves"))
+    inner = inner.join(under, "id", "left").withColumn("leaf_weight", F.coalesce("leaf_weight", F.lit(0))).withColumn("kids", F.coalesce("kids", F.lit(0)) - F.coalesce("n_leaves", F.lit(0)))
+    wide = inner.where(F.col("kids") > WIDE).select(F.col("id").alias("parent"), F.lit(True).alias("wide"))
+    cut_here = F.col("parent").isNull() | (F.pmod(F.xxhash64("id"), F.lit(FRAGMENT)) == 0) | F.coalesce("wide", F.lit(False))
+    inner = Cut(inner.join(wide, "parent", "left").withColumn("cut", cut_here).select("tree", "id", "parent", "weight", "length", "leaf_weight", "cut")).df
+    inner = Cut(inner.join(_fragments(inner), "id")).df
+    within = inner.withColumn("up", F.when(~F.col("cut"), F.col("parent"))).withColumn("whole", F.col("weight") + F.col("leaf_weight"))
+    of_fragment = lambda df, weight: df.select("fragment", "id", F.col("up").alias("parent"), F.col(weight).alias("weight"), "length")
+    first = Cut(_weighted(of_fragment(within, "whole"), "fragment", False, task_rows, rows)).df
+    weights = within.join(first, "id")
+    at = weights.select(F.col("id").alias("parent"), F.col("fragment").alias("above"), F.col("depth").alias("_depth"))
+    tops = weights.where("cut").select("tree", "id", "parent", (F.col("below") + F.col("whole")).alias("weight"), "length").join(at, "parent", "left")
+    tops = Cut(tops.select("tree", "id", F.col("parent").alias("joint"), F.col("above").alias("parent"), "weight", (F.col("length") + F.coalesce("_depth", F.lit(0))).alias("length"))).df
+    solved = Cut(_trees(tops.drop("joint"), False, bound, task_rows)).df
+    hung = tops.join(solved, "id").where("joint is not null").groupBy(F.col("joint").alias("id")).agg(F.sum(F.col("below") + F.col("weight")).alias("hung"))
+    full = within.join(hung, "id", "left").withColumn("hung", F.coalesce("hung", F.lit(0))).withColumn("all", F.col("whole") + F.col("hung"))
+    second = Cut(_weighted(of_fragment(full, "all"), "fragment", paths, task_rows, rows)).df
+    top = solved.select(F.col("id").alias("fragment"), F.col("depth").alias("_top"))
+    done = full.join(second, "id").join(top, "fragment").select("id", "fragment", (F.col("_top") + F.col("depth")).alias("depth"), (F.col("below") + F.col("leaf_weight") + F.col("hung")).alias("below"), *(["path"] if paths else []))
+    if paths:
+        # What stands above a fragment is the path of the node that it hangs from, by doubling over the fragments.
+        joint = done.select(F.col("id").alias("joint"), F.col("fragment").alias("ptr"), F.col("path").alias("pre"))
+        now = Cut(tops.select(F.col("id").alias("fragment"), "joint").join(joint, "joint", "left").select("fragment", "ptr", F.coalesce("pre", F.array().cast("array<string>")).alias("pre")))
+        while not now.df.where("ptr is not null").isEmpty():
+            above = now.df.select(F.col("fragment").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("pre").alias("_pre"))
+            going = now.df.where("ptr is not null").join(above, "ptr").select("fragment", F.col("_ptr").alias("ptr"), F.concat("_pre", "pre").alias("pre"))
+            step = Cut(now.df.where("ptr is null").unionByName(going))
+            now.drop()
+            now = step
+        done = done.join(now.df.select("fragment", "pre"), "fragment").select("id", "fragment", "depth", "below", F.concat("pre", "path").alias("path"))
+    done = Cut(done.drop("fragment")).df
+    over = done.select(F.col("id").alias("parent"), F.col("depth").alias("_depth"), *([F.col("path").alias("_path")] if paths else []))
+    low = leaves.join(over, "parent").select("id", (F.col("_depth") + F.col("length")).alias("depth"), F.lit(0).cast("long").alias("below"), *([F.concat("_path", F.array("id")).alias("path")] if paths else []))
+    return done.unionByName(low)
+
+
+def _large(part: DataFrame, paths: bool, bound: int, task_rows: int) -> DataFrame:
+    """``FOREST`` of components that do not fit into one task.
+
+    A loop is cut above its smallest node, which then is the root; the nodes
+    on it are those above the node that the cut link came from.
+    """
+    whole = part.groupBy("component").agg(F.max(F.col("parent").isNull()).alias("_tree"))
+    known = part.join(whole, "component")
+    closing = known.where("not _tree and id = component").select(F.col("parent").alias("id"), F.col("id").alias("back_edge_to"))
+    nodes = known.join(closing, "id", "left").select(
+        F.col("component").alias("tree"), "id", F.when(F.col("_tree") | (F.col("id") != F.col("component")), F.col("parent")).alias("parent"),
+        F.when(F.col("_tree"), F.lit(1)).otherwise(F.col("back_edge_to").isNotNull().cast("int")).cast("long").alias("weight"), F.lit(1).cast("long").alias("length"), "_tree", "back_edge_to",
+    )
+    nodes = Cut(nodes).df
+    out = nodes.select("tree", "id", "weight", "_tree", "back_edge_to").join(_trees(nodes.drop("_tree", "back_edge_to"), paths, bound, task_rows), "id")
+    no, on = F.lit(-1).cast("long"), ~F.col("_tree") & (F.col("below") + F.col("weight") > 0)
+    return out.select(
+        "id", F.col("tree").alias("root_id"), F.when(F.col("_tree"), F.col("depth")).otherwise(no).alias("depth"), F.when(F.col("_tree"), F.col("below")).otherwise(no).alias("n_descendants"),
+        on.alias("in_loop"), (~F.col("_tree") & ~on).alias("leads_to_loop"), "back_edge_to", *([F.when(F.col("_tree"), F.col("path")).alias("path")] if paths else []),
     )
 
 
-def forest(links: DataFrame, component_rows: int = COMPONENT_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Path, depth, root and number of descendants of each ``(id, parent)``.
+def forest(links: DataFrame, paths: bool = False, component_rows: int = COMPONENT_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Root, depth and number of descendants of each ``(id, parent)``, and its path if asked for.
 
     * ``parent`` null (or equal to no id, see ``parents``) makes a root with depth 0.
     * Rows on a loop, or leading into one, get the smallest id on the loop as
-      ``root_id`` and -1 as depth and n_descendants; ``back_edge_to`` marks the
-      row whose child link closes the loop.
+      ``root_id``, -1 as depth and n_descendants and no path; ``back_edge_to``
+      marks the row whose child link closes the loop.
+    * ``path`` is an array of ids from the root down to the row itself, so the
+      rows take as much room as the sum of their depths.
     * An empty table gives no rows.
-
-    Components above ``component_rows`` are solved without gathering them.
     """
     found = Cut(components(links)).df
-    sizes = found.groupBy("component").count()
-    giants = sizes.where(F.col("count") > component_rows).select("component")
+    giants = found.groupBy("component").count().where(F.col("count") > component_rows).select("component")
     has_giants = not giants.isEmpty()
     normal = found.join(giants, "component", "left_anti") if has_giants else found
     tasks = max(1, -(-found.count() // task_rows))
-    walked = normal.repartition(tasks, "component").sortWithinPartitions("component", "id").select("component", "id", "parent").mapInPandas(_walk_partitions, FOREST)
+    schema = FOREST + (PATH if paths else "")
+    names = [f.split()[0] for f in schema.split(", ")]
+    walked = normal.repartition(tasks, "component").sortWithinPartitions("component", "id").select("component", "id", "parent").mapInPandas(_by_group(_walk, ["id", "parent"], names, paths), schema)
     if not has_giants:
         return walked
-    large = found.join(giants, "component", "left_semi")
-    rooted = large.where("parent is null").select("component")
-    trees = _doubled(large.join(rooted, "component", "left_semi"))
-    loops = large.join(rooted, "component", "left_anti")
-    out = walked.unionByName(trees)
-    if not loops.isEmpty():
-        out = out.unionByName(_doubled_loops(loops))
-    return out
+    return walked.unionByName(_large(found.join(giants, "component", "left_semi"), paths, component_rows, task_rows))
 
 
 def descendants(links: DataFrame) -> DataFrame:
     """``(ancestor_id, id, distance)`` for every node below a node of a tree.
 
-    The closure of trees by doubling: pairs at distance up to 2^k are joined
-    with themselves, so its size is the sum of all depths.  Rows on loops or
-    leading into them have no pairs.
+    Every path tells the ancestors of its last node, so there are as many
+    pairs as the sum of all depths.  Rows on loops or leading into them have
+    no pairs.
     """
-    tree = forest(links).where("path is not null").select("id", F.split("path", "/").alias("p"))
-    up = tree.select("id", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("i", "ancestor_id"), F.size("p").alias("n"))
+    tree = forest(links, paths=True).where("path is not null")
+    up = tree.select("id", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("i", "ancestor_id"), F.size("path").alias("n"))
     return up.select("ancestor_id", "id", (F.col("n") - 1 - F.col("i")).cast("long").alias("distance"))
-
-

@@ -74,8 +74,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     """The path of each issue, and which lie on a loop or lead into one."""
+    tree = hierarchy.forest(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True), paths=True)
+    return tree.select(F.col("id").alias("issue_id"), F.coalesce(F.array_join("path", "/"), F.lit("")).alias("path"), "in_loop", "leads_to_loop")
+
+
+def p2_loops(spark: SparkSession, d: str) -> DataFrame:
+    """The link of each loop that closes it, seen from its smallest issue."""
     tree = hierarchy.forest(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True))
-    return tree.select(F.col("id").alias("issue_id"), F.coalesce("path", F.lit("")).alias("path"), "in_loop", "leads_to_loop")
+    return tree.where("back_edge_to is not null").select(F.col("id").alias("issue_id"), F.col("back_edge_to").alias("child_id"))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +89,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.parents(issues(spark, d), "issue_id", "parent_id", plain=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_late, p1_loaded, p2_found, p2_paths, p2_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_merged, p1_late, p1_loaded, p2_found, p2_paths, p2_loops, p2_descendants)}
 
 _CHANGES = r"""
 latest AS (SELECT DISTINCT ON (change_id) change_id, issue_id, trim(changed_at) AS c, lower(trim(field)) AS attribute, to_string
@@ -132,5 +138,7 @@ UNION ALL SELECT id, root_id, -1, -1 FROM stuck""",
     "p2_paths": _TREE + """
 SELECT id AS issue_id, path, false AS in_loop, false AS leads_to_loop FROM down
 UNION ALL SELECT id, '', id IN (FROM onloop), id NOT IN (FROM onloop) FROM stuck""",
+    "p2_loops": _TREE + """
+SELECT l.p AS issue_id, l.id AS child_id FROM lost l JOIN stuck s ON l.id = s.id AND l.id = s.root_id""",
     "p2_descendants": _TREE + " SELECT ancestor_id, id, distance FROM pairs",
 }

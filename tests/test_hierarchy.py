@@ -40,8 +40,10 @@ def test_forest_against_brute_force(spark, seed, component_rows):
     for _ in range(seed):
         parent[r.choice(ids)] = r.choice(ids)
     links = spark.createDataFrame(list(parent.items()), "id string, parent string")
-    found = hierarchy.forest(links, component_rows=component_rows, task_rows=20)
+    found = hierarchy.forest(links, True, component_rows, 20).cache()
     assert rows(found, *COLUMNS) == brute(parent)
+    for r in found.where("depth >= 0").collect():
+        assert len(r["path"]) == r["depth"] + 1 and r["path"][-1] == r["id"] and all(parent[b] == a for a, b in zip([None, *r["path"]], r["path"], strict=False))
     for r in found.where("back_edge_to is not null").collect():
         assert parent[r["back_edge_to"]] == r["id"] and r["back_edge_to"] == r["root_id"] and r["in_loop"]
 
@@ -49,9 +51,32 @@ def test_forest_against_brute_force(spark, seed, component_rows):
 def test_long_chain(spark):
     parent = {f"{i:04d}": f"{i - 1:04d}" if i else None for i in range(700)}
     links = spark.createDataFrame(list(parent.items()), "id string, parent string")
-    got = {r["id"]: r for r in hierarchy.forest(links).collect()}
+    got = {r["id"]: r for r in hierarchy.forest(links, paths=True).collect()}
     assert got["0699"]["depth"] == 699 and got["0000"]["n_descendants"] == 699
-    assert got["0002"]["path"] == "0000/0001/0002"
+    assert got["0002"]["path"] == ["0000", "0001", "0002"]
+
+
+def test_shapes_in_fragments(spark, monkeypatch):
+    """A chain, a star of chains, a comb and a long loop with tails, each far above the bound."""
+    monkeypatch.setattr(hierarchy, "FRAGMENT", 4)
+    monkeypatch.setattr(hierarchy, "WIDE", 5)
+    parent = {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(150)}
+    parent |= {"s": None} | {f"s{i}_{j}": f"s{i}_{j - 1}" if j else "s" for i in range(40) for j in range(3)}
+    parent |= {f"k{i:03d}": f"k{i - 1:03d}" if i else None for i in range(60)} | {f"t{i:03d}": f"k{i:03d}" for i in range(60)}
+    parent |= {f"l{i:03d}": f"l{(i - 1) % 70:03d}" for i in range(70)} | {f"m{i:03d}": f"l{i:03d}" for i in range(0, 70, 7)} | {"n0": "m007", "n1": "n0"}
+    found = hierarchy.forest(spark.createDataFrame(list(parent.items()), "id string, parent string"), component_rows=20, task_rows=50).cache()
+    assert rows(found, *COLUMNS) == brute(parent)
+    assert {r["id"] for r in found.where("in_loop").collect()} == {f"l{i:03d}" for i in range(70)}
+    assert rows(found.where("back_edge_to is not null"), "id", "back_edge_to") == [("l069", "l000")]
+
+
+def test_long_chain_in_one_task():
+    """As many nodes as a task ever walks, without a path: a few lists."""
+    n = hierarchy.COMPONENT_ROWS
+    last = None
+    for last in hierarchy._walk([str(i) for i in range(n)], [str(i - 1) if i else None for i in range(n)], False):
+        pass
+    assert last == (str(n - 1), "0", n - 1, 0, False, False, None)
 
 
 def test_self_parent_is_a_loop(spark):
@@ -71,5 +96,5 @@ def test_empty(spark):
 
 
 def test_descendants(spark):
-    links = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "id string, parent string")
-    assert rows(hierarchy.descendants(links), "ancestor_id", "id", "distance") == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+    links = spark.createDataFrame([("a", None), ("b/1", "a"), ("c", "b/1"), ("x", "y"), ("y", "x")], "id string, parent string")
+    assert rows(hierarchy.descendants(links), "ancestor_id", "id", "distance") == [("a", "b/1", 1), ("a", "c", 2), ("b/1", "c", 1)]

@@ -68,16 +68,34 @@ def test_windows_and_names(spark):
     assert rows(windows.fuzzy_names(people, spark.createDataFrame([("hnrike",), ("zz",), (None,)], "word string")), "id", "word") == [(1, "hnrike")]
 
 
-def test_stated_dates():
-    d, ref = dates.stated_dates, date(2026, 5, 20)
-    assert d("since 2026-03-12") == (date(2026, 3, 12), None, False)
-    assert d("valid from 12 March 2026 until April 1st, 2026") == (date(2026, 3, 12), date(2026, 4, 1), False)
-    assert d("until Mar 2026") == (None, date(2026, 3, 1), False)
-    assert d("since Q2", ref)[0] == date(2026, 4, 1) and d("in Q3 2025", ref)[0] == date(2025, 7, 1)
-    assert d("3 days ago", ref)[0] == date(2026, 5, 17) and d("2 months ago", ref)[0] == date(2026, 3, 21) and d("from next sprint", ref)[0] == date(2026, 6, 3)
-    assert d("see DS-2026-03-12 and v2.0.3", ref) == (None, None, False)
-    assert d("it is no longer used") == (None, None, True)
-    assert d(None) == (None, None, False) and d("30 February 2026") == (None, None, False)
+STATED = [
+    ("since 2026-03-12", "2026-03-12", None, False),
+    ("valid from 12 March 2026 until April 1st, 2026", "2026-03-12", "2026-04-01", False),
+    ("12 March 2026 to 4 August 2026.", "2026-03-12", "2026-08-04", False),
+    ("until Mar 2026", None, "2026-03-01", False),
+    ("since Q2", "2026-04-01", None, False),
+    ("in Q3 2025", "2025-07-01", None, False),
+    ("3 days ago", "2026-05-17", None, False),
+    ("2 months ago", "2026-03-21", None, False),
+    ("from next sprint", "2026-06-03", None, False),
+    ("superseded on 4 Sept 2026", None, "2026-09-04", False),
+    ("it ended. On 2026-01-05 another began", "2026-01-05", None, True),
+    ("recorded at 2026-03-12T10:00:00+05:30 in the log; live until the migration", "2026-03-12", None, True),
+    ("see DS-2026-03-12, /exports/2026-03-12/x and v2.0.3", None, None, False),
+    ("the endpoint was replaced", None, None, True),
+    ("30 February 2026 and 2026-13-40", None, None, False),
+    ("first yesterday, then LAST  WEEK", "2026-05-19", "2026-05-13", False),
+    ("", None, None, False),
+    (None, None, None, False),
+]
+
+
+def test_stated_dates(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(STATED)], "i int, t string")
+    said = lambda ref: [tuple(None if x is None else x if isinstance(x, bool) else str(x) for x in r) for r in df.select("i", dates.stated(F.col("t"), ref).alias("s")).orderBy("i").select("s.*").collect()]
+    assert said(F.lit("2026-05-20").cast("date")) == [tuple(x[1:]) for x in STATED]
+    alone = said(F.lit(None).cast("date"))
+    assert alone[6][0] is None and alone[4][0] is None and alone[5][0] == "2025-07-01"
 
 
 def test_query_windows():
