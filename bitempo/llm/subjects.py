@@ -6,8 +6,10 @@ labelled texts and the subjects' own descriptions, one component of texts
 labelled with no subject, and one background component per language, anchored
 by the words that most texts of it use.  Alternating
 multiplicative updates run over all texts: mixtures where a text lies, the
-components from sums over all of them.  Sentences are then read by the
-components, and a text gets the subjects that enough of its sentences bear.
+components from sums over all of them, until they settle.  A text's mixture
+then says to which component each of its tokens belongs, and how surely: a
+sentence bears the subject that it has most evidence for, if that is enough, and
+a text gets the subjects that enough of its sentences bear.
 """
 
 from __future__ import annotations
@@ -25,17 +27,34 @@ from bitempo.session import broadcast_if_small, cut, small, spread
 
 COLUMNS = 1 << 16
 LANGUAGES = ("en", "de", "fr", "es")
-ROUNDS, INNER = 2, 3
+#: Updates of a text's mixture in a round; rounds end when the components move by less than ``SETTLED`` (half the
+#: sum of differences, mean over components), after ``ROUNDS`` at most.
+ROUNDS, INNER, SETTLED = 8, 3, 0.02
+#: Updates of a mixture when texts are read: more of them draw it to the main subject and lose lesser ones.
+READ = 1
 #: Weight of the anchors against what all texts say of a component.
 ANCHOR = 3.0
-#: Evidence a sentence needs to bear a subject, and the share of such sentences a text needs.
-EVIDENCE, SHARE = 7.0, 0.25
+#: A sentence bears a subject when the chance that none of its tokens is the subject's is below exp(-EVIDENCE); a text
+#: needs ``SHARE`` of such sentences.
+EVIDENCE, SHARE = 8.0, 0.25
 #: A word, or what ends a sentence.
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?]+(?=\s|$)|[\n\r]+|\\n")
+#: The same for texts in lower case without other letters, which is read faster.
+_ASCII = re.compile(r"[a-z]+|[.!?]+(?=\s|$)|[\n\r]+|\\n")
 _CHUNK = 1 << 19
 
 
-def sentence_columns(texts: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Codes(dict):
+    """Numbers of tokens, -1 for what ends a sentence; remembers those seen."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[token] = zlib.crc32(token.encode()) if token[0].isalpha() else -1
+        return code
+
+
+def sentence_columns(texts: list[str], seen: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashed words and word pairs of texts, and where their sentences end.
 
     Gives the columns of all texts, the number of each text's, the ends of all
@@ -43,15 +62,10 @@ def sentence_columns(texts: list[str], seen: dict[str, int]) -> tuple[np.ndarray
     """
     ids: list[int] = []
     of_text = np.zeros(len(texts), "int64")
+    code = seen.__getitem__
     for n, text in enumerate(texts):
         before = len(ids)
-        for token in _TOKEN.findall(text.lower()):
-            c = seen.get(token)
-            if c is None:
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                c = seen[token] = zlib.crc32(token.encode()) if token[0].isalpha() else -1
-            ids.append(c)
+        ids.extend(map(code, (_ASCII if text.isascii() else _TOKEN).findall(text.lower())))
         ids.append(-1)
         of_text[n] = len(ids) - before
     flat = np.array(ids, "int64")
@@ -77,7 +91,7 @@ def _tokens(texts: DataFrame, key: str, text: str, language: str) -> DataFrame:
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen = Codes()
         for b in batches:
             columns, n, ends, m = sentence_columns(b["t"].to_pylist(), seen)
             lists = lambda values, sizes: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"), values)
@@ -88,17 +102,19 @@ def _tokens(texts: DataFrame, key: str, text: str, language: str) -> DataFrame:
 
 
 def _shares(columns: np.ndarray, lengths: np.ndarray, mask: np.ndarray, h: np.ndarray, inner: int) -> np.ndarray:
-    """How the components share each token, after updating each text's mixture ``inner`` times."""
+    """How the components share each token, after updating each text's mixture ``inner`` times.
+
+    An update multiplies a mixture by the share of each component in what it
+    tells of the tokens; its scale, the number of tokens, cancels out.
+    """
     share = h[columns]
     at = 0
     for n, allowed in zip(lengths.tolist(), mask, strict=True):
         part = share[at : at + n]
-        w = allowed / allowed.sum()
+        w, least = allowed / allowed.sum(), allowed * np.float32(1e-6 * n)
         for _ in range(inner):
             w *= (1 / (part @ w)) @ part  # no column of h is 0 for a component in use
-            w /= w.sum()
-            np.maximum(w, 1e-6, out=w)
-            w *= allowed
+            np.maximum(w, least, out=w)
         part *= (1 / (part @ w))[:, None]
         part *= w
         at += n
@@ -169,7 +185,7 @@ def _anchors(tokens: DataFrame, subjects: list[str], described: list[str], langu
 
     counts = _sums(tokens, k + 2 * m, add)
     labelled = counts[:, :k]
-    seen: dict[str, int] = {}
+    seen = Codes()
     for i, words in enumerate(described):
         for c in sentence_columns([words], seen)[0]:
             labelled[c, i] += 3.0
@@ -183,11 +199,8 @@ def _anchors(tokens: DataFrame, subjects: list[str], described: list[str], langu
     return h / h.sum(axis=0)
 
 
-def components(tokens: DataFrame, subjects: list[str], described: list[str], languages: tuple[str, ...] = LANGUAGES, rounds: int = ROUNDS, inner: int = INNER, anchor: float = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """The factorisation: (columns, components) and the share of tokens of each component.
-
-    Both have a fixed size, whatever the number of texts.
-    """
+def components(tokens: DataFrame, subjects: list[str], described: list[str], languages: tuple[str, ...] = LANGUAGES, rounds: int = ROUNDS, inner: int = INNER, anchor: float = ANCHOR, settled: float = SETTLED) -> np.ndarray:
+    """The components of the factorisation, a column of shares each: of a fixed size, whatever the number of texts."""
     context = tokens.sparkSession.sparkContext
     first = _anchors(tokens, subjects, described, languages)
     h, n = first, first.shape[1]
@@ -197,16 +210,17 @@ def components(tokens: DataFrame, subjects: list[str], described: list[str], lan
         def add(b: pa.RecordBatch, sums: np.ndarray) -> None:
             for part, columns, lengths in _chunks(b):
                 mask = _mask(part["labels"], len(subjects), n)
-                share = np.ascontiguousarray(_shares(columns, lengths, mask, sent.value, inner).T)  # noqa: B023
+                share = _shares(columns, lengths, mask, sent.value, inner)  # noqa: B023
                 columns = columns.astype(np.intp)
                 for c in range(n):
-                    sums[c] += np.bincount(columns, share[c], minlength=COLUMNS)
+                    sums[c] += np.bincount(columns, share[:, c], minlength=COLUMNS)
 
         counts = _sums(tokens, n, add)
-        h = counts + anchor * first * counts.sum(axis=0) + 1e-7
+        last, h = h, counts + anchor * first * counts.sum(axis=0) + 1e-7
         h /= h.sum(axis=0)
-    total = counts.sum(axis=0)
-    return h, total / max(total.sum(), 1e-12)
+        if np.abs(h - last).sum(axis=0).mean() / 2 < settled:
+            break
+    return h
 
 
 def subjects_of(
@@ -232,12 +246,10 @@ def subjects_of(
     number = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1, F.lit(-1))
     known = labels.where(F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("k")).agg(F.array_sort(F.collect_set(number)).alias("labels"))
     tokens = cut(_tokens(texts, key, text, language).join(broadcast_if_small(known), "k", "left"))
-    h, size = components(tokens, subjects, described)
     k = len(subjects)
-    joint = h * size + 1e-9
-    posterior = (joint / joint.sum(axis=1, keepdims=True))[:, :k]
-    weight = np.where(posterior > 0.5, -np.log1p(-np.minimum(posterior, 0.999)), 0).astype("float32")
-    sent = tokens.sparkSession.sparkContext.broadcast(weight)
+    h = components(tokens, subjects, described)
+    n_all = h.shape[1]
+    sent = tokens.sparkSession.sparkContext.broadcast(h.astype("float32"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,7 +258,10 @@ def subjects_of(
                 n_sentences = part["ends"].value_lengths().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(lengths)), n_sentences)
                 ends = part["ends"].flatten().to_numpy(zero_copy_only=False) + base[row]
-                z = np.add.reduceat(sent.value[columns], np.concatenate([[0], ends[:-1]]), axis=0)
+                # Labels are hints for the factors only: every text is read with all components.
+                of_token = _shares(columns, lengths, np.ones((len(lengths), n_all), "float32"), sent.value, READ)[:, :k]
+                sure = np.where(of_token > 0.5, -np.log1p(-np.minimum(of_token, np.float32(0.999))), np.float32(0))
+                z = np.add.reduceat(sure, np.concatenate([[0], ends[:-1]]), axis=0)
                 best = z.argmax(axis=1)
                 bears = z[np.arange(len(z)), best] >= evidence
                 n = np.bincount(row[bears] * k + best[bears], minlength=len(lengths) * k).reshape(-1, k)

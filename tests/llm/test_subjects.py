@@ -69,10 +69,10 @@ def test_empty_corpus(spark):
 
 
 def test_columns_and_sentence_ends():
-    columns, n, ends, m = subjects.sentence_columns(["One two. Three!\nfour five six", "", "7 8", "word"], {})
+    columns, n, ends, m = subjects.sentence_columns(["One two. Three!\nfour five six", "", "7 8", "word"], subjects.Codes())
     assert n.tolist() == [3 + 1 + 5, 0, 0, 1] and m.tolist() == [3, 0, 0, 1] and ends.tolist() == [3, 4, 9, 1]
     assert len(columns) == n.sum() and columns.dtype == np.int32 and (columns >= 0).all() and (columns < subjects.COLUMNS).all()
-    again, *_ = subjects.sentence_columns(["one TWO"], {})
+    again, *_ = subjects.sentence_columns(["one TWO"], subjects.Codes())
     assert again.tolist() == columns[:3].tolist()
 
 
