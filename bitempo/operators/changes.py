@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitempo.operators.sequence import HOT_ROWS, hot_groups, neighbours, running
+
 INSERT, UPDATE, KEEP, DELETE = "insert", "update", "keep", "delete"
 
 
@@ -39,26 +41,40 @@ def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*keys, F.when(F.col("_new").isNull(), "superseded").when(F.col("_old").isNull(), "added").otherwise("kept").alias("state"))
 
 
-def field_intervals(items: DataFrame, changes: DataFrame) -> DataFrame:
+def value_spans(changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(item, value, start_at, end_at, first, from_value)``: from each change to the next one of its item.
+
+    ``changes(item, at, seq, from_value, to_value)``; the last span is open, and
+    an item may have any share of the changes.
+    """
+    known = changes.where("item is not null and at is not null").withColumn("seq", F.coalesce("seq", F.lit(-1)))
+    near = neighbours(known, ["item"], "at", {}, {"end_at": F.col("at")}, hot_groups(known, ["item"], hot_rows), then=("seq",))
+    return near.select("item", F.col("to_value").alias("value"), F.col("at").alias("start_at"), "end_at", F.col("_first").alias("first"), "from_value")
+
+
+def field_intervals(items: DataFrame, changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(item, value, start_at, end_at)``: the periods of one field from its change log.
 
     ``items(item, created_at, current)`` and ``changes(item, at, seq, from_value,
     to_value)``.  The first period begins with the item's creation and has the
     first change's old value, or the current one when nothing changed.
     """
-    near = Window.partitionBy("item").orderBy("at", "seq")
-    moved = changes.where("item is not null and at is not null").withColumn("end_at", F.lead("at").over(near)).withColumn("_n", F.row_number().over(near))
-    later = moved.select("item", F.col("to_value").alias("value"), F.col("at").alias("start_at"), "end_at")
-    first = moved.where("_n = 1").select("item", F.col("from_value").alias("_v"), F.col("at").alias("end_at"), F.lit(True).alias("_moved"))
+    spans = value_spans(changes, hot_rows)
+    first = spans.where("first").select("item", F.col("from_value").alias("_v"), F.col("start_at").alias("end_at"), F.lit(True).alias("_moved"))
     opening = items.join(first, "item", "left").select("item", F.when(F.col("_moved"), F.col("_v")).otherwise(F.col("current")).alias("value"), F.col("created_at").alias("start_at"), "end_at")
-    return opening.unionByName(later.join(items.select("item"), "item", "left_semi"))
+    return opening.unionByName(spans.select("item", "value", "start_at", "end_at").join(items.select("item"), "item", "left_semi"))
+
 
+def record_versions(states: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(record_key, version, content_hash, at)``: a version starts where the hash differs from the one before.
 
-def record_versions(states: DataFrame) -> DataFrame:
-    """``(record_key, version, content_hash, at)``: a version starts where the hash differs from the one before."""
-    near = Window.partitionBy("record_key").orderBy("at", "content_hash")
-    moved = states.withColumn("_p", F.lag("content_hash").over(near)).where(~F.col("content_hash").eqNullSafe(F.col("_p")))
-    return moved.select("record_key", F.row_number().over(near).cast("long").alias("version"), "content_hash", "at")
+    ``states(record_key, at, content_hash)``; rows with a null among them are
+    left out, repeated ones count once.
+    """
+    known = states.select("record_key", "at", "content_hash").dropna().distinct()
+    hot = hot_groups(known, ["record_key"], hot_rows)
+    moved = neighbours(known, ["record_key"], "at", {"_p": F.col("content_hash")}, {}, hot, then=("content_hash",)).where(~F.col("content_hash").eqNullSafe(F.col("_p")))
+    return running(moved.select(*known.columns), ["record_key"], "at", F.lit(1).cast("long"), "version", hot, then=("content_hash",)).select("record_key", "version", "content_hash", "at")
 
 
 def moved_from(records: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitempo.functions.ids import make_uid
-from bitempo.functions.temporal import live
+from bitempo.functions.temporal import interval_note, live
 
 KEY = ["from_uid", "rel_type", "to_uid"]
 #: Columns that a batch may set on a known fact when it states them.
@@ -34,21 +34,30 @@ def upsert(facts: DataFrame, batch: DataFrame, now: Column, revive: bool = True,
     * Evidence and confidence of a known fact stay, unless ``update_evidence``.
     * Records are added when the first of the batch row is not among them.
 
-    Of repeated keys in a batch one row counts (the largest by record keys,
-    then evidence).  Rows with a null in the key are left out.
+    Of repeated keys in a batch the largest row (by record keys, then evidence)
+    states the rest, but every one adds its records, in the order of their
+    size.  Rows with a null in the key are left out.
     """
     kinds = dict(facts.dtypes)
     known = batch.where(" AND ".join(f"{k} IS NOT NULL" for k in KEY))
     ranked = F.struct(*[F.col(c) for c in ("source_record_keys", "evidence", "confidence", "valid_at") if c in batch.columns])
     rest = [c for c in batch.columns if c not in KEY]
-    one = known.groupBy(*KEY).agg(F.max_by(F.struct(*rest), ranked).alias("_n")).select(*KEY, "_n.*")
+    none = F.array().cast("array<string>")
+    stated = F.sort_array(F.collect_set(F.col("source_record_keys") if "source_record_keys" in batch.columns else none), asc=False)
+    one = known.groupBy(*KEY).agg(F.max_by(F.struct(*rest), ranked).alias("_n"), stated.alias("_keys")).select(*KEY, "_n.*", "_keys")
     both = facts.alias("o").join(one.withColumn("_new", F.lit(True)).alias("n"), KEY, "full_outer")
     n = lambda c: _col(one, "n", c, kinds.get(c, "string"))
     o = lambda c: F.col(f"o.{c}")
     made, met = F.col("o.fact_uid").isNull(), F.col("o.fact_uid").isNotNull() & F.col("n._new").isNotNull()
-    keys = F.coalesce(o("source_record_keys"), F.array().cast("array<string>"))
-    first = F.try_element_at(n("source_record_keys"), F.lit(1))
-    supported = first.isNotNull() & ~F.array_contains(keys, first)
+    keys = F.coalesce(o("source_record_keys"), none)
+
+    def add(held: Column, more: Column) -> Column:
+        first = F.try_element_at(more, F.lit(1))
+        return F.when(first.isNotNull() & ~F.array_contains(held, first), F.concat(held, more)).otherwise(held)
+
+    made_keys = F.when(F.size("n._keys") > 1, F.aggregate(F.slice("n._keys", F.lit(2), F.greatest(F.size("n._keys") - 1, F.lit(0))), F.coalesce(F.try_element_at("n._keys", F.lit(1)), none), add)).otherwise(n("source_record_keys"))
+    merged_keys = F.aggregate(F.coalesce("n._keys", F.array().cast("array<array<string>>")), keys, add)
+    supported = F.size(merged_keys) > F.size(keys)
     reopened = o("invalid_at").isNotNull() & F.lit(revive)
     differs = lambda c: F.coalesce(n(c) != o(c), F.lit(False))
     changed = differs("evidence") | differs("confidence") | F.coalesce(supported, F.lit(False)) | reopened
@@ -62,7 +71,7 @@ def upsert(facts: DataFrame, batch: DataFrame, now: Column, revive: bool = True,
         "invalid_at": pick(n("invalid_at"), F.lit(None).cast("timestamp") if revive else o("invalid_at"), o("invalid_at")),
         "first_seen_at": pick(now, o("first_seen_at"), o("first_seen_at")) if "first_seen_at" in kinds else None,
         "last_confirmed_at": pick(now, F.when(changed, now).otherwise(o("last_confirmed_at")), o("last_confirmed_at")) if "last_confirmed_at" in kinds else None,
-        "source_record_keys": pick(n("source_record_keys"), F.when(supported, F.concat(keys, n("source_record_keys"))).otherwise(o("source_record_keys")), o("source_record_keys")),
+        "source_record_keys": pick(made_keys, F.when(supported, merged_keys).otherwise(o("source_record_keys")), o("source_record_keys")),
         "assertion_status": pick(F.lit("live"), o("assertion_status"), o("assertion_status")),
     }
     for c in ("evidence", "confidence"):
@@ -78,7 +87,7 @@ def upsert(facts: DataFrame, batch: DataFrame, now: Column, revive: bool = True,
     for c in STATED:
         if c in kinds:
             out[c] = pick(n(c), F.coalesce(n(c), o(c)), o(c))
-    return both.select(*[F.col(c) if c in KEY else (out[c] if out.get(c) is not None else (F.coalesce(n(c), o(c)) if c in one.columns else o(c))).alias(c) for c in facts.columns])
+    return both.select(*[F.col(c) if c in KEY else (out[c] if out.get(c) is not None else (F.coalesce(n(c), o(c)) if c in one.columns and c != "_keys" else o(c))).alias(c) for c in facts.columns])
 
 
 def _is_live(df: DataFrame) -> Column:
@@ -86,12 +95,13 @@ def _is_live(df: DataFrame) -> Column:
     return live(F.col("invalid_at"), F.col("assertion_status"), projection)
 
 
-def archive(facts: DataFrame, which: Column, now: Column) -> DataFrame:
-    """History rows of the facts that ``which`` picks: what was held until ``now``."""
+def archive(facts: DataFrame, which: Column, now: Column, until: Column | None = None, status: Column | None = None) -> DataFrame:
+    """History rows of the facts that ``which`` picks: what was held until ``now``, and true until ``until``."""
+    until = now if until is None else until
     seen = F.col("first_seen_at") if "first_seen_at" in facts.columns else F.col("valid_at")
     return facts.where(which).select(
         make_uid(F.lit("FactHistory"), F.col("fact_uid"), now.cast("string")).alias("uid"), "fact_uid", "from_uid", "to_uid", F.col("rel_type").alias("relation"),
-        F.col("valid_at").alias("valid_from"), now.alias("valid_to"), seen.alias("observed_from"), now.alias("observed_to"), "source_record_keys", "confidence", "assertion_status",
+        F.col("valid_at").alias("valid_from"), until.alias("valid_to"), seen.alias("observed_from"), now.alias("observed_to"), "source_record_keys", "confidence", (F.col("assertion_status") if status is None else status).alias("assertion_status"),
     )
 
 
@@ -103,41 +113,150 @@ def supersede(facts: DataFrame, relation: str, subjects: DataFrame, now: Column)
     return closed, archive(marked, F.col("_hit"), now)
 
 
-def remove_support(facts: DataFrame, records: DataFrame, now: Column) -> DataFrame:
-    """Take records away from what they support; a live fact without any support left ends.
+def remove_support(facts: DataFrame, records: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Take records away from what they support; a live fact without any support left ends: (facts, new history).
 
-    ``records(record_key)`` may be many: only facts that name one of them are
-    touched, by a join on their record keys.
+    ``records(record_key[, valid_to])`` may be many: only facts that name one of
+    them are touched, by a join on their record keys.  ``valid_to`` says since
+    when the record holds no longer; the history then ends there.
     """
-    gone = records.select("record_key").where("record_key is not null").distinct()
-    lost = facts.select("fact_uid", F.explode("source_record_keys").alias("record_key")).join(gone, "record_key").groupBy("fact_uid").agg(F.collect_set("record_key").alias("_lost"))
+    at = F.col("valid_to").cast("timestamp") if "valid_to" in records.columns else F.lit(None).cast("timestamp")
+    gone = records.where("record_key is not null").groupBy("record_key").agg(F.max(at).alias("_to"))
+    lost = facts.select("fact_uid", F.explode("source_record_keys").alias("record_key")).join(gone, "record_key").groupBy("fact_uid").agg(F.collect_set("record_key").alias("_lost"), F.max("_to").alias("_to"))
     rest = F.array_except("source_record_keys", "_lost")
-    ends = F.col("_lost").isNotNull() & (F.size(rest) == 0) & F.col("invalid_at").isNull()
-    out = facts.join(lost, "fact_uid", "left").withColumn("_ends", ends)
+    out = facts.join(lost, "fact_uid", "left").withColumn("_ends", F.col("_lost").isNotNull() & (F.size(rest) == 0) & F.col("invalid_at").isNull())
+    history = archive(out, F.col("_ends"), now, F.coalesce("_to", now))
     out = out.withColumn("source_record_keys", F.when(F.col("_lost").isNotNull(), rest).otherwise(F.col("source_record_keys")))
-    return out.withColumn("invalid_at", F.when(F.col("_ends"), now).otherwise(F.col("invalid_at"))).select(*facts.columns)
+    return out.withColumn("invalid_at", F.when(F.col("_ends"), now).otherwise(F.col("invalid_at"))).select(*facts.columns), history
+
+
+class Refused(ValueError):
+    """An order that names no live fact, or ends one before it began."""
+
+
+def find_live(facts: DataFrame, orders: DataFrame) -> DataFrame:
+    """``orders(fact_uid, ...)`` with ``live``: whether exactly one live fact has the id."""
+    n = facts.where(_is_live(facts)).groupBy("fact_uid").agg(F.count(F.lit(1)).alias("_n"))
+    return orders.join(n, "fact_uid", "left").withColumn("live", F.coalesce(F.col("_n") == 1, F.lit(False))).drop("_n")
+
+
+def _checked(orders: DataFrame, strict: bool, why: str) -> None:
+    if strict and not orders.isEmpty():
+        raise Refused(why)
+
 
+def close(facts: DataFrame, orders: DataFrame, now: Column, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """End facts at a world time: ``orders(fact_uid, valid_to)``; (facts, new history).
 
-def close(facts: DataFrame, orders: DataFrame) -> DataFrame:
-    """End facts at a world time: ``orders(fact_uid, valid_to)``; an end before the start is refused."""
+    An order for no live fact, or for an end before the start, changes nothing;
+    with ``strict`` it is ``Refused`` before anything is written.
+    """
     one = orders.groupBy("fact_uid").agg(F.min("valid_to").alias("_to"))
+    out = facts.join(one, "fact_uid", "left")
     fine = F.col("_to").isNotNull() & _is_live(facts) & F.coalesce(F.col("_to") >= F.col("valid_at"), F.lit(True))
-    return facts.join(one, "fact_uid", "left").withColumn("invalid_at", F.when(fine, F.col("_to")).otherwise(F.col("invalid_at"))).select(*facts.columns)
+    _checked(find_live(facts, one).where("not live"), strict, "an order names no live fact")
+    _checked(out.where(F.col("_to").isNotNull() & _is_live(facts) & ~fine), strict, "a fact would end before it began")
+    closed = out.withColumn("invalid_at", F.when(fine, F.col("_to")).otherwise(F.col("invalid_at"))).select(*facts.columns)
+    return closed, archive(out, fine, now, F.col("_to"))
 
 
-def correct(facts: DataFrame, wrong: DataFrame) -> DataFrame:
-    """Facts that were never true: ``wrong(fact_uid)`` end where they began, as corrected."""
-    one = wrong.select("fact_uid").distinct().withColumn("_w", F.lit(True))
-    out = facts.join(one, "fact_uid", "left")
-    out = out.withColumn("invalid_at", F.when(F.col("_w"), F.col("valid_at")).otherwise(F.col("invalid_at")))
-    return out.withColumn("assertion_status", F.when(F.col("_w"), F.lit("corrected")).otherwise(F.col("assertion_status"))).select(*facts.columns)
+def correct(facts: DataFrame, wrong: DataFrame, now: Column, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Facts that were never true: ``wrong(fact_uid)`` end where they began, as corrected; (facts, new history).
+
+    Their history shows that they were held until ``now``.
+    """
+    one = wrong.select("fact_uid").distinct()
+    _checked(find_live(facts, one).where("not live"), strict, "an order names no live fact")
+    out = facts.join(one.withColumn("_w", F.lit(True)), "fact_uid", "left")
+    hit = F.coalesce("_w", F.lit(False)) & _is_live(facts)
+    history = archive(out, hit, now, F.col("valid_at"), F.lit("corrected"))
+    out = out.withColumn("_hit", hit).withColumn("invalid_at", F.when(F.col("_hit"), F.col("valid_at")).otherwise(F.col("invalid_at")))
+    return out.withColumn("assertion_status", F.when(F.col("_hit"), F.lit("corrected")).otherwise(F.col("assertion_status"))).select(*facts.columns), history
+
 
+def confirm(facts: DataFrame, support: DataFrame, now: Column) -> DataFrame:
+    """Restate live facts: ``support(fact_uid, record_key[, evidence, confidence])``; dates of the world stay.
 
-def confirm(facts: DataFrame, support: DataFrame) -> DataFrame:
-    """Add records to facts: ``support(fact_uid, record_key)``; dates stay as they are."""
-    one = support.where("record_key is not null").groupBy("fact_uid").agg(F.collect_set("record_key").alias("_more"))
-    keys = F.array_sort(F.array_union(F.coalesce("source_record_keys", F.array().cast("array<string>")), "_more"))
-    return facts.join(one, "fact_uid", "left").withColumn("source_record_keys", F.when(F.col("_more").isNotNull(), keys).otherwise(F.col("source_record_keys"))).select(*facts.columns)
+    Stated evidence and confidence replace the old ones.  ``last_confirmed_at``
+    moves only if something is new.
+    """
+    stated = [c for c in ("evidence", "confidence") if c in support.columns]
+    one = support.groupBy("fact_uid").agg(F.array_sort(F.collect_set("record_key")).alias("_more"), *[F.max(c).alias(f"_{c}") for c in stated])
+    out = facts.join(one, "fact_uid", "left").withColumn("_live", _is_live(facts) & F.col("_more").isNotNull())
+    keys = F.coalesce("source_record_keys", F.array().cast("array<string>"))
+    new = F.array_except("_more", keys)
+    changed = F.size(new) > 0
+    for c in stated:
+        changed = changed | F.coalesce(F.col(f"_{c}") != F.col(c), F.lit(False))
+    out = out.withColumn("_new", F.col("_live") & changed).withColumn("source_record_keys", F.when(F.col("_live"), F.concat(keys, new)).otherwise(F.col("source_record_keys")))
+    for c in stated:
+        out = out.withColumn(c, F.when(F.col("_live"), F.coalesce(f"_{c}", c)).otherwise(F.col(c)))
+    if "last_confirmed_at" in facts.columns:
+        out = out.withColumn("last_confirmed_at", F.when(F.col("_new"), now).otherwise(F.col("last_confirmed_at")))
+    return out.select(*facts.columns)
+
+
+def touch_metadata(facts: DataFrame, orders: DataFrame, now: Column) -> DataFrame:
+    """Facts with ``metadata_revised_at``: ``orders(fact_uid[, at])`` set it, content clocks stay."""
+    at = F.col("at") if "at" in orders.columns else F.lit(None).cast("timestamp")
+    one = orders.groupBy("fact_uid").agg(F.max(F.coalesce(at, now)).alias("_at"))
+    old = F.col("metadata_revised_at") if "metadata_revised_at" in facts.columns else F.lit(None).cast("timestamp")
+    return facts.join(one, "fact_uid", "left").withColumn("metadata_revised_at", F.coalesce("_at", old)).drop("_at")
+
+
+def reinforcement(keys: Column) -> Column:
+    """How many records support a fact."""
+    return F.size(F.coalesce(keys, F.array().cast("array<string>")))
+
+
+def set_projection(facts: DataFrame, orders: DataFrame) -> DataFrame:
+    """Facts live or waiting for review: ``orders(fact_uid, projection_status)``; other words are refused."""
+    fine = orders.where(F.col("projection_status").isin("live", "pending_review")).groupBy("fact_uid").agg(F.max("projection_status").alias("_p"))
+    old = F.col("projection_status") if "projection_status" in facts.columns else F.lit("live")
+    return facts.join(fine, "fact_uid", "left").withColumn("projection_status", F.coalesce("_p", old)).drop("_p")
+
+
+def invalidate(facts: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
+    """Close open facts named by their ends: ``pairs(from_uid, rel_type, to_uid)``."""
+    hit = pairs.select(*KEY).distinct().withColumn("_hit", F.lit(True))
+    out = facts.join(hit, KEY, "left")
+    return out.withColumn("invalid_at", F.when(F.col("_hit") & F.col("invalid_at").isNull(), now).otherwise(F.col("invalid_at"))).select(*facts.columns)
+
+
+def upsert_history(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """History with ``rows`` of the same columns put in by ``uid``; known ones are overwritten."""
+    rest = [c for c in history.columns if c != "uid"]
+    one = rows.where("uid is not null").groupBy("uid").agg(F.max_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("s")).select("uid", "s.*")
+    return history.join(one.select("uid"), "uid", "left_anti").select(*history.columns).unionByName(one.select(*history.columns))
+
+
+def unlink_mentions(mentions: DataFrame, records: DataFrame) -> DataFrame:
+    """Mentions without those of ``records(record_key, primary_uid)`` but of their own node."""
+    own = records.groupBy("record_key").agg(F.max("primary_uid").alias("_own"))
+    return mentions.join(own, "record_key", "left").where(F.col("_own").isNull() | (F.col("_own") == F.col("uid"))).select(*mentions.columns)
+
+
+def with_defaults(facts: DataFrame) -> DataFrame:
+    """Facts from before the clocks: a missing basis is the record's time, a missing status live."""
+    out = facts
+    for c, word in (("valid_at_basis", "record_time"), ("assertion_status", "live")):
+        out = out.withColumn(c, F.coalesce(F.col(c) if c in facts.columns else F.lit(None).cast("string"), F.lit(word)))
+    return out
+
+
+def fact_row(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Facts as readers get them, with names of both ends: ``(source, target, relation, evidence, valid_from, valid_to, documents, live, text)``."""
+    named = nodes.groupBy("uid").agg(F.max("name").alias("name"))
+    out = facts
+    for end, name in (("from_uid", "source"), ("to_uid", "target")):
+        out = out.join(named.select(F.col("uid").alias(end), F.col("name").alias(f"_{name}")), end, "left").withColumn(name, F.coalesce(f"_{name}", end))
+    evidence = F.col("evidence") if "evidence" in facts.columns else F.lit(None).cast("string")
+    unknown = F.coalesce(F.col("ended_unknown"), F.lit(False)) if "ended_unknown" in facts.columns else F.lit(False)
+    note = interval_note(F.col("valid_at"), F.col("invalid_at"), unknown)
+    text = F.concat(F.col("source"), F.lit(" "), F.col("rel_type"), F.lit(" "), F.col("target"), F.lit(" ("), note, F.lit(")"), F.when(F.coalesce(evidence, F.lit("")) != "", F.concat(F.lit(": "), evidence)).otherwise(""))
+    return out.select(
+        "fact_uid", "source", "target", F.col("rel_type").alias("relation"), evidence.alias("evidence"), F.col("valid_at").alias("valid_from"), F.col("invalid_at").alias("valid_to"), F.coalesce("source_record_keys", F.array().cast("array<string>")).alias("documents"), _is_live(facts).alias("live"), text.alias("text")
+    )
 
 
 def mark_ended_unknown(facts: DataFrame, orders: DataFrame) -> DataFrame:

@@ -160,17 +160,17 @@ def support_removal(spark: SparkSession, d: str) -> DataFrame:
     """Facts after some records are gone: those without any record left end."""
     f = base.facts(spark, d)
     gone = f.where("confidence < 0.6").select(F.explode("source_record_keys").alias("record_key"))
-    out = facts.remove_support(f, gone, ts(NOW))
+    out, _ = facts.remove_support(f, gone, ts(NOW))
     return out.select("fact_uid", F.coalesce(F.size("source_record_keys"), F.lit(0)).cast("long").alias("records"), F.coalesce(F.unix_millis("invalid_at"), F.lit(-1)).alias("ended_ms"))
 
 
-@query(f"""WITH {FACTS} SELECT fact_uid, coalesce(epoch_ms(CASE WHEN rel_type = 'BLOCKS' AND {LIVE} AND valid_at < TIMESTAMP '{AT}' THEN TIMESTAMP '{AT}' WHEN rel_type = 'PARENT_OF' AND confidence < 0.6 THEN valid_at ELSE invalid_at END), -1) AS ended_ms,
-CASE WHEN rel_type = 'PARENT_OF' AND confidence < 0.6 THEN 'corrected' ELSE assertion_status END AS status FROM facts""")
+@query(f"""WITH {FACTS} SELECT fact_uid, coalesce(epoch_ms(CASE WHEN rel_type = 'BLOCKS' AND {LIVE} AND valid_at < TIMESTAMP '{AT}' THEN TIMESTAMP '{AT}' WHEN rel_type = 'PARENT_OF' AND confidence < 0.6 AND {LIVE} THEN valid_at ELSE invalid_at END), -1) AS ended_ms,
+CASE WHEN rel_type = 'PARENT_OF' AND confidence < 0.6 AND {LIVE} THEN 'corrected' ELSE assertion_status END AS status FROM facts""")
 def fact_close_correct(spark: SparkSession, d: str) -> DataFrame:
     """Facts of one relation closed at an instant, and some of another corrected."""
     f = base.facts(spark, d)
-    out = facts.close(f, f.where(f"rel_type = 'BLOCKS' and valid_at < '{AT}'").select("fact_uid", ts(AT).alias("valid_to")))
-    out = facts.correct(out, f.where("rel_type = 'PARENT_OF' and confidence < 0.6"))
+    out, _ = facts.close(f, f.where(f"rel_type = 'BLOCKS' and valid_at < '{AT}'").select("fact_uid", ts(AT).alias("valid_to")), ts(NOW))
+    out, _ = facts.correct(out, f.where(_live() & F.expr("rel_type = 'PARENT_OF' and confidence < 0.6")), ts(NOW))
     return out.select("fact_uid", F.coalesce(F.unix_millis("invalid_at"), F.lit(-1)).alias("ended_ms"), F.col("assertion_status").alias("status"))
 
 
@@ -274,3 +274,52 @@ def fact_uids(spark: SparkSession, d: str) -> DataFrame:
     """Ids derived from what a fact says; tested against the UUID standard."""
     e = table(spark, d, "edge").select("from_uid", "rel_type", "to_uid").distinct()
     return e.select("*", make_uid(F.lit("Fact"), F.col("from_uid"), F.col("rel_type"), F.col("to_uid")).alias("uid"), uuid5(F.col("from_uid")).alias("end_uid"))
+
+
+_ARCH = f"""WITH {FACTS}, h AS (SELECT fact_uid, 'closed' AS why, valid_at AS f, TIMESTAMP '{AT}' AS t FROM facts WHERE rel_type = 'BLOCKS' AND {LIVE} AND valid_at < TIMESTAMP '{AT}'
+UNION ALL SELECT fact_uid, 'corrected', valid_at, valid_at FROM facts WHERE rel_type = 'PARENT_OF' AND confidence < 0.6 AND {LIVE}
+UNION ALL SELECT fact_uid, 'unsupported', valid_at, TIMESTAMP '{NOW}' FROM facts WHERE confidence < 0.6 AND invalid_at IS NULL AND len(source_record_keys) > 0
+AND len(list_filter(source_record_keys, k -> k NOT IN (SELECT DISTINCT k FROM (SELECT unnest(source_record_keys) AS k FROM facts WHERE confidence < 0.6) WHERE k IS NOT NULL))) = 0)
+SELECT fact_uid, why, coalesce(epoch_ms(f), -1) AS from_ms, coalesce(epoch_ms(t), -1) AS to_ms FROM h"""
+
+
+@query(_ARCH.replace("confidence < 0.6 AND invalid_at IS NULL AND len", "invalid_at IS NULL AND len").replace("len(list_filter(source_record_keys, k -> k NOT IN (SELECT DISTINCT k FROM (SELECT unnest(source_record_keys) AS k FROM facts WHERE confidence < 0.6) WHERE k IS NOT NULL))) = 0", "fact_uid NOT IN (SELECT fact_uid FROM (SELECT fact_uid, unnest(source_record_keys) AS k FROM facts) WHERE k IS NULL OR k NOT IN (SELECT k FROM (SELECT unnest(source_record_keys) AS k FROM facts WHERE confidence < 0.6) WHERE k IS NOT NULL))"))
+def fact_archive(spark: SparkSession, d: str) -> DataFrame:
+    """History rows of facts that are closed, corrected, or lose their last record."""
+    f = base.facts(spark, d)
+    _, closed = facts.close(f, f.where(f"rel_type = 'BLOCKS' and valid_at < '{AT}'").select("fact_uid", ts(AT).alias("valid_to")), ts(NOW))
+    _, wrong = facts.correct(f, f.where("rel_type = 'PARENT_OF' and confidence < 0.6"), ts(NOW))
+    _, lost = facts.remove_support(f, f.where("confidence < 0.6").select(F.explode("source_record_keys").alias("record_key")), ts(NOW))
+    out = closed.withColumn("why", F.lit("closed")).unionByName(wrong.withColumn("why", F.lit("corrected"))).unionByName(lost.withColumn("why", F.lit("unsupported")))
+    ms = lambda c: F.coalesce(F.unix_millis(c), F.lit(-1))
+    return out.select("fact_uid", "why", ms("valid_from").alias("from_ms"), ms("valid_to").alias("to_ms"))
+
+
+@query(f"""WITH {FACTS}, b AS (SELECT from_uid, to_uid, unnest([fact_uid, 'x:' || fact_uid, fact_uid]) AS k FROM facts WHERE rel_type = 'PARENT_OF' AND from_uid IS NOT NULL AND to_uid IS NOT NULL)
+SELECT from_uid, to_uid, count(DISTINCT k) AS records FROM b GROUP BY ALL""")
+def fact_upsert_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """A batch that states each fact three times, by two records: both support it, though one is known already."""
+    f = base.facts(spark, d).where("rel_type = 'PARENT_OF' and from_uid is not null and to_uid is not null")
+    said = f.select(*facts.KEY, F.explode(F.array(F.col("fact_uid"), F.concat(F.lit("x:"), "fact_uid"), F.col("fact_uid"))).alias("k")).select(*facts.KEY, F.array("k").alias("source_record_keys"))
+    old = f.groupBy(*facts.KEY).agg(F.min_by(F.struct(*[c for c in f.columns if c not in facts.KEY]), "fact_uid").alias("s")).select(*facts.KEY, "s.*").withColumn("source_record_keys", F.array("fact_uid"))
+    return facts.upsert(old, said, ts(NOW)).select("from_uid", "to_uid", F.size("source_record_keys").cast("long").alias("records"))
+
+
+@query(f"""WITH {FACTS}, x AS (SELECT *, rel_type = 'BLOCKS' AS hit FROM facts) SELECT fact_uid, CASE WHEN hit THEN 'pending_review' ELSE 'live' END AS projection, hit AND {LIVE} AS touched, coalesce(len(source_record_keys), 0) AS support,
+coalesce(epoch_ms(CASE WHEN rel_type = 'PARENT_OF' AND from_uid IS NOT NULL AND to_uid IS NOT NULL AND invalid_at IS NULL THEN TIMESTAMP '{NOW}' ELSE invalid_at END), -1) AS ended_ms, coalesce(assertion_status, 'live') AS status FROM x""")
+def fact_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Facts set aside for review, touched, counted by support, closed by their ends, with defaults filled in."""
+    f = base.facts(spark, d)
+    some = f.where("rel_type = 'BLOCKS'")
+    out = facts.set_projection(f, some.select("fact_uid", F.lit("pending_review").alias("projection_status")))
+    out = facts.touch_metadata(out, some.where(_live()).select("fact_uid"), ts(NOW))
+    out = facts.with_defaults(facts.invalidate(out, f.where("rel_type = 'PARENT_OF'"), ts(NOW)))
+    return out.select("fact_uid", F.col("projection_status").alias("projection"), F.col("metadata_revised_at").isNotNull().alias("touched"), facts.reinforcement(F.col("source_record_keys")).cast("long").alias("support"), F.coalesce(F.unix_millis("invalid_at"), F.lit(-1)).alias("ended_ms"), F.col("assertion_status").alias("status"))
+
+
+@query(f"""WITH {FACTS} SELECT fact_uid, coalesce(from_uid, '') || ' ' || rel_type || ' ' || coalesce(to_uid, '') || ' (' || CASE WHEN valid_at IS NOT NULL AND invalid_at IS NOT NULL THEN 'from ' || strftime(valid_at, '%Y-%m-%d') || ' until ' || strftime(invalid_at, '%Y-%m-%d')
+WHEN valid_at IS NOT NULL THEN 'since ' || strftime(valid_at, '%Y-%m-%d') WHEN invalid_at IS NOT NULL THEN 'until ' || strftime(invalid_at, '%Y-%m-%d') ELSE 'undated' END || ')' AS text, {LIVE} AS live FROM facts WHERE from_uid IS NOT NULL AND to_uid IS NOT NULL""")
+def fact_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Facts as lines of text."""
+    f = base.facts(spark, d).where("from_uid is not null and to_uid is not null")
+    return facts.fact_row(f, base.nodes(spark, d).withColumn("name", F.col("uid"))).select("fact_uid", "text", "live")

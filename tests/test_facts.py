@@ -1,6 +1,7 @@
 import uuid
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from bitempo.functions import temporal
@@ -91,20 +92,42 @@ def test_supersede_and_history(spark):
 
 def test_support_removal(spark):
     old = table(spark, fact("f", keys=["r1"]), fact("g", b="c", keys=["r1", "r2"]), fact("h", b="d", keys=None), fact("i", b="e", keys=["r1"], invalid=T1))
-    got = {r["fact_uid"]: (r["source_record_keys"], r["invalid_at"]) for r in facts.remove_support(old, spark.createDataFrame([("r1",)], "record_key string"), now()).collect()}
+    got = {r["fact_uid"]: (r["source_record_keys"], r["invalid_at"]) for r in facts.remove_support(old, spark.createDataFrame([("r1",)], "record_key string"), now())[0].collect()}
     assert got == {"f": ([], NOW_), "g": (["r2"], None), "h": (None, None), "i": ([], T1)}
 
 
+def test_support_removal_archives(spark):
+    old = table(spark, fact("f", keys=["r1"]), fact("g", b="c", keys=["r1", "r2"]))
+    _, history = facts.remove_support(old, spark.createDataFrame([("r1", T2), (None, T1)], "record_key string, valid_to timestamp"), now())
+    assert rows(history, "fact_uid", "valid_from", "valid_to", "observed_to", "source_record_keys") == [("f", T0, T2, NOW_, ["r1"])]
+
+
+def test_repeated_rows_of_a_batch_all_support(spark):
+    old = table(spark, fact("f", keys=["r1"]))
+    said = [("a", "R", "b", [k], "e", 0.5, None, None) for k in ("k1", "k2", "r1", "k1")] + [("a", "R", "c", [k], "e", 0.5, None, None) for k in ("k1", "k2", "k1")] + [("a", "R", "d", None, "e", 0.5, None, None)]
+    got = {r["to_uid"]: r["source_record_keys"] for r in facts.upsert(old, batch(spark, *said), now()).collect()}
+    assert sorted(got["b"]) == ["k1", "k2", "r1"] and sorted(got["c"]) == ["k1", "k2"] and got["d"] is None
+
+
 def test_close_correct_confirm(spark):
-    old = table(spark, fact("f", valid=T1), fact("g", b="c", valid=T1))
-    early = facts.close(old, spark.createDataFrame([("f", T0), ("g", T2)], "fact_uid string, valid_to timestamp"))
-    assert rows(early, "fact_uid", "invalid_at") == [("f", None), ("g", T2)]
-    wrong = facts.correct(old, spark.createDataFrame([("f",)], "fact_uid string"))
-    assert rows(wrong, "fact_uid", "invalid_at", "assertion_status") == [("f", T1, "corrected"), ("g", None, "live")]
-    more = facts.confirm(old, spark.createDataFrame([("f", "r0"), ("f", "r1"), ("g", None)], "fact_uid string, record_key string"))
-    assert rows(more, "fact_uid", "source_record_keys") == [("f", ["r0", "r1"]), ("g", ["r1"])]
+    old = table(spark, fact("f", valid=T1), fact("g", b="c", valid=T1), fact("h", b="d", valid=T0, invalid=T1))
+    early, history = facts.close(old, spark.createDataFrame([("f", T0), ("g", T2), ("h", T2), ("none", T2)], "fact_uid string, valid_to timestamp"), now())
+    assert rows(early, "fact_uid", "invalid_at") == [("f", None), ("g", T2), ("h", T1)]
+    assert rows(history, "fact_uid", "valid_from", "valid_to", "observed_to") == [("g", T1, T2, NOW_)]
+    for order in (("f", T0), ("h", T2), ("none", T2)):
+        with pytest.raises(facts.Refused):
+            facts.close(old, spark.createDataFrame([order], "fact_uid string, valid_to timestamp"), now(), strict=True)
+    wrong, history = facts.correct(old, spark.createDataFrame([("f",), ("h",)], "fact_uid string"), now())
+    assert rows(wrong, "fact_uid", "invalid_at", "assertion_status") == [("f", T1, "corrected"), ("g", None, "live"), ("h", T1, "live")]
+    assert rows(history, "fact_uid", "valid_from", "valid_to", "observed_from", "observed_to", "assertion_status") == [("f", T1, T1, T1, NOW_, "corrected")]
+    again = facts.upsert_history(history, history.withColumn("confidence", F.lit(0.9)))
+    assert rows(again, "fact_uid", "confidence") == [("f", 0.9)]
+    more = facts.confirm(old, spark.createDataFrame([("f", "r0", "new"), ("f", "r1", None), ("g", None, None), ("h", "r9", None)], "fact_uid string, record_key string, evidence string"), now())
+    assert rows(more, "fact_uid", "source_record_keys", "evidence", "last_confirmed_at") == [("f", ["r1", "r0"], "new", NOW_), ("g", ["r1"], "e", T0), ("h", ["r1"], "e", T0)]
     ended = facts.mark_ended_unknown(old, spark.createDataFrame([("g", T2)], "fact_uid string, attested_from timestamp"))
-    assert rows(ended, "fact_uid", "ended_unknown", "attested_from") == [("f", False, None), ("g", True, T2)]
+    assert rows(ended, "fact_uid", "ended_unknown", "attested_from") == [("f", False, None), ("g", True, T2), ("h", False, None)]
+    linked = spark.createDataFrame([("a", "r1"), ("b", "r1"), ("a", "r2")], "uid string, record_key string")
+    assert rows(facts.unlink_mentions(linked, spark.createDataFrame([("r1", "a")], "record_key string, primary_uid string")), "uid", "record_key") == [("a", "r1"), ("a", "r2")]
 
 
 def test_delete_and_orphans(spark):
