@@ -10,8 +10,7 @@ ISSUE_KEY = r"\b([A-Z][A-Z0-9]{1,11}-[0-9]+)\b"
 URL = r"(https?://[^\s<>\]\[\"']+)"
 REPOSITORY = r"(?i)(?:github\.com/|\bRepository:\s*)([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)"
 COMMIT = r"(?i)(?:github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/commit/|\bCommit:\s*)([0-9a-f]{7,40})\b"
-BITBUCKET_PULL = r"(?i)bitbucket\.org/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/pull-requests/[0-9]+)"
-GITHUB_PULL = r"(?i)github\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/pull/[0-9]+)"
+PULL_LINK = r"(?i)(?:bitbucket\.org|github\.com)/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/pull(?:-requests)?/([0-9]+)"
 BARE_PULL = r"(?i)\bPR\s*#\s*([0-9]+)\b"
 FILE_PATH = r"((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_-]+\.[A-Za-z0-9]{1,8})"
 NEGATION = r"(?i)\b(not|no longer|don't|do not|never|instead of|rejected|avoid|deprecated|stop(ped)? using)\b"
@@ -48,7 +47,8 @@ def commit_shas(text: Column) -> Column:
 
 def pull_request_refs(text: Column) -> Column:
     """``owner/name#12`` of links and ``#12`` of bare mentions."""
-    linked = F.transform(F.concat(_all(text, BITBUCKET_PULL), _all(text, GITHUB_PULL)), lambda p: F.regexp_replace(F.lower(p), r"(?:\.git)?/(?:pull-requests|pull)/", "#"))
+    names, numbers = F.regexp_extract_all(text, F.lit(PULL_LINK), F.lit(1)), F.regexp_extract_all(text, F.lit(PULL_LINK), F.lit(2))
+    linked = F.zip_with(names, numbers, lambda r, n: F.concat(F.regexp_replace(F.lower(r), r"\.git$", ""), F.lit("#"), n))
     return _set(F.concat(linked, F.transform(_all(text, BARE_PULL), lambda n: F.concat(F.lit("#"), n))))
 
 
@@ -77,19 +77,28 @@ def flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def quoted(evidence: Column, text: Column) -> Column:
+    """Whether a text holds the evidence, both of them ``flat`` already."""
+    return F.coalesce((evidence != "") & F.contains(text, evidence), F.lit(False))
+
+
 def evidence_in(evidence: Column, text: Column) -> Column:
     """Whether a text contains the evidence, whatever case and spacing."""
-    return F.coalesce((flat(evidence) != "") & F.contains(flat(text), flat(evidence)), F.lit(False))
+    return quoted(flat(evidence), flat(text))
 
 
 def excerpt(text: Column, anchor: Column, radius: int = 150) -> Column:
-    """The surroundings of an anchor, with marks where text was cut."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    at = F.instr(F.lower(flat), F.lower(anchor)) - 1
-    start = F.greatest(F.lit(0), at - radius)
-    end = F.least(F.length(flat), at + F.length(anchor) + radius)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substr(flat, start + 1, end - start), F.when(end < F.length(flat), "…").otherwise(""))
-    return F.when(at < 0, F.substring(flat, 1, 2 * radius)).otherwise(cut)
+    """Up to ``radius`` characters on both sides of the first place of an anchor; the beginning where there is none.
+
+    An ellipsis stands for what is left out.
+    """
+    line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    before = F.substring_index(F.lower(line), F.lower(anchor), 1)
+    n, size = F.length(before), F.length(line)
+    left, right = F.greatest(n - radius, F.lit(0)), n + F.length(anchor) + radius
+    dots = lambda missing: F.when(missing, "…").otherwise("")
+    around = F.concat(dots(left > 0), F.substr(line, left + 1, right - left), dots(right < size))
+    return F.when(n == size, F.substring(line, 1, 2 * radius)).otherwise(around)
 
 
 def query_terms(question: Column) -> Column:
@@ -119,3 +128,57 @@ def units(text: Column) -> Column:
     """Paragraphs cut at sentence ends, trimmed, without empty ones."""
     parts = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda p: F.split(p, r"(?<=[.!?])\s+")))
     return F.filter(F.transform(parts, F.trim), lambda u: u != "")
+
+
+def identifier(word: Column) -> Column:
+    """A word as a label or relation name: letters, digits and underscores only."""
+    return F.regexp_replace(word, "[^A-Za-z0-9_]", "")
+
+
+def embedding_text(*parts: Column) -> Column:
+    """The known parts of a thing in one line, for its vector; 32,768 characters at most are read by a model."""
+    known = F.filter(F.array(*parts), lambda p: F.coalesce(F.trim(p), F.lit("")) != "")
+    return F.substring(F.array_join(known, " — "), 1, 32_768)
+
+
+def embedding_hash(text: Column) -> Column:
+    """What tells whether a vector is of this text."""
+    return F.sha2(text, 256)
+
+
+def write_time_content(text: Column) -> Column:
+    """What is embedded while a record is written: its first 4,096 characters."""
+    return F.substring(text, 1, 4096)
+
+
+def repository_hint(question: Column) -> Column:
+    """The repository that a question names by "in"; null without one."""
+    found = F.regexp_extract(question, r"(?i)\bin\s+(?:the\s+)?([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)?)", 1)
+    return F.when(found != "", F.lower(found))
+
+
+def summary(head: Column, text: Column, most: int) -> Column:
+    """A line of facts about a thing, and its text cut to ``most`` characters."""
+    return F.concat_ws("\n", head, F.substring(F.coalesce(text, F.lit("")), 1, most))
+
+
+def name_used(name: Column, said: Column) -> Column:
+    """Whether a source that was named is this one: equal, or either the other's beginning up to a dash or space."""
+    a, b = F.lower(F.trim(name)), F.lower(F.trim(said))
+    heads = lambda x, y: F.coalesce(x.startswith(F.concat(y, F.lit(" "))) | x.startswith(F.concat(y, F.lit("-"))) | x.startswith(F.concat(y, F.lit("—"))), F.lit(False))
+    return F.coalesce((a != "") & (b != ""), F.lit(False)) & (F.coalesce(a == b, F.lit(False)) | heads(a, b) | heads(b, a))
+
+
+def same_thing(kind: Column, a: Column, b: Column, least: int = 8) -> Column:
+    """Whether two names of a kind may be of one thing.
+
+    Equal identities are; so is one that contains the other, of ``least``
+    characters or more, unless they state different versions or, for
+    interfaces, different methods.
+    """
+    x, y = identity(a), identity(b)
+    stated = lambda c, p: F.regexp_extract(F.lower(F.coalesce(c, F.lit(""))), p, 1)
+    clash = lambda p: (stated(a, p) != "") & (stated(b, p) != "") & (stated(a, p) != stated(b, p))
+    inside = ((F.length(x) >= least) & F.contains(y, x)) | ((F.length(y) >= least) & F.contains(x, y))
+    methods = (F.lower(kind) == "api") & clash(r"\b(get|put|post|patch|delete)\b")
+    return F.coalesce((x != "") & ((x == y) | inside) & ~clash(r"\bv?(\d+(?:\.\d+)+|\d+)\b") & ~methods, F.lit(False))

@@ -83,13 +83,17 @@ def path(facts: DataFrame, relations: list[str]) -> DataFrame:
     return out.select(*[f"n{i}" for i in range(len(relations) + 1)])
 
 
-def expand(facts: DataFrame, labels: DataFrame, seeds: DataFrame, relations: tuple[str, ...] = EXPAND_RELATIONS, hubs: tuple[str, ...] = HUBS, per_seed: int = 4) -> DataFrame:
+def expand(facts: DataFrame, labels: DataFrame, seeds: DataFrame, relations: tuple[str, ...] = EXPAND_RELATIONS, hubs: tuple[str, ...] = HUBS, per_seed: int = 4, floor: str = "derived") -> DataFrame:
     """``(seed, neighbour, rel_type, rank)``: one hop both ways, hubs left out, asserted facts first.
 
-    ``facts(from_uid, rel_type, to_uid, derived)`` are live ones; ``seeds(seed)``.
-    Ties go to the relation, then the neighbour.
+    ``facts(from_uid, rel_type, to_uid, derived[, extraction_method])`` are live
+    ones; ``seeds(seed)``.  Facts by a method of less authority than ``floor``
+    are not followed, nor those by an unknown one.  Ties go to the relation,
+    then the neighbour.
     """
     some = facts.where(F.col("rel_type").isin(*relations))
+    if "extraction_method" in facts.columns:
+        some = some.where(tier(F.col("extraction_method")).isin(*[t for t, n in TIERS.items() if n >= TIERS[floor]]))
     out = some.select(F.col("from_uid").alias("seed"), F.col("to_uid").alias("neighbour"), "rel_type", "derived")
     back = some.select(F.col("to_uid").alias("seed"), F.col("from_uid").alias("neighbour"), "rel_type", "derived")
     near = out.unionByName(back).join(seeds.select("seed").distinct(), "seed").where("seed <> neighbour")
@@ -110,14 +114,16 @@ def visible(nodes: DataFrame, facts: DataFrame, mentions: DataFrame, records: Da
     return shown, kept
 
 
-def two_hop(facts: DataFrame, centres: DataFrame, degree: int = 50) -> DataFrame:
+def two_hop(facts: DataFrame, centres: DataFrame, degree: int = 50, mentions: DataFrame | None = None) -> DataFrame:
     """``(a, b, shared)``: pairs that share a centre but no fact, each with how many centres.
 
     Centres with more than ``degree`` facts are hubs by definition and make no
-    pairs, which bounds the pairs of one centre.
+    pairs, which bounds the pairs of one centre.  Mentions ``(uid, record_key)``
+    are links of a centre too.
     """
     ends = facts.select(F.col("from_uid").alias("x"), F.col("to_uid").alias("z")).unionByName(facts.select(F.col("to_uid").alias("x"), F.col("from_uid").alias("z"))).where("x is not null and z is not null and x <> z")
-    count = ends.groupBy("z").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= degree).select("z")
+    links = ends.select("z") if mentions is None else ends.select("z").unionByName(mentions.select(F.col("uid").alias("z")))
+    count = links.groupBy("z").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= degree).select("z")
     arms = ends.join(centres.select(F.col("uid").alias("z")), "z", "left_semi").join(count, "z", "left_semi").distinct()
     pairs = arms.select("z", F.col("x").alias("a")).join(arms.select("z", F.col("x").alias("b")), "z").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     direct = ends.select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()

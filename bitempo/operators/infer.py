@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitempo.session import Cut, cut
 
-MAX_DEPTH, CAP = 8, 20_000
+MAX_DEPTH = 8
 _EDGE = ["from_uid", "to_uid", "valid_at", "invalid_at", "confidence"]
 
 

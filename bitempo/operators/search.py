@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitempo.session import spread
+from bitempo.session import broadcast_if_small, cut, spread
 
 #: Fusion and ranking parameters.
 RRF_K, VECTOR_WEIGHT, PER_METHOD, LIMIT = 10, 3.0, 30, 8
@@ -23,21 +23,37 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, "dl", F.explode("_w").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def expand_prefixes(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(q, term)``: the vocabulary that begins with a query's words.
+def expand_prefixes(words: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(q, term)``: the vocabulary ``words(term)`` that begins with a query's words.
 
     Words meet the vocabulary on their first two letters, so it is an equi
     join; words of one letter match themselves only.
     """
     asked = queries.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("w"))
-    words = index.select("term").distinct()
+    words = words.select("term").distinct()
     long = asked.where(F.length("w") > 1).withColumn("_k", F.substring("w", 1, 2)).join(words.withColumn("_k", F.substring("term", 1, 2)), "_k").where(F.col("term").startswith(F.col("w"))).select("q", "term")
     return long.unionByName(asked.where(F.length("w") == 1).select("q", F.col("w").alias("term"))).distinct()
 
 
-def bm25(index: DataFrame, key: str, asked: DataFrame) -> DataFrame:
-    """``(q, key, score)`` of ``asked(q, term)``; corpus statistics over all texts."""
-    stats = index.select(key, "dl").distinct().agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"))
+def bm25_search(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
+    """``(q, key, score)`` of ``queries(q, text)``, whose words may be prefixes; statistics over all texts.
+
+    Texts are cut into words once.  Only the vocabulary and the postings of
+    words that are asked for are moved, never the postings of the whole corpus.
+    Texts without a word count for nothing; a null text or key has no rows.
+    """
+    words = cut(spread(docs.where(F.col(key).isNotNull()).select(key, text)).select(F.col(key), terms(F.col(text)).alias("_w")).where(F.size("_w") > 0))
+    asked = cut(expand_prefixes(words.select(F.explode("_w").alias("term")), queries))
+    found = words.select(key, F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(broadcast_if_small(asked.select("term").distinct()), "term")
+    index = cut(found.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")))
+    stats = words.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("_w")).alias("_avg"))
+    return bm25(index, key, asked, stats)
+
+
+def bm25(index: DataFrame, key: str, asked: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """``(q, key, score)`` of ``asked(q, term)`` over postings; ``stats(_n, _avg)`` of the corpus come from a whole index by default."""
+    if stats is None:
+        stats = index.select(key, "dl").distinct().agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     hits = asked.join(df, "term").join(index, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.ln(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
@@ -89,7 +105,8 @@ def fuse_labels(scored: DataFrame, strategy: str, k: int) -> DataFrame:
     if strategy == "global_score":
         order = [F.col("score").desc(), F.col("id")]
     elif strategy == "normalized":
-        scored = scored.withColumn("_s", F.col("score") / F.max("score").over(label))
+        best = scored.groupBy("q", "label").agg(F.max("score").alias("_m"))
+        scored = scored.join(best, ["q", "label"]).withColumn("_s", F.col("score") / F.col("_m")).drop("_m")
         order = [F.col("_s").desc(), F.col("score").desc(), F.col("id")]
     else:
         scored = scored.withColumn("_r", F.row_number().over(label.orderBy(F.col("score").desc(), "id")))
@@ -140,10 +157,14 @@ def merge_unique(groups: DataFrame) -> DataFrame:
 
 
 def cap(facts: DataFrame, most: int) -> DataFrame:
-    """``facts(q, id, derived)`` asserted first, cut at ``most``, with how many were ``dropped``."""
+    """``facts(q, id, derived)`` asserted first, cut at ``most``, with how many were ``dropped``.
+
+    Rows beyond ``most`` leave before they are moved; the count is a partial aggregate.
+    """
     near = Window.partitionBy("q").orderBy("derived", "id")
-    ranked = facts.withColumn("rank", F.row_number().over(near)).withColumn("dropped", F.greatest(F.lit(0), F.count(F.lit(1)).over(Window.partitionBy("q")) - most))
-    return ranked.where(F.col("rank") <= most)
+    kept = facts.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= most)
+    counts = facts.groupBy("q").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - most).alias("dropped"))
+    return kept.join(counts, "q")
 
 
 def pack(hits: DataFrame, budget: int, least: int = 40) -> DataFrame:
@@ -163,3 +184,49 @@ def pack(hits: DataFrame, budget: int, least: int = 40) -> DataFrame:
     kind = dict(hits.dtypes)["id"]
     start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<struct<id:{kind},tokens:int,taken:int>>").alias("out"))
     return hits.groupBy("q").agg(one.alias("h")).select("q", F.explode(F.aggregate("h", start, step)["out"]).alias("x")).select("q", "x.*").where("taken > 0")
+
+
+def hybrid(texts: DataFrame, vectors: DataFrame, per_leg: int = PER_METHOD, k: int = LIMIT) -> DataFrame:
+    """``(q, id, score, rank)``: keyword hits and vector hits, both ``(q, id, score)``, in one list by rank.
+
+    Each leg brings its best ``per_leg``; the vector leg weighs ``VECTOR_WEIGHT``.
+    """
+    leg = lambda hits, weight: top(hits, ["q"], "id", per_leg).select("q", "id", "rank", F.lit(weight).alias("weight"))
+    return rrf(leg(texts, 1.0).unionByName(leg(vectors, VECTOR_WEIGHT)), k)
+
+
+def reserved_first(hits: DataFrame, most: int) -> DataFrame:
+    """``hits(q, id, score, methods)`` cut at ``most``: found by time or by name first, then by score, then by id."""
+    held = F.arrays_overlap("methods", F.array(*[F.lit(m) for m in ("time_window", "named_entity", "pair")]))
+    near = Window.partitionBy("q").orderBy(held.desc(), F.col("score").desc(), "id")
+    return hits.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= most)
+
+
+def shared_evidence(anchors: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``(q, record_key)``: records that mention both of the first two things that a question names.
+
+    ``anchors(q, uid, pos)``; a question that names one thing has no rows.
+    """
+    first = anchors.groupBy("q", "uid").agg(F.min("pos").alias("pos"))
+    near = Window.partitionBy("q").orderBy("pos", "uid")
+    two = first.withColumn("n", F.row_number().over(near)).where("n <= 2").select("q", "uid")
+    met = two.join(mentions.select("uid", "record_key").distinct(), "uid")
+    return met.groupBy("q", "record_key").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("q", "record_key")
+
+
+def retrieve(lanes: list[DataFrame], expansion: DataFrame | None = None, k: int = LIMIT) -> DataFrame:
+    """``(q, id, rank)``: hits of lanes one after the other, neighbours of them last; the first place of an id counts.
+
+    Each lane is ``(q, id, rank)``: what is named, what shares evidence, what
+    happened in the window asked for, hybrid search.  ``expansion(seed, id)``
+    are neighbours.
+    """
+    out = None
+    for i, lane in enumerate(lanes):
+        part = lane.select("q", F.lit(i).alias("grp"), F.col("rank").alias("pos"), "id")
+        out = part if out is None else out.unionByName(part)
+    merged = merge_unique(out).where(F.col("rank") <= k)
+    if expansion is None:
+        return merged
+    more = merged.join(expansion.select(F.col("seed").alias("id"), F.col("id").alias("_to")).distinct(), "id").select("q", F.lit(1).alias("grp"), F.col("rank").alias("pos"), F.col("_to").alias("id"))
+    return merge_unique(merged.select("q", F.lit(0).alias("grp"), F.col("rank").alias("pos"), "id").unionByName(more))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitempo.functions import temporal
+from bitempo.functions import temporal, text
 from bitempo.operators import graph, infer, reports
 from bitempo.operators import facts as writes
 from bitempo.plans import base
@@ -64,10 +64,10 @@ def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
     return graph.by_prefix(rows, "commit_hash", p, 7).select("prefix", "commit_hash")
 
 
-@query(f"WITH {ISSUES} SELECT DISTINCT issue_id, issue_key FROM issues WHERE upper(issue_key) IN (SELECT upper(regexp_extract(message, '\\b([A-Z][A-Z0-9]{{1,11}}-[0-9]+)\\b', 1)) FROM github_commit WHERE regexp_matches(message, '\\b[A-Z][A-Z0-9]{{1,11}}-[0-9]+\\b'))")
+@query(f"WITH {ISSUES} SELECT DISTINCT issue_id, issue_key FROM issues WHERE upper(issue_key) IN (SELECT upper(unnest(regexp_extract_all(message, '\\b([A-Z][A-Z0-9]{{1,11}}-[0-9]+)\\b', 1))) FROM github_commit)")
 def key_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Issues whose key is the first that some commit message names."""
-    keys = table(spark, d, "github_commit").select(F.upper(F.regexp_extract("message", r"\b([A-Z][A-Z0-9]{1,11}-[0-9]+)\b", 1)).alias("k")).where("k <> ''").distinct()
+    """Issues whose key some commit message names."""
+    keys = table(spark, d, "github_commit").select(F.explode(text.issue_keys(F.col("message"))).alias("k")).select(F.upper("k").alias("k")).distinct()
     i = base.issues(spark, d).select("issue_id", "issue_key", F.upper("issue_key").alias("k"))
     return i.join(keys, "k", "left_semi").select("issue_id", "issue_key").distinct()
 
@@ -107,12 +107,15 @@ def four_node_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.path(_live(spark, d), ["BLOCKS", "PARENT_OF", "BELONGS_TO"])
 
 
-@query(f"""WITH {FACTS}, {NODES}, f AS (SELECT *, ascii(substr(fact_uid, 1, 1)) % 2 = 0 AS derived FROM facts WHERE {LIVE} AND rel_type IN ('PARENT_OF', 'BLOCKS', 'REPORTED_BY')),
+@query(f"""WITH {FACTS}, {NODES}, f AS (SELECT *, ascii(substr(fact_uid, 1, 1)) % 2 = 0 AS derived FROM facts WHERE {LIVE} AND ascii(substr(fact_uid, 1, 1)) % 4 <> 3 AND rel_type IN ('PARENT_OF', 'BLOCKS', 'REPORTED_BY')),
 x AS (SELECT from_uid AS seed, to_uid AS neighbour, rel_type, derived FROM f UNION ALL SELECT to_uid, from_uid, rel_type, derived FROM f),
 y AS (SELECT seed, neighbour, min(ROW(derived, rel_type)) AS m FROM x WHERE seed <> neighbour AND seed IN (SELECT uid FROM nodes WHERE label = 'WorkItem') AND neighbour IN (SELECT uid FROM nodes WHERE label NOT IN ('Repository','Project','Workspace','Person','SourceRecord')) GROUP BY ALL)
 SELECT seed, neighbour, m[2] AS rel_type, row_number() OVER (PARTITION BY seed ORDER BY m[1], m[2], neighbour) AS rank FROM y QUALIFY rank <= 4""")
 def expand_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    f = _live(spark, d).withColumn("derived", F.ascii(F.substring("fact_uid", 1, 1)) % 2 == 0)
+    """Neighbours by facts of some authority: a quarter of the facts have an unknown method and are not followed."""
+    k = F.ascii(F.substring("fact_uid", 1, 1))
+    method = F.when(k % 4 == 0, "derived").when(k % 4 == 1, "llm").when(k % 4 == 2, "deterministic").otherwise("guess")
+    f = _live(spark, d).withColumn("derived", k % 2 == 0).withColumn("extraction_method", method)
     out = graph.expand(f, base.nodes(spark, d), _items(spark, d).select(F.col("uid").alias("seed")), ("PARENT_OF", "BLOCKS", "REPORTED_BY"))
     return out.withColumn("rank", F.col("rank").cast("long"))
 
@@ -130,14 +133,14 @@ def visible_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TWO = f"""WITH {FACTS}, {NODES}, e AS (SELECT from_uid AS x, to_uid AS z FROM facts WHERE {LIVE} UNION ALL SELECT to_uid, from_uid FROM facts WHERE {LIVE}), ee AS (SELECT * FROM e WHERE x IS NOT NULL AND z IS NOT NULL AND x <> z),
-c AS (SELECT z FROM ee GROUP BY z HAVING count(*) <= 50), arms AS (SELECT DISTINCT x, z FROM ee WHERE z IN (FROM c) AND z IN (SELECT uid FROM nodes WHERE label = 'WorkItem')),
+mm AS (SELECT from_uid AS z, unnest(source_record_keys) AS k FROM facts UNION SELECT to_uid, unnest(source_record_keys) FROM facts), c AS (SELECT z FROM (SELECT z FROM ee UNION ALL SELECT z FROM mm WHERE z IS NOT NULL AND k IS NOT NULL) GROUP BY z HAVING count(*) <= 50), arms AS (SELECT DISTINCT x, z FROM ee WHERE z IN (FROM c) AND z IN (SELECT uid FROM nodes WHERE label = 'WorkItem')),
 p AS (SELECT a.x AS a, b.x AS b, count(*) AS shared FROM arms a JOIN arms b USING (z) WHERE a.x < b.x GROUP BY ALL)
 SELECT a, b, shared FROM p WHERE (a, b) NOT IN (SELECT least(x, z), greatest(x, z) FROM ee)"""
 
 
 @query(_TWO)
 def two_hop_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return graph.two_hop(_live(spark, d), _items(spark, d))
+    return graph.two_hop(_live(spark, d), _items(spark, d), mentions=writes.mentions(base.facts(spark, d)))
 
 
 @query("""SELECT l_orderkey AS path, round(exp(avg(ln(greatest(0.01, l_discount * 10)))), 6) AS support, exp(avg(ln(greatest(0.01, l_discount * 10)))) < 0.4 AS low FROM lineitem GROUP BY 1""")
@@ -164,9 +167,21 @@ def transitive_closure(spark: SparkSession, d: str) -> DataFrame:
     return infer.transitive_closure(e, 4).select("from_uid", "to_uid", "depth")
 
 
+_DATED = f"""WITH RECURSIVE {FACTS}, e AS (SELECT from_uid AS a, to_uid AS b, valid_at AS s, invalid_at AS t, max(confidence) AS c FROM facts WHERE rel_type IN ('BLOCKS', 'PARENT_OF') AND from_uid <> to_uid GROUP BY ALL),
+w AS (SELECT a, b, s, t, c, 1 AS depth FROM e UNION SELECT w.a, e.b, greatest(w.s, e.s), least(w.t, e.t), least(w.c, e.c), depth + 1 FROM w JOIN e ON w.b = e.a
+  WHERE depth < 8 AND w.a <> e.b AND coalesce(greatest(w.s, e.s) < least(w.t, e.t), true)), d AS (SELECT a, b, min(depth) AS depth FROM w WHERE (a, b) NOT IN (SELECT a, b FROM e) GROUP BY ALL)
+SELECT a AS from_uid, b AS to_uid, depth, round(max(c), 6) AS confidence FROM w JOIN d USING (a, b, depth) GROUP BY ALL"""
+
+
+@query(_DATED)
+def closure_dated(spark: SparkSession, d: str) -> DataFrame:
+    """What chains of full depth conclude while all of their links hold, and how surely."""
+    return infer.transitive_closure(_chain(spark, d)).select("from_uid", "to_uid", "depth", F.round("confidence", 6).alias("confidence"))
+
+
 @query()
 def transitive_closure_dated(spark: SparkSession, d: str) -> DataFrame:
-    """What chains of full depth conclude while all of their links hold, and how surely."""
+    """The same with the period of each conclusion."""
     return infer.transitive_closure(_chain(spark, d))
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitempo.functions import dates, text
 from bitempo.operators import resolve, search, windows
 from bitempo.plans import base
 from bitempo.plans.base import FACTS, LIVE, NOW, ts
-from bitempo.session import broadcast_if_small, cut, table
+from bitempo.session import broadcast_if_small, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,9 +29,8 @@ def query(sql: str | None = None):
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all documents for the titles of the subject areas."""
-    index = cut(search.postings(table(spark, d, "documents"), "doc_id", "text"))
     asked = table(spark, d, "subject_area").select(F.col("subject").alias("q"), F.col("title").alias("text"))
-    scored = search.bm25(index, "doc_id", search.expand_prefixes(index, asked))
+    scored = search.bm25_search(table(spark, d, "documents"), "doc_id", "text", asked)
     return scored.withColumnRenamed("doc_id", "id").withColumn("score", F.round("score", 6))
 
 
@@ -105,13 +104,37 @@ def interleave_channels(spark: SparkSession, d: str) -> DataFrame:
     return search.interleave(_channels(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"{_CH}, f AS (SELECT q, id, round(sum(CASE channel WHEN 1 THEN 3.0 ELSE 1.0 END / (10 + rank)), 6) AS score FROM u GROUP BY ALL) SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 8")
+_HY = f"""WITH {_BM}, sub AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS n FROM (SELECT DISTINCT subject FROM subject_area)), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+vl AS (SELECT subject AS q, b.vec_id AS id, list_dot_product(a.e, b.e) AS c FROM sub JOIN v a ON a.vec_id = n, v b), x AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank, 1.0 AS w FROM s QUALIFY rank <= 30
+UNION ALL SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY c DESC, id) AS rank, 3.0 FROM vl QUALIFY rank <= 30), f AS (SELECT q, id, round(sum(w / (10 + rank)), 6) AS score FROM x GROUP BY ALL)"""
+
+
+def _hybrid_legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by keywords, and by the vector that has the number of the subject."""
+    number = table(spark, d, "subject_area").select(F.col("subject").alias("q")).distinct().withColumn("n", F.row_number().over(Window.orderBy("q")) - 1)  # a small fixed table
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = number.join(v.withColumnRenamed("id", "n").withColumnRenamed("v", "qv"), "n").select("q", "qv")
+    near = search.nearest(asked, v, search.PER_METHOD).select("q", "id", F.col("cosine").alias("score"))
+    return _bm25(spark, d), near
+
+
+@query(f"{_HY} SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 8")
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    legs = _channels(spark, d).withColumn("weight", F.when(F.col("channel") == 1, search.VECTOR_WEIGHT).otherwise(1.0))
-    fused = search.rrf(legs, k=1 << 30).select("q", "id", F.round("score", 6).alias("score"))
+    """Keyword search and vector search fused by rank."""
+    fused = search.hybrid(*_hybrid_legs(spark, d), k=1 << 30).select("q", "id", F.round("score", 6).alias("score"))
     return search.top(fused, ["q"], "id", 8).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("""WITH a AS (SELECT user_id AS q, event_type AS uid, min(event_id) AS pos FROM events GROUP BY ALL), t AS (SELECT q, uid FROM a QUALIFY row_number() OVER (PARTITION BY q ORDER BY pos, uid) <= 2),
+m AS (SELECT DISTINCT event_type AS uid, CAST(floor(value) AS BIGINT) AS record_key FROM events) SELECT q, record_key FROM t JOIN m USING (uid) GROUP BY ALL HAVING count(*) = 2""")
+def shared_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What both of the first two kinds of events of a user have in common."""
+    e = table(spark, d, "events")
+    anchors = e.select(F.col("user_id").alias("q"), F.col("event_type").alias("uid"), F.col("event_id").alias("pos"))
+    mentions = e.select(F.col("event_type").alias("uid"), F.floor("value").cast("long").alias("record_key"))
+    return search.shared_evidence(anchors, mentions)
+
+
 _SC = "sc AS (SELECT l_orderkey AS q, l_linenumber * 1000000 + l_partkey AS id, max(round(l_discount * 10, 2)) AS score, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL)"
 
 
@@ -120,6 +143,23 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("q", "id").agg(F.max("score").alias("score"), F.max("l_returnflag").alias("flag"))
 
 
+@query(f"WITH {_SC}, n AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY flag = 'A' DESC, score DESC, id) AS rank FROM sc) SELECT * FROM n WHERE rank <= 4")
+def reserved_first(spark: SparkSession, d: str) -> DataFrame:
+    s = _scores(spark, d).withColumn("methods", F.array(F.when(F.col("flag") == "A", "time_window").otherwise("vector")))
+    return search.reserved_first(s, 4).select("q", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_SC}, a AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sc WHERE flag = 'A'), b AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sc),
+u AS (SELECT q, id, min(ROW(g, rank)) AS m FROM (SELECT *, 0 AS g FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL), k AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY m, id) AS rank FROM u QUALIFY rank <= 3),
+w AS (SELECT q, id, 0 AS g, rank FROM k UNION ALL SELECT k.q, k.id + 1, 1, rank FROM k), y AS (SELECT q, id, min(ROW(g, rank)) AS m FROM w GROUP BY ALL) SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY m, id) AS rank FROM y""")
+def retrieved(spark: SparkSession, d: str) -> DataFrame:
+    """Two lanes merged, cut at three hits, with a neighbour of each."""
+    s = _scores(spark, d)
+    lanes = [search.top(x, ["q"], "id", 1 << 30) for x in (s.where("flag = 'A'"), s)]
+    step = s.select(F.col("id").alias("seed"), (F.col("id") + 1).alias("id")).distinct()
+    return search.retrieve(lanes, step, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"""WITH {_SC}, r AS (SELECT *, CASE WHEN flag = 'A' THEN 'temporal' WHEN score >= 0.5 THEN 'direct' WHEN score >= 0.2 THEN 'bridge' ELSE 'irrelevant' END AS r0 FROM sc),
 n AS (SELECT *, row_number() OVER (PARTITION BY q, r0 ORDER BY score DESC, id) AS n, count(*) FILTER (WHERE r0 = 'bridge') OVER (PARTITION BY q) AS b FROM r)
 SELECT q, id, score, CASE WHEN r0 = 'bridge' AND n > 4 THEN 'irrelevant' WHEN r0 = 'irrelevant' AND n <= 4 - b THEN 'bridge' ELSE r0 END AS role FROM n""")
@@ -172,12 +212,14 @@ def polarity(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.polarity_conflict(F.col("text"), F.lit("")).alias("negates"))
 
 
-@query(r"""WITH i AS (SELECT item_id, lower(trim(regexp_replace(split_part(passage, '. ', 1), '\s+', ' ', 'g'))) AS e FROM eval_item) SELECT doc_id, item_id FROM documents JOIN i ON contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), e)""")
+@query(r"""WITH i AS (SELECT DISTINCT item_id, s AS n, lower(trim(regexp_replace(e, '\s+', ' ', 'g'))) AS e FROM (SELECT item_id, unnest(string_split(passage, '. ')) AS e, generate_subscripts(string_split(passage, '. '), 1) AS s FROM eval_item) WHERE trim(e) <> '')
+SELECT doc_id, item_id, count(*) AS sentences FROM documents JOIN i ON contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), e) GROUP BY ALL""")
 def evidence_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that contain the first sentence of an evaluation item (a stated, fixed set)."""
-    items = broadcast_if_small(table(spark, d, "eval_item").select("item_id", text.flat(F.split_part("passage", F.lit(". "), F.lit(1))).alias("e")).where("e <> ''"), 1000)
+    """How many sentences of an evaluation item a document quotes (a stated, fixed set of items)."""
+    parts = table(spark, d, "eval_item").select("item_id", F.posexplode(F.split("passage", r"\. ")).alias("n", "e")).where("trim(e) <> ''").distinct()
+    items = broadcast_if_small(parts.withColumn("e", text.flat(F.col("e"))), 10_000)
     docs = table(spark, d, "documents").select("doc_id", text.flat(F.col("text")).alias("t"))
-    return docs.join(items, F.contains("t", "e")).select("doc_id", "item_id")
+    return docs.join(items, text.quoted(F.col("e"), F.col("t"))).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("sentences"))
 
 
 _TOK = r"WITH n AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents WHERE text IS NOT NULL)"
