@@ -45,3 +45,32 @@ def comments(text: Column, language: Column) -> Column:
             yield pd.Series([comment_lines(t, x) for t, x in zip(texts, languages, strict=True)])
 
     return run(text, language)
+
+
+def blocks_of(text: str | None, language: str | None) -> list[str]:
+    """Comments of a file in blocks: comment lines without code between them."""
+    wanted = comment_lines(text, language)
+    out: list[list[str]] = []
+    at = 0
+    together = False
+    for line in (text or "").splitlines():
+        s = line.strip()
+        if at < len(wanted) and s == wanted[at]:
+            if not together:
+                out.append([])
+            out[-1].append(s)
+            at, together = at + 1, True
+        elif s:
+            together = False
+    return ["\n".join(b) for b in out if any(b)]
+
+
+def comment_blocks(text: Column, language: Column) -> Column:
+    """``blocks_of`` over columns, as an array."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, languages in batches:
+            yield pd.Series([blocks_of(t, x) for t, x in zip(texts, languages, strict=True)])
+
+    return run(text, language)

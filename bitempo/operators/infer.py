@@ -82,3 +82,80 @@ def via(first: DataFrame, second: DataFrame, asserted: DataFrame) -> DataFrame:
     b = second.select(F.col("from_uid").alias("_m"), "to_uid")
     joined = a.join(b, "_m").where("from_uid <> to_uid").groupBy("from_uid", "to_uid").agg(F.count(F.lit(1)).alias("premises"))
     return joined.join(asserted.select("from_uid", "to_uid").distinct(), ["from_uid", "to_uid"], "left_anti")
+
+
+def asserted(facts: DataFrame, relation: str | None = None) -> DataFrame:
+    """Live facts that no rule concluded, of one relation if given."""
+    live = facts.where("invalid_at is null and coalesce(assertion_status, 'live') <> 'corrected' and from_uid is not null and to_uid is not null")
+    own = live.where(~F.coalesce(F.col("derived"), F.lit(False))) if "derived" in facts.columns else live
+    return own if relation is None else own.where(F.col("rel_type") == relation)
+
+
+def materialize(facts: DataFrame, axioms: DataFrame, cap: int | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """What all rules conclude from asserted facts: ``(from_uid, rel_type, to_uid, rule, valid_at, invalid_at, confidence, capped)``.
+
+    Rules are run once, over asserted facts only, so that no conclusion feeds
+    another rule.  A pair that is asserted is no conclusion; of several rules
+    with one conclusion the first by name counts.  ``capped`` marks the
+    relations of which more than ``cap`` was concluded, for a reader to refuse;
+    nothing is left out.  Axioms are few and read by the driver.
+    """
+    known = asserted(facts)
+    trait = {r["relation"]: r for r in axioms.groupBy("relation").agg(F.max("is_transitive").alias("t"), F.max("is_symmetric").alias("s"), F.max("inverse_of").alias("i"), F.max("sub_property_of").alias("p")).limit(1000).collect()}
+    out = None
+    for relation, r in sorted(trait.items()):
+        own = known.where(F.col("rel_type") == relation)
+        edges = own.select(*_EDGE)
+        parts = []
+        if r["t"]:
+            parts.append(("transitive", relation, transitive_closure(edges, max_depth).select(*_EDGE)))
+        turned = edges.select(F.col("to_uid").alias("from_uid"), F.col("from_uid").alias("to_uid"), *_EDGE[2:]).where("from_uid <> to_uid")
+        if r["s"]:
+            parts.append(("symmetric", relation, turned))
+        if r["i"]:
+            parts.append(("inverse", r["i"], turned))
+        if r["p"]:
+            parts.append(("sub_property", r["p"], edges))
+        for rule, named, df in parts:
+            made = df.select("from_uid", F.lit(named).alias("rel_type"), "to_uid", F.lit(rule).alias("rule"), *_EDGE[2:])
+            out = made if out is None else out.unionByName(made)
+    key = ["from_uid", "rel_type", "to_uid"]
+    if out is None:
+        return known.limit(0).select(*key, F.lit("").alias("rule"), *_EDGE[2:], F.lit(False).alias("capped"))
+    one = out.groupBy(*key).agg(F.min_by(F.struct("rule", *_EDGE[2:]), F.struct("rule", -F.coalesce("confidence", F.lit(0.0)), "valid_at", "invalid_at")).alias("m")).select(*key, "m.*")
+    new = one.join(known.select(*key).distinct(), key, "left_anti")
+    if cap is None:
+        return new.withColumn("capped", F.lit(False))
+    much = new.groupBy("rel_type").agg((F.count(F.lit(1)) > cap).alias("capped"))
+    return new.join(much, "rel_type")
+
+
+def derived_facts(conclusions: DataFrame, confidence: float = 0.6) -> DataFrame:
+    """Conclusions ``(from_uid, rel_type, to_uid, rule, premises)`` as facts to be merged: derived, of a set confidence, with what they rest on."""
+    return conclusions.select("from_uid", "rel_type", "to_uid", F.lit(True).alias("derived"), F.col("rule").alias("derived_rule"), F.array_sort("premises").alias("premise_fact_uids"), F.lit(confidence).alias("confidence"), F.lit("derived").alias("extraction_method"))
+
+
+def shared_concept(facts: DataFrame, labels: DataFrame, concepts: tuple[str, ...], a: str, b: str, relation: str, confidence: float = 0.5) -> DataFrame:
+    """``(from_uid, to_uid, relation, shared, confidence)``: an ``a`` and a ``b`` that point to one concept, not yet related so.
+
+    They are candidates for a review, not facts.  A concept that very many
+    things point to would pair them all: what both sides of a concept have is
+    counted first and the smaller side is sent to the larger.
+    """
+    known = asserted(facts)
+    typed = known.join(labels.select(F.col("uid").alias("to_uid"), F.col("label").alias("_to")), "to_uid").where(F.col("_to").isin(*concepts))
+    typed = typed.join(labels.select(F.col("uid").alias("from_uid"), F.col("label").alias("_from")), "from_uid").select("from_uid", "_from", F.col("to_uid").alias("concept")).distinct()
+    left = typed.where(F.col("_from") == a).select(F.col("from_uid"), "concept")
+    right = typed.where(F.col("_from") == b).select(F.col("from_uid").alias("to_uid"), "concept")
+    pairs = left.join(right, "concept").where("from_uid <> to_uid").groupBy("from_uid", "to_uid").agg(F.count(F.lit(1)).alias("shared"))
+    there = known.where(F.col("rel_type") == relation).select("from_uid", "to_uid").distinct()
+    return pairs.join(there, ["from_uid", "to_uid"], "left_anti").withColumn("relation", F.lit(relation)).withColumn("confidence", F.lit(confidence))
+
+
+def around(facts: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """The facts within ``hops`` of ``seeds(uid)``: all that rules about a changed node can rest on."""
+    near = seeds.select("uid").distinct()
+    for _ in range(hops):
+        met = facts.join(near.withColumnRenamed("uid", "from_uid"), "from_uid", "left_semi").select(F.col("to_uid").alias("uid")).unionByName(facts.join(near.withColumnRenamed("uid", "to_uid"), "to_uid", "left_semi").select(F.col("from_uid").alias("uid")))
+        near = cut(near.unionByName(met).where("uid is not null").distinct())
+    return facts.join(near.withColumnRenamed("uid", "from_uid"), "from_uid", "left_semi").join(near.withColumnRenamed("uid", "to_uid"), "to_uid", "left_semi")

@@ -103,3 +103,83 @@ def conflicts(new: DataFrame, facts: DataFrame, functional: tuple[str, ...]) ->
 def merged_into(trace: DataFrame) -> DataFrame:
     """``(absorbed, survivor)``: the newest merge of each node, one step."""
     return trace.groupBy("absorbed").agg(F.max_by("survivor", F.struct("at", "survivor")).alias("survivor"))
+
+
+#: How far a pair of nodes is supported by each signal.
+SIGNALS = {"none": 0.01, "record": 0.5, "text": 0.7, "middle": 0.8, "fact": 1.0}
+
+
+def pair_support(pairs: DataFrame, facts: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, support)`` of ``pairs(a, b)``: the strongest of what ties two nodes.
+
+    A live fact, a node that both have a fact with, a name in the other's text,
+    a record that mentions both.  ``nodes(uid, name, text)``.  Middle nodes meet
+    through the pairs that are asked for, never as all pairs of a hub.
+    """
+    ends = facts.select(F.col("from_uid").alias("x"), F.col("to_uid").alias("y")).unionByName(facts.select(F.col("to_uid").alias("x"), F.col("from_uid").alias("y"))).where("x is not null and y is not null").distinct()
+    asked = pairs.select("a", "b").distinct()
+    direct = asked.join(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi").withColumn("s", F.lit(SIGNALS["fact"]))
+    middle = asked.join(ends.select(F.col("x").alias("a"), F.col("y").alias("m")), "a").join(ends.select(F.col("x").alias("b"), F.col("y").alias("m")), ["b", "m"], "left_semi").select("a", "b").distinct().withColumn("s", F.lit(SIGNALS["middle"]))
+    side = lambda s: nodes.select(F.col("uid").alias(s), F.lower(F.coalesce("name", F.lit(""))).alias(f"n_{s}"), F.lower(F.coalesce("text", F.lit(""))).alias(f"t_{s}"))
+    told = asked.join(side("a"), "a").join(side("b"), "b")
+    inside = ((F.col("n_a") != "") & F.contains("t_b", "n_a")) | ((F.col("n_b") != "") & F.contains("t_a", "n_b"))
+    text = told.where(inside).select("a", "b").withColumn("s", F.lit(SIGNALS["text"]))
+    m = mentions.select("uid", "record_key").distinct()
+    record = asked.join(m.withColumnRenamed("uid", "a"), "a").join(m.withColumnRenamed("uid", "b"), ["b", "record_key"], "left_semi").select("a", "b").distinct().withColumn("s", F.lit(SIGNALS["record"]))
+    every = asked.withColumn("s", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(SIGNALS["none"]))
+    out = every
+    for part in (direct, middle, text, record):
+        out = out.unionByName(part)
+    return out.groupBy("a", "b").agg(F.max("s").alias("support"))
+
+
+def verified_links(supported: DataFrame, facts: DataFrame, minimum: float = 0.6) -> DataFrame:
+    """Pairs of a cited path that are supported well and have no fact yet: candidates for a review."""
+    direct = facts.select(F.least("from_uid", "to_uid").alias("_l"), F.greatest("from_uid", "to_uid").alias("_g")).distinct()
+    pairs = supported.where((F.col("support") >= minimum) & (F.col("a") != F.col("b"))).withColumn("_l", F.least("a", "b")).withColumn("_g", F.greatest("a", "b"))
+    return pairs.join(direct, ["_l", "_g"], "left_anti").groupBy(F.col("_l").alias("a"), F.col("_g").alias("b")).agg(F.max("support").alias("support"))
+
+
+def link_facts(candidates: DataFrame) -> DataFrame:
+    """Approved link candidates ``(from_uid, to_uid, relation, derived_rule, confidence, state)`` as derived facts.
+
+    For ``facts.upsert`` without reviving: a closed fact stays closed.
+    """
+    some = candidates.where("state = 'approved' and from_uid is not null and to_uid is not null")
+    one = some.groupBy("from_uid", F.col("relation").alias("rel_type"), "to_uid").agg(F.max(F.struct("confidence", "derived_rule")).alias("m"))
+    return one.select("from_uid", "rel_type", "to_uid", F.lit(True).alias("derived"), F.col("m.derived_rule").alias("derived_rule"), F.col("m.confidence").alias("confidence"))
+
+
+def absorb_mentions(mentions: DataFrame, merged: DataFrame) -> DataFrame:
+    """Mentions of absorbed nodes become their survivors', each pair once."""
+    one = merged.groupBy(F.col("absorbed").alias("uid")).agg(F.min("survivor").alias("_s"))
+    return mentions.join(one, "uid", "left").select(F.coalesce("_s", "uid").alias("uid"), "record_key").distinct()
+
+
+def disputes(actions: DataFrame) -> DataFrame:
+    """``(from_uid, to_uid)``: pairs of things in dispute, once, the smaller first."""
+    pairs = actions.where("action = 'dispute' and old_uid <> new_uid")
+    return pairs.select(F.least("old_uid", "new_uid").alias("from_uid"), F.greatest("old_uid", "new_uid").alias("to_uid")).distinct()
+
+
+def open_disputes(facts: DataFrame) -> DataFrame:
+    """Live facts of dispute, each pair once."""
+    live = facts.where("rel_type = 'DISPUTED_WITH' and invalid_at is null and coalesce(assertion_status, 'live') <> 'corrected'")
+    return live.select(F.least("from_uid", "to_uid").alias("a"), F.greatest("from_uid", "to_uid").alias("b")).where("a is not null").distinct()
+
+
+def apply_actions(facts: DataFrame, actions: DataFrame, now: Column) -> DataFrame:
+    """Facts after decided ``actions(old, new, action, new_from, record_key)``.
+
+    ``close_old`` ends the old fact where the new one begins, ``correct_old``
+    takes it back, ``confirm_old`` adds the record, ``ended_unknown`` says that
+    it has ended some time; ``write_both``, ``backfill_new`` and ``dispute``
+    leave the old fact as it is.
+    """
+    from bitempo.operators import facts as writes
+
+    of = lambda word: actions.where(F.col("action") == word)
+    out, _ = writes.close(facts, of("close_old").select(F.col("old").alias("fact_uid"), F.col("new_from").alias("valid_to")), now)
+    out, _ = writes.correct(out, of("correct_old").select(F.col("old").alias("fact_uid")), now)
+    out = writes.confirm(out, of("confirm_old").select(F.col("old").alias("fact_uid"), "record_key"), now)
+    return writes.mark_ended_unknown(out, of("ended_unknown").select(F.col("old").alias("fact_uid"), F.coalesce("new_from", now).alias("attested_from")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,3 +96,62 @@ def fuzzy_names(people: DataFrame, words: DataFrame, least: float = 0.82) -> Dat
 
     alike = pairs.withColumn("similarity", compare("part", "word")).where(F.col("similarity") >= least)
     return parts.join(alike, "part").groupBy("id", "word").agg(F.max("similarity").alias("similarity"))
+
+
+def split_tokens(text: str, most: int) -> list[str]:
+    """A text in pieces of ``most`` tokens, trimmed; one that fits is left as it is."""
+    starts = [m.start() for m in _TOKEN.finditer(text)]
+    if len(starts) <= most:
+        return [text] if text else []
+    cuts = [*starts[::most], len(text)]
+    return [p for a, b in zip(cuts, cuts[1:], strict=False) if (p := text[a:b].strip())]
+
+
+def within_limit(texts: list[str], most: int) -> list[str]:
+    """Texts trimmed, without empty ones; those above ``most`` tokens are split."""
+    return [p for t in texts if t.strip() for p in split_tokens(t.strip(), most)]
+
+
+def char_windows(text: str, size: int = 1200, overlap: int = 150) -> list[str]:
+    """Windows of ``size`` characters that end at a space where there is one in their last third."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        if end < len(text) and (space := text.rfind(" ", at + size * 2 // 3, end)) > at:
+            end = space
+        if piece := text[at:end].strip():
+            out.append(piece)
+        if end == len(text):
+            break
+        at = max(end - overlap, at + 1)
+    return out
+
+
+def chunk_records(records: DataFrame, target: int = 500, hard: int = 900) -> DataFrame:
+    """``(record_key, chunk_index, chunk_id, content_hash, text, route)`` of ``records(record_key, content, language)``.
+
+    Prose is packed from its sentences, code from its blocks of comments; code
+    in an unknown language is taken whole.  No chunk has more than ``hard``
+    tokens.  An id tells the record, the text and which of its equal texts it
+    is, so an edit elsewhere keeps it.  Null and blank contents have no chunks.
+    """
+    from bitempo.functions.code import STYLES, comment_blocks
+    from bitempo.functions.ids import uuid5
+    from bitempo.functions.text import units
+
+    known = F.lower("language").isin(*STYLES)
+    body = F.trim(F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), "\x00", ""))
+    rows = records.where("record_key is not null").select("record_key", "language", body.alias("_t")).where("_t <> ''")
+    route = F.when(F.coalesce(F.trim("language"), F.lit("")) == "", "prose").when(known, "comments").otherwise("code")
+    parts = F.when(F.col("route") == "prose", units(F.col("_t"))).when(F.col("route") == "code", F.array("_t")).otherwise(comment_blocks(F.col("_t"), F.col("language")))
+
+    @F.pandas_udf("array<string>")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([within_limit(pack_units([] if u is None else list(u), target), hard) for u in b])
+
+    made = rows.withColumn("route", route).select("record_key", "route", packed(parts).alias("_p"))
+    # Equal texts of a record are numbered inside its array: no shuffle.
+    numbered = F.transform("_p", lambda t, i: F.struct(i.alias("chunk_index"), t.alias("text"), F.sha2(t, 256).alias("content_hash"), F.size(F.filter(F.slice(F.col("_p"), F.lit(1), i), lambda o: o == t)).alias("n")))
+    out = made.select("record_key", "route", F.explode(numbered).alias("c")).select("record_key", "route", "c.*")
+    return out.select("record_key", "chunk_index", uuid5(F.concat_ws(":", "record_key", "content_hash", F.col("n").cast("string")), uuid.NAMESPACE_URL).alias("chunk_id"), "content_hash", "text", "route")

@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _PERSON = "struct<accountId:string,displayName:string,emailAddress:string>"
@@ -134,3 +134,88 @@ def by_keys(rows: DataFrame, keys: DataFrame, column: str = "issue_key") -> Data
     """The rows of a stated set of keys, whatever their case."""
     asked = keys.select(F.upper(F.trim("key")).alias("_k")).distinct()
     return rows.withColumn("_k", F.upper(F.trim(column))).join(asked, "_k", "left_semi").drop("_k")
+
+
+# --- trees, histories and blocks ------------------------------------------------
+
+# Kinds of blocks of a page, and what stands before their text.
+BLOCK_MARKS = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> "}
+_RICH = "array<struct<plain_text:string>>"
+_BODY = f"rich_text:{_RICH},checked:boolean,language:string,title:string,cells:array<{_RICH}>,url:string,caption:{_RICH}"
+
+
+def files(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), max_bytes: int = 1_000_000) -> DataFrame:
+    """``(path, size, content)``: the files of a tree with one of the extensions (any by default) up to a size.
+
+    Extension and size are decided before a body is read.
+    """
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes)
+    if extensions:
+        tree = tree.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*[e.lower().lstrip(".") for e in extensions]))
+    return tree.select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+
+
+def newest_commits(commits: DataFrame, most: int, empty_first: bool = False) -> DataFrame:
+    """Each repository's ``most`` newest commits without empty messages, and whether it has ``more``.
+
+    Empty messages are dropped after the cut, or before it with ``empty_first``.
+    Repositories are cut by a top-k, so one of any size sends that many rows.
+    """
+    said = F.trim(F.coalesce("message", F.lit(""))) != ""
+    pool = commits.where(said) if empty_first else commits
+    near = Window.partitionBy("repository").orderBy(F.col("at").desc_nulls_last(), F.col("sha").desc())
+    kept = pool.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= most)
+    more = pool.groupBy("repository").agg((F.count(F.lit(1)) > most).alias("more"))
+    return kept.where(said).drop("_r").join(more, "repository")
+
+
+def with_diffstats(commits: DataFrame, changed: DataFrame) -> DataFrame:
+    """Commits with their changed files as an array; those without any get an empty one."""
+    lists = changed.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("path", "old_path", "status", "lines_added", "lines_removed"))).alias("files"))
+    none = F.array().cast(dict(lists.dtypes)["files"])
+    return commits.join(lists, "sha", "left").withColumn("files", F.coalesce("files", none))
+
+
+def newest_requests(requests: DataFrame, states: tuple[str, ...], most: int) -> DataFrame:
+    """Each repository's ``most`` change requests of some states, updated last."""
+    near = Window.partitionBy("repository").orderBy(F.col("updated_on").desc_nulls_last(), F.col("id").desc())
+    return requests.where(F.upper("state").isin(*[s.upper() for s in states])).withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= most).drop("_r")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """``(page_id, position, line)``: blocks ``(page_id, position, type, body)`` as lines of markdown; empty ones have none.
+
+    ``body`` is the JSON of a block's payload, whatever its kind.
+    """
+    b = F.from_json("body", _BODY)
+    joined = lambda rich: F.array_join(F.transform(rich, lambda t: F.coalesce(t["plain_text"], F.lit(""))), "")
+    text = F.coalesce(joined(b["rich_text"]), F.lit(""))
+    caption = F.coalesce(joined(b["caption"]), F.lit(""))
+    marked = F.when(text != "", F.concat(F.create_map(*[F.lit(v) for kv in BLOCK_MARKS.items() for v in kv])[F.col("type")], text))
+    cells = F.array_join(F.transform(b["cells"], joined), " | ")
+    link = F.when(F.coalesce(b["url"], F.lit("")) != "", F.concat(F.lit("["), F.when(caption != "", caption).otherwise(b["url"]), F.lit("]("), b["url"], F.lit(")"))).otherwise(caption)
+    line = (
+        F.when(F.col("type").isin(*BLOCK_MARKS), marked)
+        .when(F.col("type") == "to_do", F.when(text != "", F.concat(F.when(b["checked"], "- [x] ").otherwise("- [ ] "), text)))
+        .when(F.col("type") == "code", F.when(text != "", F.concat(F.lit("```"), F.coalesce(b["language"], F.lit("")), F.lit("\n"), text, F.lit("\n```"))))
+        .when(F.col("type") == "divider", "---")
+        .when(F.col("type") == "child_page", F.when(F.coalesce(b["title"], F.lit("")) != "", F.concat(F.lit("## "), b["title"])))
+        .when(F.col("type") == "table_row", F.when(F.size(b["cells"]) > 0, F.concat(F.lit("| "), cells, F.lit(" |"))))
+        .when(F.col("type").isin("bookmark", "embed", "link_preview"), link)
+        .otherwise(text)
+    )
+    return rows.select("page_id", "position", line.alias("line")).where("line <> ''")
+
+
+def page_texts(rows: DataFrame) -> DataFrame:
+    """``(page_id, markdown)`` of blocks, in their order."""
+    return blocks(rows).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+
+
+def summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(name, n)``: how many rows an export holds of each kind."""
+    out = None
+    for name, df in sorted(tables.items()):
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
