@@ -45,8 +45,21 @@ def _plain(s: str) -> str:
     return re.sub(r"(?<![aeiou])([aou])e", r"\1", re.sub("[^a-z]", "", folded(s)))
 
 
-def parse_name(name: str | None) -> list[tuple[str, str, str]]:
-    """(given, surname, middle initial) readings of a written name, likeliest first."""
+def remembered(f, most: int = 100_000):
+    """``f`` of one argument with its results kept, in a plain dictionary that travels to workers."""
+    known: dict = {}
+
+    def call(x):
+        if x not in known:
+            if len(known) >= most:
+                known.clear()
+            known[x] = f(x)
+        return known[x]
+
+    return call
+
+
+def _parse_name(name: str | None) -> list[tuple[str, str, str]]:
     if not name:
         return []
     s = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", name).strip()
@@ -72,14 +85,29 @@ def parse_name(name: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-def parse_mail(mail: str | None) -> tuple[list[str], list[str], str]:
-    """(words, numbers, tag initial) of the local part; a number in front of a plus sign is left out."""
+_read_name = remembered(_parse_name)
+
+
+def parse_name(name: str | None) -> list[tuple[str, str, str]]:
+    """(given, surname, middle initial) readings of a written name, likeliest first."""
+    return _read_name(name)
+
+
+def _parse_mail(mail: str | None) -> tuple[list[str], list[str], str]:
     local = re.sub(r"^\d+\+", "", folded((mail or "").split("@")[0].strip()))
     tag = re.search(r"[._-]([a-z])(\d+)$", local)
     words = [w for w in re.split(r"[^a-z]+", local[: tag.start()] if tag else local) if w]
     return words, re.findall(r"\d+", local), tag[1] if tag else ""
 
 
+_read_mail = remembered(_parse_mail)
+
+
+def parse_mail(mail: str | None) -> tuple[list[str], list[str], str]:
+    """(words, numbers, tag initial) of the local part; a number in front of a plus sign is left out."""
+    return _read_mail(mail)
+
+
 _known: dict[tuple[str, str], int] = {}
 
 
@@ -108,14 +136,21 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def bands(word: str) -> list[str]:
-    """MinHash bands over the letter pairs of a word."""
+def _bands(word: str) -> list[str]:
     w = f"^{word}$"
     grams = np.array([(ord(a) * 131 + ord(b)) * 2654435761 % 4294967291 for a, b in zip(w, w[1:], strict=False)], "uint64")
     low = ((grams[:, None] * _PRIMES + _SHIFTS) % np.uint64(4294967291)).min(axis=0)
     return [f"m{i}:" + "-".join(f"{v:x}" for v in low[i * ROWS : (i + 1) * ROWS]) for i in range(BANDS)]
 
 
+_read_bands = remembered(_bands, 20_000)
+
+
+def bands(word: str) -> list[str]:
+    """MinHash bands over the letter pairs of a word."""
+    return _read_bands(word)
+
+
 def less_one(word: str) -> set[str]:
     """Keys that a word shares with every word one edit away, a swap of neighbours being one."""
     return {"d:" + word} | {"d:" + word[:i] + word[i + 1 :] for i in range(len(word))}
