@@ -93,7 +93,7 @@ def excerpt(text: Column, anchor: Column, radius: int = 150) -> Column:
     An ellipsis stands for what is left out.
     """
     line = F.trim(F.regexp_replace(text, r"\s+", " "))
-    before = F.substring_index(F.lower(line), F.lower(anchor), 1)
+    before = F.call_function("substring_index", F.lower(line), F.lower(anchor), F.lit(1))
     n, size = F.length(before), F.length(line)
     left, right = F.greatest(n - radius, F.lit(0)), n + F.length(anchor) + radius
     dots = lambda missing: F.when(missing, "…").otherwise("")

@@ -187,7 +187,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
     ``body`` is the JSON of a block's payload, whatever its kind.
     """
-    b = F.from_json("body", _BODY)
+    b = F.from_json("body", f"struct<{_BODY}>")
     joined = lambda rich: F.array_join(F.transform(rich, lambda t: F.coalesce(t["plain_text"], F.lit(""))), "")
     text = F.coalesce(joined(b["rich_text"]), F.lit(""))
     caption = F.coalesce(joined(b["caption"]), F.lit(""))
