@@ -98,32 +98,44 @@ def _anchors(item_terms: DataFrame, frequency: DataFrame, span: int) -> DataFram
     return chosen.select("item", "n_anchors", F.explode("a").alias("x")).select("item", "n_anchors", "x.ipos", "x.term")
 
 
-def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, passage: str, share: float = SHARE, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+def leaks(
+    texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, passage: str, share: float = SHARE, span: int = SPAN, phrase: int = PHRASE, complete: bool = False
+) -> DataFrame:
     """Which items stand in which texts: ``(key, item_key, words, matched_words, share, longest_phrase, kind)``.
 
     An item stands in a text that holds at least ``share`` of its words, in
     order, in phrases of ``phrase`` words or more.  ``kind`` is ``exact`` when
     the whole passage is one phrase, else ``proximity``.  Case, punctuation,
     markup and spacing do not matter.  Null and empty texts or passages have
-    no rows; repeated rows of a text or item give one row.
+    no rows; repeated rows of a text or item give one row, and of an item with
+    several passages the best match counts.
 
     A text is a candidate when so many of the item's anchors stand in it as
     make up a third of the share, two at least, and two of them as far apart as
     in the item, give or take ``SLACK`` words.  A leak in phrases of fewer than
-    ``span`` words only may be missed.
+    ``span`` words only may be missed.  ``complete`` misses none, at the price
+    of more candidates: the rarest term of every ``phrase`` words is an anchor,
+    so every phrase that counts has one, and as phrases with up to five equal
+    words between them make up the share, there are as many.
     """
-    item_words = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), words(F.col(passage)).alias("iw")).where("size(iw) > 0").groupBy("item").agg(F.max("iw").alias("iw"))
+    known = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("of"), words(F.col(passage)).alias("iw")).where("size(iw) > 0").distinct()
+    item_words = known.select(F.xxhash64("of", "iw").alias("item"), "of", "iw")
     item_terms = cut(item_words.select("item", F.posexplode("iw").alias("ipos", "term")))
     index = cut(postings(texts, key, text, item_terms))
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    anchors = cut(_anchors(item_terms, frequency, span))
+    anchors = cut(_anchors(item_terms, frequency, phrase if complete else span))
     met = index.join(broadcast_if_small(anchors), "term").select("doc", "item", "n_anchors", "ipos", (F.col("pos") - F.col("ipos")).alias("at"))
-    # Adjusted by their offset in the item, anchors of one phrase meet at one place in the text.
-    # Bands of twice the slack, laid twice, hold any two that are at most the slack apart.
-    band = F.explode(F.array(F.floor(F.col("at") / (2 * SLACK)) * 2, F.floor((F.col("at") + SLACK) / (2 * SLACK)) * 2 + 1))
-    together = met.select("doc", "item", "ipos", band.alias("band")).groupBy("doc", "item", "band").agg((F.min("ipos") < F.max("ipos")).alias("two")).where("two").select("doc", "item").distinct()
     counted = met.groupBy("doc", "item", "ipos").agg(F.first("n_anchors").alias("of")).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
-    candidates = counted.where(F.col("n") >= F.greatest(F.lit(2), F.col("of") * (share / 3))).join(together, ["doc", "item"], "left_semi")
+    if complete:
+        size = item_words.select("item", F.size("iw").alias("size"))
+        enough = F.greatest(F.lit(1), F.ceil((F.col("size") * share + 5) / (phrase + 5) / phrase))
+        candidates = counted.join(broadcast_if_small(size), "item").where(F.col("n") >= enough)
+    else:
+        # Adjusted by their offset in the item, anchors of one phrase meet at one place in the text.
+        # Bands of twice the slack, laid twice, hold any two that are at most the slack apart.
+        band = F.explode(F.array(F.floor(F.col("at") / (2 * SLACK)) * 2, F.floor((F.col("at") + SLACK) / (2 * SLACK)) * 2 + 1))
+        together = met.select("doc", "item", "ipos", band.alias("band")).groupBy("doc", "item", "band").agg((F.min("ipos") < F.max("ipos")).alias("two")).where("two").select("doc", "item").distinct()
+        candidates = counted.where(F.col("n") >= F.greatest(F.lit(2), F.col("of") * (share / 3))).join(together, ["doc", "item"], "left_semi")
     asked = cut(candidates.select("doc", "item").join(broadcast_if_small(item_words), "item"))
     wanted = asked.select("doc").distinct()
     read = texts.select(F.col(key).alias("doc"), F.col(text).alias("_t")).join(broadcast_if_small(wanted), "doc", "left_semi").select("doc", words(F.col("_t")).alias("tw"))
@@ -132,15 +144,13 @@ def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, item, iw, tw in zip(b["doc"], b["item"], b["iw"], b["tw"], strict=True):
+            for doc, item, iw, tw in zip(b["doc"], b["of"], b["iw"], b["tw"], strict=True):
                 iw, tw = list(iw), list(tw)
                 matched, longest = chain(iw, tw, min(phrase, len(iw)))
                 if matched >= share * len(iw):
                     rows.append((doc, item, len(iw), matched, matched / len(iw), longest, "exact" if longest == len(iw) else "proximity"))
             yield pd.DataFrame(rows, columns=["doc", "item", *FOUND])
 
-    found = asked.join(read, "doc").mapInPandas(verify, f"doc {kinds['doc']}, item {kinds['item']}, words int, matched_words int, share double, longest_phrase int, kind string")
-    one = found.groupBy("doc", "item").agg(F.max(F.struct("matched_words", *[c for c in FOUND if c != "matched_words"])).alias("m"))
+    found = asked.join(read, "doc").mapInPandas(verify, f"doc {kinds['doc']}, item {kinds['of']}, words int, matched_words int, share double, longest_phrase int, kind string")
+    one = found.groupBy("doc", "item").agg(F.max(F.struct("share", *[c for c in FOUND if c != "share"])).alias("m"))
     return one.select(F.col("doc").alias(key), F.col("item").alias(item_key), *[F.col(f"m.{c}").alias(c) for c in FOUND])
-
-

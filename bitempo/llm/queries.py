@@ -128,6 +128,12 @@ def p8_matches(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id", "words", "matched_words", F.round("share", 4).alias("share"), "longest_phrase", "kind")
 
 
+def p8_complete(spark: SparkSession, d: str) -> DataFrame:
+    """``p8_found`` with candidates that miss no leak at all."""
+    found = leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "passage", complete=True)
+    return found.select("doc_id", "item_id")
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects_of(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "subject_area"), table(spark, d, "doc_label"), "doc_id")
 
@@ -142,7 +148,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_redacted, p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use, p8_found, p8_matches, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p4_found, p4_redacted, p5_found, p5_pieces, p6_found, p6_nearest, p7_windows, p7_use, p8_found, p8_matches, p8_complete, p9_found, p9_composition)}
 
 _TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x{{85}}]'))"
 ORACLES = {

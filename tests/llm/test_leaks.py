@@ -11,10 +11,10 @@ def passage(r, n=60):
     return " ".join(r.choice(WORDS) for _ in range(n))
 
 
-def found(spark, docs, items):
+def found(spark, docs, items, **how):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("term", F.lit("clash")).withColumn("item_id", F.lit(-1))
     i = spark.createDataFrame(items, "item_id long, passage string").withColumn("text", F.lit("clash"))
-    return {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "passage").collect()}
+    return {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "passage", **how).collect()}
 
 
 def test_leaks(spark):
@@ -66,6 +66,26 @@ def test_against_chaining_all_pairs(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_complete_search_misses_nothing(spark):
+    """Phrases of three to seven words only, words changed between them, two passages under one id."""
+    r = random.Random(4)
+    items = [(i // 2, passage(r, r.choice([3, 20, 40]))) for i in range(10)]
+    docs = []
+    for d in range(80):
+        p = r.choice(items)[1].split()
+        n = r.randint(3, 7)
+        docs.append((d, " ".join(w if k % (n + 1) else r.choice(["lorem", w, "ipsum"]) for k, w in enumerate(p))))
+    best = {}
+    for d, t in docs:
+        for i, p in items:
+            iw = p.split()
+            matched, _ = leaks.chain(iw, t.split(), min(3, len(iw)))
+            if matched >= 0.4 * len(iw):
+                best[d, i] = max(best.get((d, i), 0), matched / len(iw))
+    got = found(spark, docs, items, complete=True)
+    assert {k: round(r["share"], 9) for k, r in got.items()} == {k: round(v, 9) for k, v in best.items()}
+
+
 def test_empty_tables(spark):
     docs, items = [(1, "some text")], [(1, passage(random.Random(3)))]
     d = spark.createDataFrame(docs, "doc_id long, text string")
