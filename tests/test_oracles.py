@@ -2,10 +2,10 @@
 
 import pytest
 
-from bitempo.plans import facts, graph, history, ledger, mapping, reason, search, state, stream
+from bitempo.plans import answers, facts, graph, history, ledger, mapping, reason, search, state, stream
 from tests.rows import duck, spark_rows
 
-ALL = {k: (f, m.ORACLES.get(k)) for m in (history, facts, graph, search, ledger, mapping, state, reason, stream) for k, f in m.QUERIES.items()}
+ALL = {k: (f, m.ORACLES.get(k)) for m in (history, facts, graph, search, ledger, mapping, state, reason, answers, stream) for k, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
