@@ -173,24 +173,34 @@ def nearest(queries: np.ndarray, rows: np.ndarray, k: int, m: int = PROJECTIONS,
 
 
 def comparable(df: DataFrame, group: list[str], key: str, vector: str, dim: int) -> DataFrame:
-    """``(g, key, v)``: rows whose vector has ``dim`` values, none null or NaN, not all zero.
+    """``(g, k, v)``: rows whose vector has ``dim`` values, none null, NaN or infinite, not all zero.
 
-    ``v`` is scaled to length 1 and ``g`` is a string of the group columns.
-    Rows with a null key are left out.
+    ``g`` is a string of the group columns.  Rows with a null key are left out.
+    Vectors travel as they are and are scaled where they are compared.
     """
     v = F.col(vector)
-    fine = (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # Native array functions only: no lambda is run for each value.
+    top, low = F.array_max("v"), F.array_min("v")
+    fine = (F.size(v) == dim) & (F.size(F.array_compact(v)) == dim)
     g = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in group])
-    return (
-        df.where(v.isNotNull() & F.col(key).isNotNull() & fine).select(g.alias("g"), F.col(key).alias("k"), v.alias("v"), norm.alias("_n")).where("_n > 0")
-        .select("g", "k", F.transform("v", lambda x: (x / F.col("_n")).cast("float")).alias("v"))
-    )
+    rows = df.where(v.isNotNull() & F.col(key).isNotNull() & fine).select(g.alias("g"), F.col(key).alias("k"), v.cast("array<float>").alias("v"))
+    return rows.where(~F.isnan(top) & (top < float("inf")) & (low > float("-inf")) & ((top != 0) | (low != 0)))
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors as rows of length 1."""
     flat = column.combine_chunks().flatten() if column.num_chunks != 1 else column.chunk(0).flatten()
-    return np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(-1, dim), dtype="float32")
+    rows = flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype("float64")
+    rows /= np.abs(rows).max(axis=1, keepdims=True, initial=1e-300)  # squares of tiny or huge values stay in range
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.ascontiguousarray(rows, dtype="float32")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Cells over all cores, however few bytes they are: their cost is the square of their rows."""
+    spark = cells.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartition(n, "g", "i", "j")
 
 
 def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
@@ -223,7 +233,7 @@ def similar_pairs(rows: DataFrame, bound: float, dim: int, block_rows: int = BLO
         return pa.table({"g": pa.array([key[0].as_py()] * len(lo), pa.string()), "k_a": pa.array(lo, k.type), "k_b": pa.array(hi, k.type), "cosine": pa.array(cosine, pa.float64())})
 
     kind = dict(rows.dtypes)["k"]
-    return cells.groupBy("g", "i", "j").applyInArrow(run, f"g string, k_a {kind}, k_b {kind}, cosine double")
+    return _dealt(cells).groupBy("g", "i", "j").applyInArrow(run, f"g string, k_a {kind}, k_b {kind}, cosine double")
 
 
 def vector_classes(rows: DataFrame) -> DataFrame:
@@ -263,6 +273,6 @@ def nearest_k(queries: DataFrame, rows: DataFrame, k: int, dim: int, block_rows:
     import pyarrow.compute  # noqa: F401 - used in run
 
     kind = dict(rows.dtypes)["k"]
-    met = left.unionByName(right).groupBy("g", "i", "j").applyInArrow(run, f"g string, k {kind}, neighbour {kind}, cosine double")
+    met = _dealt(left.unionByName(right)).groupBy("g", "i", "j").applyInArrow(run, f"g string, k {kind}, neighbour {kind}, cosine double")
     best = met.groupBy("g", "k").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "neighbour"))), 1, k).alias("n"))
     return best.select("g", "k", F.posexplode("n").alias("p", "n")).select("g", "k", "n.neighbour", (-F.col("n.c")).alias("cosine"), (F.col("p") + 1).alias("rank"))

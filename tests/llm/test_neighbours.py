@@ -51,8 +51,8 @@ def test_pairs_in_spark(spark):
     rng = np.random.default_rng(5)
     v = unit(rng, 300)
     w = close(rng, v, 0.3)
-    data = [(f"a{i}", "g", x.tolist()) for i, x in enumerate(v)] + [(f"b{i}", "g", x.tolist()) for i, x in enumerate(w)] + [("x", "h", v[0].tolist())]
-    data += [("null", "g", None), ("empty", "g", []), ("zero", "g", [0.0] * 64), ("short", "g", [1.0] * 63), ("hole", "g", [None] + [1.0] * 63), (None, "g", v[0].tolist())]
+    data = [(f"a{i}", "g", (x * 10.0 ** (i % 5 - 2)).tolist()) for i, x in enumerate(v)] + [(f"b{i}", "g", x.tolist()) for i, x in enumerate(w)] + [("x", "h", v[0].tolist())]
+    data += [("null", "g", None), ("empty", "g", []), ("zero", "g", [0.0] * 64), ("nan", "g", [float("nan")] + [1.0] * 63), ("far", "g", [1.0] * 63 + [float("-inf")]), ("short", "g", [1.0] * 63), ("hole", "g", [None] + [1.0] * 63), (None, "g", v[0].tolist())]
     df = spark.createDataFrame(data, "id string, grp string, vec array<float>").withColumn("g", F.lit("clash"))
     fit = neighbours.comparable(df, ["grp"], "id", "vec", 64)
     assert fit.count() == 601
@@ -83,7 +83,7 @@ def test_nearest_in_spark(spark):
 def test_every_entity_has_its_nearest(spark, small_dir):
     groups, got = {}, {}
     for r in queries._vectors(spark, small_dir).collect():
-        groups.setdefault(r["g"], {})[r["k"]] = np.array(r["v"], float)
+        groups.setdefault(r["g"], {})[r["k"]] = np.array(r["v"], float) / np.linalg.norm(r["v"])
     for r in queries.p6_nearest(spark, small_dir).collect():
         got.setdefault((r["collection_name"], r["channel"], r["uid"]), {})[r["rank"]] = r["neighbour"]
     hit = want = 0
