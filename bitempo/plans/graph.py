@@ -236,7 +236,7 @@ def cardinality_violations(spark: SparkSession, d: str) -> DataFrame:
     return reports.cardinality_violations(_live(spark, d), ("ASSIGNED_TO", "BELONGS_TO", "REPORTED_BY"))
 
 
-_DROPS = """drops AS (SELECT repository_full_name AS record_key, 'Commit' AS subject_kind, 'TOUCHES_' || upper(coalesce(file_language, 'other')) AS relation, 'SourceFile' AS object_kind, substr(commit_hash, 1, 6) AS subject_name, substr(path, 1, 6) AS object_name FROM bitbucket_file)"""
+_DROPS = """drops AS (SELECT repository_full_name AS record_key, 'Commit' AS subject_kind, 'TOUCHES_' || upper(coalesce(file_language, 'other')) AS relation, 'SourceFile' AS object_kind, commit_hash AS subject_name, path AS object_name FROM bitbucket_file)"""
 
 
 @query(f"""WITH {_DROPS} SELECT subject_kind, relation, object_kind, count(DISTINCT record_key) AS records, count(*) AS facts, min(subject_name || ' > ' || object_name) AS example FROM drops
@@ -244,7 +244,7 @@ WHERE lower(subject_name) <> lower(object_name) AND relation NOT IN ('TOUCHES_SQ
 def adoption_candidates(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "bitbucket_file")
     relation = F.concat(F.lit("TOUCHES_"), F.upper(F.coalesce("file_language", F.lit("other"))))
-    drops = b.select(F.col("repository_full_name").alias("record_key"), F.lit("Commit").alias("subject_kind"), relation.alias("relation"), F.lit("SourceFile").alias("object_kind"), F.substring("commit_hash", 1, 6).alias("subject_name"), F.substring("path", 1, 6).alias("object_name"))
+    drops = b.select(F.col("repository_full_name").alias("record_key"), F.lit("Commit").alias("subject_kind"), relation.alias("relation"), F.lit("SourceFile").alias("object_kind"), F.col("commit_hash").alias("subject_name"), F.col("path").alias("object_name"))
     shape = drops.select("subject_kind", "relation", "object_kind")
     return reports.adoption_candidates(drops, shape.where("relation = 'TOUCHES_SQL'"), shape.where("relation = 'TOUCHES_JSON'"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitempo.functions import dates, text
 from bitempo.operators import resolve, search, windows
+from bitempo.operators.sequence import hot_groups, neighbours
 from bitempo.plans import base
 from bitempo.plans.base import FACTS, LIVE, NOW, ts
 from bitempo.session import broadcast_if_small, table
@@ -282,22 +283,23 @@ def identity_ladder(spark: SparkSession, d: str) -> DataFrame:
     return resolve.ladder(i, exact, alias, near).select("item", F.coalesce("uid", F.lit("")).alias("uid"), "rung")
 
 
-_ACT = f"""WITH {FACTS}, p AS (SELECT a.fact_uid AS old, b.fact_uid AS new, a.valid_at AS s1, a.invalid_at AS e1, b.valid_at AS s2, b.invalid_at AS e2, CASE ascii(substr(b.fact_uid, 1, 1)) % 5 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'extends' WHEN 2 THEN 'newer_state' WHEN 3 THEN 'corrects' ELSE 'contradicts' END AS kind,
-ascii(substr(a.fact_uid, 2, 1)) % 6 = 0 AS pinned FROM facts a JOIN facts b ON a.from_uid = b.from_uid AND a.rel_type = 'REPORTED_BY' AND b.rel_type = 'REPORTED_BY' AND a.fact_uid < b.fact_uid)
-SELECT old, new, kind, CASE WHEN kind = 'duplicate' THEN 'confirm_old' WHEN kind = 'extends' THEN 'write_both' WHEN pinned THEN 'dispute' WHEN kind = 'newer_state' THEN CASE WHEN s1 IS NULL OR s2 IS NULL THEN 'ended_unknown' WHEN coalesce(e2 <= s1, false) OR coalesce(e1 <= s2, false) THEN 'write_both' WHEN s1 < s2 THEN 'close_old' ELSE 'backfill_new' END
+_ACT = f"""WITH {FACTS}, n AS (SELECT fact_uid AS old, valid_at AS s1, invalid_at AS e1, lead(fact_uid) OVER w AS new, lead(valid_at) OVER w AS s2, lead(invalid_at) OVER w AS e2 FROM facts WHERE from_uid IS NOT NULL AND rel_type IS NOT NULL AND valid_at IS NOT NULL WINDOW w AS (PARTITION BY from_uid, rel_type ORDER BY valid_at, fact_uid)),
+p AS (SELECT *, CASE ascii(substr(new, 1, 1)) % 5 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'extends' WHEN 2 THEN 'newer_state' WHEN 3 THEN 'corrects' ELSE 'contradicts' END AS kind, ascii(substr(old, 2, 1)) % 6 = 0 AS pinned FROM n WHERE new IS NOT NULL)
+SELECT old, new, kind, CASE WHEN kind = 'duplicate' THEN 'confirm_old' WHEN kind = 'extends' THEN 'write_both' WHEN pinned THEN 'dispute' WHEN kind = 'newer_state' THEN CASE WHEN coalesce(e2 <= s1, false) OR coalesce(e1 <= s2, false) THEN 'write_both' WHEN s1 < s2 THEN 'close_old' ELSE 'backfill_new' END
 WHEN kind = 'corrects' THEN 'correct_old' ELSE 'dispute' END AS action FROM p"""
 
 
 @query(_ACT)
 def text_fact_actions(spark: SparkSession, d: str) -> DataFrame:
-    f = base.facts(spark, d).where("rel_type = 'REPORTED_BY'")
-    a = f.select("from_uid", F.col("fact_uid").alias("old"), F.col("valid_at").alias("s1"), F.col("invalid_at").alias("e1"))
-    b = f.select("from_uid", F.col("fact_uid").alias("new"), F.col("valid_at").alias("s2"), F.col("invalid_at").alias("e2"))
+    """What each dated fact does to the one before it of the same subject and relation; the kinds stand for a classifier's."""
+    c = F.col
+    f = base.facts(spark, d).where("from_uid is not null and rel_type is not null and valid_at is not null").select("fact_uid", "from_uid", "rel_type", "valid_at", "invalid_at")
+    keys = ["from_uid", "rel_type"]
+    p = neighbours(f, keys, "valid_at", {}, {"new": c("fact_uid"), "s2": c("valid_at"), "e2": c("invalid_at")}, hot_groups(f, keys), then=("fact_uid",)).where("new is not null")
     k = F.ascii(F.substring("new", 1, 1)) % 5
     kind = F.when(k == 0, "duplicate").when(k == 1, "extends").when(k == 2, "newer_state").when(k == 3, "corrects").otherwise("contradicts")
-    p = a.join(b, "from_uid").where("old < new").withColumn("kind", kind)
-    c = F.col
-    return p.select("old", "new", "kind", resolve.text_fact_action(c("kind"), F.ascii(F.substring("old", 2, 1)) % 6 == 0, c("s1"), c("e1"), c("s2"), c("e2")).alias("action"))
+    p = p.withColumnRenamed("fact_uid", "old").withColumn("kind", kind)
+    return p.select("old", "new", "kind", resolve.text_fact_action(c("kind"), F.ascii(F.substring("old", 2, 1)) % 6 == 0, c("valid_at"), c("invalid_at"), c("s2"), c("e2")).alias("action"))
 
 
 @query(f"""WITH {FACTS}, s AS (SELECT DISTINCT from_label AS subject_kind, rel_type AS relation, to_label AS object_kind FROM facts), a AS (SELECT * FROM s WHERE relation NOT IN ('BLOCKS')),

@@ -12,7 +12,7 @@ from bitempo.operators.store import Store
 from bitempo.plans import base
 from bitempo.plans.base import FACTS, NODES
 from bitempo.plans.history import EDGES, VERSIONS
-from bitempo.session import checkpoint_dir, table
+from bitempo.session import Cut, checkpoint_dir, table
 from bitempo.streaming import incremental
 
 
@@ -31,12 +31,24 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+#: Batches that a table of one file is landed in.
+FEED = 4
+
+
 def streamed_history(spark: SparkSession, d: str) -> DataFrame:
-    """The history of functional edges, merged from a stream of their snapshots."""
+    """The history of functional edges, merged from a stream of their snapshots in several batches.
+
+    A table of one file is landed as a feed first, in order of delivery; one of
+    many files is a feed already.
+    """
     folder = _folder(spark)
     store = Store(spark, f"{folder}/tables")
-    stream = history.edge_events(_stream(spark, d, "edge"))
-    incremental.sync_history(stream, store, f"{folder}/checkpoint").awaitTermination()
+    if _is_folder(spark, f"{d}/edge.parquet"):
+        events = history.edge_events(_stream(spark, d, "edge"))
+    else:
+        feed = Cut(history.edge_events(table(spark, d, "edge")).repartitionByRange(FEED, "seen_ms"))
+        events = spark.readStream.schema(feed.df.schema).option("maxFilesPerTrigger", 1).parquet(feed.path)
+    incremental.sync_history(events, store, f"{folder}/checkpoint").awaitTermination()
     return history.held(store.read("history")).select("entity_id", "attribute", "valid_from_ms", "valid_to_ms")
 
 
