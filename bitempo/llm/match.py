@@ -236,9 +236,11 @@ def features(given: str, surname: str, middle: str, aliases: list[str], mail: st
     return [f[k] for k in FEATURES]
 
 
-#: How firmly the weights are drawn to those before any label is seen (constant last).
-RIDGE = 20.0
-PRIOR = np.array([4.0, 3.0, 2.5, 2.0, -5.0, 2.0, 1.5, 6.5, 3.0, -8.0, 2.0, -8.0, -0.3, -0.3, -5.5])
+#: What each feature says before any label is seen (constant last): for a match, against one, or nothing.  Weights are
+#: drawn to twice these signs with a force of ``RIDGE``, so a feature that no label tells of keeps its meaning.
+SIGNS = {"surname": 1, "given_same": 1, "given_alias": 1, "given_initial": 1, "given_differs": -1, "local_surname": 1, "local_given": 1, "handle": 1, "initial_same": 1, "initial_differs": -1, "number_same": 1, "number_differs": -1, "typo": 0, "namesakes": 0}
+RIDGE = 1.0
+PRIOR = 2.0 * np.array([*[SIGNS[f] for f in FEATURES], -1])
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:

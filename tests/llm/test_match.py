@@ -80,7 +80,7 @@ def test_one_edit_always_meets(spark):
 def test_calibration():
     rng = np.random.default_rng(1)
     x = (rng.random((2000, len(match.FEATURES))) < 0.4).astype(float)
-    z = match.score(match.PRIOR, x) / 3
+    z = match.score(match.PRIOR, x) / 2
     y = (rng.random(2000) < 1 / (1 + np.exp(-z))).astype(float)
     w, scale = match.train(x[:1500], y[:1500])
     p = 1 / (1 + np.exp(-(match.score(w, x[1500:]) * scale[0] + scale[1])))
