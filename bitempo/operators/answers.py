@@ -278,3 +278,12 @@ def dashboard(queues: DataFrame, isolated: DataFrame) -> DataFrame:
     """``(what, name, n, share)``: waiting reviews by kind, and isolated nodes by label with their share."""
     waiting = queues.where("state = 'pending'").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("queue").alias("what"), F.col("kind").alias("name"), "n", F.lit(None).cast("double").alias("share"))
     return waiting.unionByName(isolated.select(F.lit("isolated").alias("what"), F.col("label").alias("name"), F.col("isolated").alias("n"), (F.col("isolated") / F.col("total")).alias("share")))
+
+
+def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors put in by collection and node: the row updated last counts, a missing name vector is the content's."""
+    key = ["collection_name", "uid"]
+    rest = [c for c in vectors.columns if c not in key]
+    both = vectors.unionByName(new.select(*vectors.columns)).where("collection_name is not null and uid is not null")
+    one = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("updated_at", F.xxhash64(*rest))).alias("s")).select(*key, "s.*")
+    return one.withColumn("name_embedding", F.coalesce("name_embedding", "content_embedding")).select(*vectors.columns)

@@ -285,3 +285,13 @@ def upsert_setting(settings: DataFrame, new: DataFrame) -> DataFrame:
 def add_alias(aliases: DataFrame, new: DataFrame) -> DataFrame:
     """Aliases put in by label, namespace and alias: the new node counts."""
     return keyed_upsert(aliases, new, ["label", "namespace_uid", "alias"])
+
+
+def count_present(keys: DataFrame, records: DataFrame) -> DataFrame:
+    """``(present)``: how many of some distinct record keys are stored."""
+    return keys.select("record_key").distinct().join(records.select("record_key").distinct(), "record_key", "left_semi").agg(F.count(F.lit(1)).alias("present"))
+
+
+def fully_processed(chunks: DataFrame, group: str) -> DataFrame:
+    """``(group, done)``: whether no chunk of a group is waiting."""
+    return chunks.where(F.col(group).isNotNull()).groupBy(group).agg(F.bool_and(F.coalesce(F.col("status") != PENDING, F.lit(False))).alias("done"))

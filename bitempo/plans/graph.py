@@ -179,10 +179,11 @@ def closure_dated(spark: SparkSession, d: str) -> DataFrame:
     return infer.transitive_closure(_chain(spark, d)).select("from_uid", "to_uid", "depth", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(_DATED.split("SELECT a AS from_uid, b AS to_uid, depth")[0] + "SELECT DISTINCT ON (a, b) a AS from_uid, b AS to_uid, depth, coalesce(epoch_ms(s), -1) AS from_ms, coalesce(epoch_ms(t), -1) AS to_ms FROM w JOIN d USING (a, b, depth) ORDER BY a, b, c DESC, s DESC NULLS LAST, t DESC NULLS LAST")
 def transitive_closure_dated(spark: SparkSession, d: str) -> DataFrame:
     """The same with the period of each conclusion."""
-    return infer.transitive_closure(_chain(spark, d))
+    ms = lambda c: F.coalesce(F.unix_millis(c), F.lit(-1))
+    return infer.transitive_closure(_chain(spark, d)).select("from_uid", "to_uid", "depth", ms("valid_at").alias("from_ms"), ms("invalid_at").alias("to_ms"))
 
 
 @query(f"WITH {FACTS}, e AS (SELECT DISTINCT from_uid, to_uid FROM facts WHERE rel_type = 'BLOCKS') SELECT DISTINCT to_uid AS from_uid, from_uid AS to_uid FROM e WHERE from_uid <> to_uid AND (to_uid, from_uid) NOT IN (FROM e)")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitempo.functions import code, models, text
+from bitempo.operators import answers
 from bitempo.operators import facts as writes
-from bitempo.operators import graph, ledger, search, selective
+from bitempo.operators import graph, ledger, search, selective, state
 from bitempo.plans import base
 from bitempo.plans.base import FACTS, ISSUES, LIVE, NODES
 from bitempo.session import table
@@ -95,11 +96,13 @@ def finding_upsert(spark: SparkSession, d: str) -> DataFrame:
     return ledger.keyed_upsert(old, new, ["k"], ("status",), ("title",)).select("k", F.coalesce("title", F.lit("")).alias("title"), "status", F.round("score", 2).alias("score"))
 
 
-@query("""WITH l AS (SELECT DISTINCT ON (collection_name, uid) * FROM entity_embeddings WHERE uid IS NOT NULL ORDER BY collection_name, uid, updated_at DESC NULLS LAST) SELECT collection_name, count(*) AS vectors, count(coalesce(name_embedding, content_embedding)) AS named FROM l GROUP BY 1""")
+@query("""WITH l AS (SELECT DISTINCT ON (collection_name, uid) * FROM entity_embeddings WHERE uid IS NOT NULL AND collection_name IS NOT NULL ORDER BY collection_name, uid, updated_at DESC NULLS LAST) SELECT collection_name, count(*) AS vectors, count(coalesce(name_embedding, content_embedding)) AS named FROM l GROUP BY 1""")
 def vector_store(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors per collection after all rows are put in by key; a missing name vector is the content's."""
-    e = table(spark, d, "entity_embeddings").where("uid is not null").groupBy("collection_name", "uid").agg(F.max_by(F.struct("name_embedding", "content_embedding"), "updated_at").alias("s"))
-    return e.groupBy("collection_name").agg(F.count(F.lit(1)).alias("vectors"), F.count(F.coalesce("s.name_embedding", "s.content_embedding")).alias("named"))
+    """Vectors per collection after rows of one model are put in over those of others."""
+    e = table(spark, d, "entity_embeddings").select("collection_name", "uid", "name_embedding", "content_embedding", "embedded_model", F.col("updated_at").cast("timestamp").alias("updated_at"))
+    first = F.col("embedded_model").eqNullSafe(F.lit("encoder-m1"))
+    out = answers.upsert_vectors(e.where(first), e.where(~first))
+    return out.groupBy("collection_name").agg(F.count(F.lit(1)).alias("vectors"), F.count("name_embedding").alias("named"))
 
 
 @query(f"""WITH {FACTS}, m AS (SELECT from_uid AS uid, unnest(source_record_keys) AS k FROM facts UNION SELECT to_uid, unnest(source_record_keys) FROM facts), p AS (SELECT DISTINCT from_uid AS a, to_uid AS b FROM facts WHERE rel_type = 'ASSIGNED_TO')
@@ -158,13 +161,14 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
 def records_present(spark: SparkSession, d: str) -> DataFrame:
     """How many of the records that facts name are there."""
     keys = base.facts(spark, d).select(F.explode("source_record_keys").alias("record_key")).distinct()
-    return keys.join(table(spark, d, "documents").select("record_key").distinct(), "record_key", "left_semi").agg(F.count(F.lit(1)).alias("present"))
+    return state.count_present(keys, table(spark, d, "documents"))
 
 
 @query("SELECT namespace_uid, bool_and(text IS NOT NULL) AS done FROM documents WHERE namespace_uid IS NOT NULL GROUP BY 1")
 def fully_processed(spark: SparkSession, d: str) -> DataFrame:
     """Namespaces without an unfinished text."""
-    return table(spark, d, "documents").where("namespace_uid is not null").groupBy("namespace_uid").agg(F.bool_and(F.col("text").isNotNull()).alias("done"))
+    chunks = table(spark, d, "documents").withColumn("status", F.when(F.col("text").isNull(), "pending").otherwise("done"))
+    return state.fully_processed(chunks, "namespace_uid")
 
 
 @query("SELECT doc_id, concat_ws(chr(10), 'Source: ' || source, 'Type: ' || entity_type, 'Key: ' || record_key, 'Namespace: ' || namespace_uid) AS header FROM documents")
