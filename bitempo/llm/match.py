@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.session import cut
+from bitempo.session import cut, spread
 
 BANDS, ROWS = 24, 3
 #: Most labelled pairs that the classifier is fitted on, taken by hash of the pair.
@@ -376,11 +376,12 @@ def matches(people: DataFrame, commits: DataFrame, least: float = 0.5) -> DataFr
     accounts = cut(_accounts(people))
     identities = cut(_identities(commits))
     aliases = given_aliases(cut(_forms(identities)), accounts)
-    spread = accounts.groupBy("given", "surname").agg(F.count_distinct("account_id").alias("namesakes"))
-    classes = accounts.select("given", "surname", "middle", "mail").distinct().join(spread, ["given", "surname"]).join(aliases, "given", "left")
+    shared_by = accounts.groupBy("given", "surname").agg(F.count_distinct("account_id").alias("namesakes"))
+    classes = accounts.select("given", "surname", "middle", "mail").distinct().join(shared_by, ["given", "surname"]).join(aliases, "given", "left")
     classes = cut(classes.withColumn("name_id", F.xxhash64("given", "surname", "middle", F.coalesce("mail", F.lit("")))))
-    left = classes.select("name_id", "given", "surname").mapInPandas(_keys_of_accounts, "name_id long, surname string, key string")
-    right = identities.mapInPandas(_keys_of_identities, "provider string, mail string, key string, token string")
+    # Few rows that cost much: over all cores.
+    left = spread(classes.select("name_id", "given", "surname")).mapInPandas(_keys_of_accounts, "name_id long, surname string, key string")
+    right = spread(identities).mapInPandas(_keys_of_identities, "provider string, mail string, key string, token string")
     # Words that share a band by chance are told apart before Python sees the pair.
     alike = (F.col("token") == "") | F.contains(F.col("token"), F.col("surname")) | (F.levenshtein("token", "surname") <= F.greatest(F.lit(2), F.floor(F.length("surname") / 4) + 1))
     pairs = left.join(right, "key").where(alike).select("name_id", "provider", "mail").distinct()
