@@ -87,3 +87,25 @@ def test_calibration():
     bins = np.minimum(9, (p * 10).astype(int))
     error = sum(abs(p[bins == b].mean() - y[1500:][bins == b].mean()) * (bins == b).mean() for b in range(10) if (bins == b).any())
     assert error < 0.08
+
+
+def test_little_goes_to_the_driver_and_at_once(spark):
+    names = spark.createDataFrame([(i, "ulrika", f"grizibra{i % 26 * 'x'}") for i in range(3000)], "name_id long, given string, surname string")
+    for keys, b in (
+        (match._keys_of_accounts, names.toPandas()),
+        (match._keys_of_identities, spark.range(3000).selectExpr("'github' provider", "concat('u.grizibra', id, '@mail.example') mail", "array('Ulrika Grizibra') names").toPandas()),
+    ):
+        made = list(keys(iter([b])))
+        assert len(made) == 6 and max(map(len, made)) < 200_000 and len(list(keys(iter([b[:0]])))) == 1
+    identities = spark.createDataFrame([("github", "ulrika.grizibra@mail.example", ["Ulrika Grizibra"])], "provider string, mail string, names array<string>")
+    plan = match._candidates(names, identities)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rows = spark.range(0, 8000, 1, 8).selectExpr("id", "xxhash64(id) h")
+    ids = [r["id"] for r in rows.orderBy("h").limit(100).collect()]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lowest", "")
+    lowest = match._lowest(rows, "h", 100)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert lowest["id"].tolist() == ids
+    sent = {tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(max(tracker.getJobIdsForGroup("lowest"))).stageIds}
+    assert sent == {1}  # the job that sends rows to the driver reads the chosen ones only
