@@ -26,6 +26,8 @@ from bitempo.session import spread
 MARK = "REDACTED"
 #: Literals are decoded until nothing decodes: each layer is shorter than the one around it.
 DEPTH = 1 << 30
+#: Layers that are searched within one another; deeper ones are searched first and by themselves (``find``).
+NEST = 64
 
 
 class Find(NamedTuple):
@@ -252,6 +254,15 @@ def _unescape(s: str) -> str:
     return re.sub(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else simple.get(m[3], m[0]), s)
 
 
+def _unbase64(s: str) -> bytes | None:
+    """What base64 of either alphabet, with or without its padding, decodes to."""
+    bare = s.rstrip("=").replace("-", "+").replace("_", "/")
+    try:
+        return base64.b64decode(bare + "=" * (-len(bare) % 4))
+    except binascii.Error:
+        return None
+
+
 def layers(s: str) -> Iterator[tuple[str, bytes]]:
     """What a literal decodes to, by each encoding that it fits."""
     if "\\" in s and (t := _unescape(s)) != s:
@@ -262,21 +273,23 @@ def layers(s: str) -> Iterator[tuple[str, bytes]]:
     if len(bare) >= 16 and len(bare) % 2 == 0 and _HEX.fullmatch(bare):
         yield "hex", bytes.fromhex(bare)
     elif len(bare) >= 12 and _BASE64.fullmatch(bare):
-        try:
-            yield "base64", base64.b64decode(bare.rstrip("=").replace("-", "+").replace("_", "/") + "=" * (-len(bare.rstrip("=")) % 4))
-        except binascii.Error:
-            pass
+        if (b := _unbase64(bare)) is not None:
+            yield "base64", b
 
 
 def encoded(text: str, encoding: str) -> str:
     """``text`` in the layers of ``encoding``, innermost last."""
+    before = ""
     for layer in reversed([e for e in encoding.split(">") if e]):
         if layer == "base64":
             text = base64.b64encode(text.encode()).decode()
         elif layer == "hex":
             text = text.encode().hex()
+        elif layer == "percent" == before:  # signs only, else each layer has three times the length
+            text = text.replace("%", "%25")
         elif layer == "percent":
             text = "".join(f"%{b:02X}" for b in text.encode())
+        before = layer
     return text
 
 
@@ -345,10 +358,22 @@ def _documents(text: str) -> Iterator[tuple[int, str]]:
             yield a, part
 
 
+class _Deeper(Exception):
+    """Asks ``find`` for the first find of a text and depth."""
+
+
+#: First finds of texts ``NEST`` layers down, while a text is searched.
+_told: dict[tuple[str, int], Find | None] = {}
+
+
 @lru_cache(maxsize=256)
 def _first(text: str, depth: int) -> Find | None:
     """The first find of a decoded text, which an assignment and a literal may both ask for."""
-    return next(iter(find(text, depth)), None)
+    if depth % NEST == 0:
+        if (text, depth) not in _told:
+            raise _Deeper(text, depth)
+        return _told[text, depth]
+    return next(iter(_find(text, depth)), None)
 
 
 def _spots(low: str, words: tuple[str, ...]) -> Iterator[int]:
@@ -407,8 +432,25 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
 
     Each kind is looked for only where what it needs stands: names and words
     are found by plain search, so that the patterns read few lines.  The time
-    grows with the length of the text and no length ends the search.
+    grows with the length of the text and no length ends the search, nor does
+    any number of layers.
     """
+    todo = [(text, depth)]
+    try:
+        while True:
+            try:
+                finds = _find(*todo[-1])
+            except _Deeper as deeper:
+                todo.append(deeper.args)
+                continue
+            if len(todo) == 1:
+                return finds
+            _told[todo.pop()] = finds[0] if finds else None
+    finally:
+        _told.clear()
+
+
+def _find(text: str, depth: int) -> list[Find]:
     found: list[Find] = []
     add = lambda a, b, kind, encoding="": found.append(Find(a, b, kind, encoding))
     low = text.lower()
@@ -479,7 +521,7 @@ def find(text: str, depth: int = DEPTH) -> list[Find]:
                 at = start + block.start("rows")
                 plain = next((_printable(x) for layer, x in layers(v + "=" * (-len(v) % 4)) if layer == "base64"), None) if block["part"] == "data" else v
                 if plain is None and len(v) < 12 and _BASE64.fullmatch(v):
-                    plain = _printable(base64.b64decode(v + "=" * (-len(v) % 4)))
+                    plain = _printable(_unbase64(v) or b"")
                 if plain and not placeholder(plain) and "-----BEGIN" not in plain and names(row["name"]) not in ("other", "digest"):
                     add(at + a, at + b, "secret of a manifest", "base64" if block["part"] == "data" else "")
     taken = sorted([(f.start, f.end) for f in found] + [(a, b) for a, b, _, _ in blocks])

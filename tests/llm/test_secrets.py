@@ -1,7 +1,9 @@
 import base64
+import inspect
 import random
 import string
-from urllib.parse import quote
+import sys
+from urllib.parse import quote, unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +176,29 @@ def test_no_text_takes_long():
         start = time.time()
         secrets.find(text)
         assert time.time() - start < 20, text[:30]
+
+
+def test_short_values_of_a_manifest_in_either_alphabet():
+    for value in ("db_host", "a-b", "x_y-z", "abcd_efg=", "_____"):
+        text = f"kind: Secret\ndata:\n  host: {value}\n  password: aHVudGVyMi1TYWZl\n"
+        assert [text[f.start : f.end] for f in secrets.find(text)] == ["aHVudGVyMi1TYWZl"]
+    assert secrets.find("kind: Secret\ndata:\n  pin: cTdfIQ\n")  # without padding, as before
+
+
+def test_any_number_of_layers():
+    for n in (3, 150):
+        text = "".join(f"%{b:02X}" for b in b"postgres://app:q7Rt-4fGz9@db.example/x")
+        for _ in range(n):
+            text = "%41%42%43." + text.replace("%", "%25")
+        text = f"see {text} there\n"
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(len(inspect.stack()) + 400)  # so that the text of many layers may be short
+        try:
+            finds = secrets.find(text)
+        finally:
+            sys.setrecursionlimit(limit)
+        assert [(f.kind, f.encoding) for f in finds] == [("password in a link", ">".join(["percent"] * (n + 1)))]
+        clean = secrets.redact(text, finds)
+        for _ in range(n + 1):
+            clean = unquote(clean)
+        assert clean == "see REDACTED there\n"
